@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, mixing, secrets, syncmers
+from tidewater.llm import bpe, mixing, quality, secrets, syncmers, toxicity
 from tidewater.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(line(of(*base)), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), linked)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path())
     return done.select(
@@ -46,5 +51,10 @@ def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mixing, op4_secrets, op7_bpe, op8_syncmers)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mixing, op4_secrets, op5_quality, op7_bpe, op8_syncmers, op9_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
