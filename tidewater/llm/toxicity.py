@@ -69,28 +69,48 @@ class Model:
         return sigmoid(np.bincount(doc, self.weights[at], minlength=len(text))[: len(text)] + self.constant)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, swap: tuple[np.ndarray, np.ndarray], fairness: float = 5.0, penalty: float = 2e-3) -> tuple[np.ndarray, float]:
+@dataclass(frozen=True)
+class Rows:
+    """Documents by features, 0 or 1: the (row, column) places of the ones."""
+
+    row: np.ndarray
+    column: np.ndarray
+    n: int
+
+    @staticmethod
+    def of(lists: Sequence[Sequence[int]]) -> Rows:
+        sizes = np.array([len(x) for x in lists], int)
+        return Rows(np.repeat(np.arange(len(sizes)), sizes), np.array([i for x in lists for i in x], int), len(sizes))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column], minlength=self.n)
+
+    def back(self, e: np.ndarray, width: int) -> np.ndarray:
+        return np.bincount(self.column, e[self.row], minlength=width)
+
+
+def fit_logistic(x: Rows, y: np.ndarray, swap: tuple[Rows, Rows], width: int, fairness: float = 5.0, penalty: float = 2e-3) -> tuple[np.ndarray, float]:
     """Weights and constant by logistic loss + penalty |w|^2 + fairness * mean squared change of the logit under swaps.
 
-    x: documents by features (0 or 1); swap: features of the documents with identity terms, as they are and swapped.
+    x: features of the documents; swap: those of the documents with identity terms, as they are and swapped.
     """
-    change = swap[0] - swap[1]
     share = max(y.mean(), 1e-6)
     weight = np.where(y == 1, 0.5 / share, 0.5 / max(1 - share, 1e-6))
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        error = weight * (sigmoid(x @ w[:-1] + w[-1]) - y) / len(y)
-        g = np.append(x.T @ error + penalty * w[:-1], error.sum())
-        if len(change):
-            g[:-1] += 2 * fairness * change.T @ (change @ w[:-1]) / len(change)
+        error = weight * (sigmoid(x.times(w[:-1]) + w[-1]) - y) / len(y)
+        g = np.append(x.back(error, width) + penalty * w[:-1], error.sum())
+        if swap[0].n:
+            change = 2 * fairness * (swap[0].times(w[:-1]) - swap[1].times(w[:-1])) / swap[0].n
+            g[:-1] += swap[0].back(change, width) - swap[1].back(change, width)
         return g
 
-    w = minimise(gradient, np.zeros(x.shape[1] + 1), steps=300, rate=0.15)
+    w = minimise(gradient, np.zeros(width + 1), steps=300, rate=0.15)
     return w[:-1], float(w[-1])
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_features: int = 2_048, least_z: float = 5.0, fairness: float = 5.0, groups: Sequence[Sequence[str]] = IDENTITY_TERMS
+    docs: DataFrame, labels: DataFrame, most_rows: int = 24_000, most_features: int = 2_048, least_z: float = 5.0, fairness: float = 5.0, groups: Sequence[Sequence[str]] = IDENTITY_TERMS
 ) -> Model:
     """Learns from up to `most_rows` labelled rows (doc_id, toxic) outside the held-out fold.
 
@@ -146,14 +166,9 @@ def fit(
     learned = sample.orderBy("doc_id").select("text", "label").mapInArrow(rows, "label int, at array<long>, swapped array<long>").toPandas()
     sample.unpersist()
 
-    def matrix(lists) -> np.ndarray:
-        x = np.zeros((len(lists), len(keys)), np.float32)
-        for i, at in enumerate(lists):
-            x[i, np.asarray(at, int)] = 1
-        return x
-
     named = learned[learned["swapped"].notna()]
-    weights, constant = fit_logistic(matrix(learned["at"]), learned["label"].to_numpy(float), (matrix(named["at"]), matrix(named["swapped"])), fairness)
+    swap = Rows.of(named["at"].tolist()), Rows.of(named["swapped"].tolist())
+    weights, constant = fit_logistic(Rows.of(learned["at"].tolist()), learned["label"].to_numpy(float), swap, len(keys), fairness)
     return Model(keys, weights, constant)
 
 
