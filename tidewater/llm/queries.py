@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, mixing, quality, secrets, syncmers, toxicity
+from tidewater.llm import bpe, mixing, ngram_join, quality, secrets, syncmers, toxicity
 from tidewater.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path())
     return done.select(
@@ -56,5 +61,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mixing, op4_secrets, op5_quality, op7_bpe, op8_syncmers, op9_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mixing, op4_secrets, op5_quality, op6_jaccard_join, op7_bpe, op8_syncmers, op9_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

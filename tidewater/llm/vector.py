@@ -110,12 +110,11 @@ def shingles(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
         at = np.searchsorted(found.doc, short)
-        few = np.empty(len(short), np.uint64)
-        for i, (d, s) in enumerate(zip(short, at)):
-            h = np.uint64(counts[d])
-            for x in found.hash[s : s + counts[d]]:
-                h = mix(np.array([h * np.uint64(31) + x]))[0]
-            few[i] = h
+        few = np.zeros(len(short), np.uint64)
+        for j in range(k - 1):  # the j-th word of those that have one
+            has = counts[short] > j
+            few[has] = mix(few[has] * np.uint64(31) + found.hash[at[has] + j])
+        few = mix(few + counts[short].astype(np.uint64))
         doc, value = np.concatenate([doc, short]), np.concatenate([value, few])
         order = np.argsort(doc, kind="stable")
         doc, value = doc[order], value[order]
