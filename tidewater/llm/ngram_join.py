@@ -218,7 +218,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, most_long
 
     nodes = join_small(sets.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")), groups, "node")
     # Blocks of a large group: a class of sizes, dealt by hash so that each block has about `block` shingles.
-    nodes = cut(nodes.withColumn("_class", F.floor(F.log(F.lit(100 / percent), F.col("n")))))
+    nodes = cut(nodes.withColumn("_class", F.floor(F.log("n") / math.log(100 / percent))))
     sums = nodes.groupBy("component", "_class").agg(F.sum("n").alias("_sum"))
     whole = sums.groupBy("component").agg(F.sum("_sum").alias("_whole")).filter(F.col("_whole") > block)
     large = cut(sums.join(whole, "component").withColumn("_parts", F.ceil(F.col("_sum") / block)))
