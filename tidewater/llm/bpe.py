@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,43 +29,52 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(256 + next(others)) for b in range(256)]
 
 
+def _symbols(token: str) -> list[str]:
+    body = token.removesuffix(END) if len(token) > len(END) else token
+    return [*body[:-1], body[-1] + END] if body != token else [*body]
+
+
 class Merges:
-    """The vocabulary and its merges: which tokens can stand side by side in an encoding."""
+    """The vocabulary and its merges: which tokens are encodings of themselves, and which can stand side by side."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]):
-        self.ids = vocabulary
-        self.special = special
+        self.ids, self.special = vocabulary, special
         self.token = {i: t for t, i in (vocabulary | special).items()}
         self.rank = {tuple(m): r for r, m in enumerate(merges)}
-        self.longest = max((len(t.removesuffix(END)) for t in vocabulary), default=1)
-        self.starts = {t[:-1] for t in vocabulary}
-        self._own: dict[str, bool] = {}
-        self._beside: dict[tuple[str, str], bool] = {}
+        self.inner: dict[str, int] = {}
+        self.final: dict[str, int] = {}
+        for token, i in vocabulary.items():
+            if self.plain(_symbols(token)) == [token]:
+                body = token.removesuffix(END) if len(token) > len(END) else token
+                (self.inner if body == token else self.final)[body] = i
+        self.size = {i: len(t) for table in (self.inner, self.final) for t, i in table.items()}
+        self.inner_sizes, self.final_sizes = self._sizes(self.inner), self._sizes(self.final)
+        self._beside: dict[int, bool] = {}
+
+    @staticmethod
+    def _sizes(table: dict[str, int]) -> dict[str, list[int]]:
+        """By the last two characters of a token (or its only one): the sizes of such tokens, largest first."""
+        found: dict[str, set[int]] = {}
+        for t in table:
+            found.setdefault(t[-2:], set()).add(len(t))
+        return {ends: sorted(sizes | ({1} if ends[-1] in table else set()), reverse=True) for ends, sizes in found.items()}
 
     def plain(self, symbols: list[str]) -> list[str]:
         """BPE as defined: again and again merges the leftmost pair of least rank. Only for short pieces."""
+        rank, none = self.rank, len(self.rank)
         while len(symbols) > 1:
-            rank, at = min((self.rank.get((a, b), len(self.rank)), i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])))
-            if rank == len(self.rank):
+            least, at = min((rank.get(pair, none), i) for i, pair in enumerate(zip(symbols, symbols[1:])))
+            if least == none:
                 break
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    @staticmethod
-    def symbols(token: str) -> list[str]:
-        body = token.removesuffix(END) if len(token) > len(END) else token
-        return [*body[:-1], body[-1] + END] if body != token else [*body]
-
-    def own(self, token: str) -> bool:
-        """Whether BPE makes this token of its own symbols."""
-        if (is_own := self._own.get(token)) is None:
-            is_own = self._own[token] = token in self.ids and self.plain(self.symbols(token)) == [token]
-        return is_own
-
-    def beside(self, a: str, b: str) -> bool:
+    def beside(self, a: int, b: int) -> bool:
         """Whether BPE of the two tokens' symbols gives the two tokens again."""
-        if (fits := self._beside.get((a, b))) is None:
-            fits = self._beside[a, b] = self.plain(self.symbols(a) + self.symbols(b)) == [a, b]
+        key = a << 32 | b
+        if (fits := self._beside.get(key)) is None:
+            left, right = self.token[a], self.token[b]
+            fits = self._beside[key] = self.plain(_symbols(left) + _symbols(right)) == [left, right]
         return fits
 
 
@@ -80,40 +90,58 @@ class PrefixTrie:
     def __init__(self, merges: Merges):
         self.merges = merges
 
-    def _last(self, word: str, end: int, last: list[str], suffix: str) -> str:
-        m = self.merges
-        for size in range(min(end, m.longest), 0, -1):
-            token = word[end - size : end] + suffix
-            if token in m.ids and m.own(token) and (size == end or (last[end - size] and m.beside(last[end - size], token))):
-                return token
-        return ""
+    def _last(self, word: str, end: int, last: list[int], table: dict[str, int], sizes: dict[str, list[int]]) -> int:
+        """The last token of the encoding of the first `end` characters; -1 if they have none."""
+        ends = word[end - 2 : end] if end > 1 else word[:1]
+        known = self.merges._beside
+        for size in sizes.get(ends) or (1,):
+            if size <= end and (token := table.get(word[end - size : end], -1)) >= 0:
+                if size == end:
+                    return token
+                before = last[end - size]
+                if before >= 0:
+                    fits = known.get(before << 32 | token)
+                    if fits or (fits is None and self.merges.beside(before, token)):
+                        return token
+        return -1
 
     def encode(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """Each of the sorted distinct `words`, written in the byte alphabet, with its ids."""
-        m, before, last = self.merges, "", [""]
+        m, find, before, last = self.merges, self._last, "", [-1]
+        inner, inner_sizes, final, final_sizes, sizes = m.inner, m.inner_sizes, m.final, m.final_sizes, m.size
         for word in words:
-            shared, most = 0, min(len(word), len(before), len(last) - 1)
+            n = len(word)
+            shared, most = 0, min(n, len(before), len(last) - 1)
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del last[shared + 1 :]
-            for end in range(len(last), len(word)):
-                last.append(self._last(word, end, last, ""))
-            before, at, tokens = word, len(word), [self._last(word, len(word), last, END)]
-            while tokens[-1] and (at := at - len(tokens[-1].removesuffix(END) or tokens[-1])) > 0:
-                tokens.append(last[at])
-            if not all(tokens):  # symbols outside the vocabulary: the definition itself, which leaves them out
-                tokens = m.plain(m.symbols(word + END))[::-1]
-            yield word, [m.ids[t] for t in reversed(tokens) if t in m.ids]
+            for end in range(shared + 1, n):
+                last.append(find(word, end, last, inner, inner_sizes))
+            before = word
+            token, at = find(word, n, last, final, final_sizes), n
+            found = [token]
+            while token >= 0 and (at := at - sizes[token]) > 0:
+                token = last[at]
+                found.append(token)
+            if token < 0:  # symbols outside the vocabulary: the definition itself, which leaves them out
+                yield word, [m.ids[t] for t in m.plain(_symbols(word + END)) if t in m.ids]
+            else:
+                found.reverse()
+                yield word, found
 
 
 class Encoder:
     """Encodes batches of texts: distinct pieces of text once, their distinct words once through the trie."""
 
-    def __init__(self, merges: Merges, most_kept: int = 300_000):
+    def __init__(self, merges: Merges, most_kept: int = 500_000):
         self.merges, self.trie, self.most_kept = merges, PrefixTrie(merges), most_kept
-        self.alphabet = byte_alphabet()
-        self.pieces: dict[str, list[int]] = {}
+        self.alphabet = {b: ord(c) for b, c in enumerate(byte_alphabet()) if ord(c) != b}
         self.special = regex.compile("|".join(map(regex.escape, merges.special))) if merges.special else None
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[str, list[int]] = {}
+        self.pieces: dict[str | int, list[int]] = {"": []} | {i: [i] for i in self.merges.special.values()}
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -125,33 +153,38 @@ class Encoder:
             text = text.lower()
         return SPACE.sub(" ", text).strip(" ").split(" ") if ODD_SPACE.search(text) else text.split()
 
+    def _written(self, word: str) -> str:
+        """A word in the byte alphabet."""
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.alphabet)
+
     def learn(self, pieces: set[str]) -> None:
-        alphabet = self.alphabet
-        cut = {p: ["".join([alphabet[b] for b in w.encode()]) for w in WORD_PATTERN.findall(p)] for p in pieces if p}
-        words = dict(self.trie.encode(sorted({w for ws in cut.values() for w in ws})))
+        cut = {p: [p] if p.isascii() and p.isalpha() else [self._written(w) for w in WORD_PATTERN.findall(p)] for p in pieces}
+        words = self.words
+        words.update(self.trie.encode(sorted({w for ws in cut.values() for w in ws}.difference(words))))
         for p, ws in cut.items():
             self.pieces[p] = words[ws[0]] if len(ws) == 1 else [i for w in ws for i in words[w]]
-        self.pieces[""] = []
+
+    def _parts(self, text: str | None) -> list[str | int]:
+        if not text:
+            return []
+        if self.special is None or not self.special.search(text):
+            return self.split(text)
+        parts, at = [], 0
+        for hit in self.special.finditer(text):
+            parts += [*self.split(text[at : hit.start()]), self.merges.special[hit[0]]]
+            at = hit.end()
+        return [*parts, *self.split(text[at:])]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        parts: list[list[str | int]] = []
-        for text in texts:
-            if self.special and text and self.special.search(text):
-                rows: list[str | int] = []
-                at = 0
-                for hit in self.special.finditer(text):
-                    rows += [*self.split(text[at : hit.start()]), self.merges.special[hit[0]]]
-                    at = hit.end()
-                parts.append([*rows, *self.split(text[at:])])
-            else:
-                parts.append(self.split(text) if text else [])
-        new = {p for row in parts for p in row if isinstance(p, str)}.difference(self.pieces) if parts else set()
+        parts = [self._parts(t) for t in texts]
+        distinct = set(chain.from_iterable(parts))
+        new = distinct.difference(self.pieces)
         if len(self.pieces) + len(new) > self.most_kept:
-            self.pieces.clear()
-            new = {p for row in parts for p in row if isinstance(p, str)}
+            self.clear()
+            new = distinct.difference(self.pieces)
         self.learn(new)
-        known = self.pieces
-        return [list(chain.from_iterable([known[p] if isinstance(p, str) else [p] for p in row])) if self.special and any(isinstance(p, int) for p in row) else list(chain.from_iterable(map(known.__getitem__, row))) for row in parts]
+        known = self.pieces.__getitem__
+        return [list(chain.from_iterable(map(known, row))) for row in parts]
 
 
 def read_vocabulary(path: str) -> tuple[dict[str, int], list[tuple[str, str]], dict[str, int]]:
@@ -161,10 +194,15 @@ def read_vocabulary(path: str) -> tuple[dict[str, int], list[tuple[str, str]], d
     return j["model"]["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in j["model"]["merges"]], {x["content"]: x["id"] for x in j["added_tokens"]}
 
 
+@lru_cache(maxsize=4)
+def read_merges(path: str) -> Merges:
+    return Merges(*read_vocabulary(path))
+
+
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def encode(docs: DataFrame, path: str, batch_words: int = 200_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, batch_words: int = 400_000) -> DataFrame:
     """`docs` (doc_id, text) as doc_id, ids array<int> and decoded, the tokens of the ids joined by one space.
 
     The vocabulary (of a fixed size, a few MB) is broadcast. No row leaves its partition: each task gathers the
@@ -173,13 +211,13 @@ def encode(docs: DataFrame, path: str, batch_words: int = 200_000) -> DataFrame:
     Null and empty texts have no ids and decode to ""; each row is encoded for itself; other columns are ignored.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_vocabulary(path))
+    shared = spark.sparkContext.broadcast(read_merges(path))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shared)
+        key = id(shared.value)
         if key not in _ENCODERS:
             _ENCODERS.clear()
-            _ENCODERS[key] = Encoder(Merges(*shared.value))
+            _ENCODERS[key] = Encoder(shared.value)
         encoder = _ENCODERS[key]
         token = encoder.merges.token
         for batch in batches:
