@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,30 +147,54 @@ def t_occurrence(sets: list[np.ndarray], asked: np.ndarray, percent: int, mu: fl
     return links
 
 
-def _search(shared: Broadcast, docs: DataFrame, wanted: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (u, v) between linked nodes of a group. `wanted`: doc, node, group, block, side pairs (i, j) to be in."""
+def exact_links(nodes: DataFrame, ties: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, block: int) -> DataFrame:
+    """node, component of the nodes that exact links connect, out of groups that `ties` (u, v) connect.
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(shared.value)
-        for batch in batches:
-            for part in slices(batch, 0, 1 << 22):
-                h, ends, node = shingle_sets(part.column(0), k, order)
-                own = np.flatnonzero(node == part.column(1).to_numpy())
-                data = [h[ends[i] : ends[i + 1]].tobytes() for i in own]
-                kept = part.take(pa.array(own))
-                yield pa.RecordBatch.from_arrays([*kept.columns[1:], pa.array(data, pa.binary())], names=["node", "grp", "block", "pairs", "data"])
-
-    rows = join_small(docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), "text"), wanted, "doc", most=500_000)
-    sets = rows.select("text", "node", "grp", "block", "pairs").mapInArrow(fetch, "node long, grp long, block long, pairs array<struct<i:long,j:long>>, data binary")
-    dealt = sets.withColumn("pair", F.explode("pairs")).select("grp", "pair.i", "pair.j", "node", "block", "data")
+    `nodes` has node, doc (where to find it) and n (shingles). `fetch` takes a table of the nodes wanted and returns its
+    other columns with `data`, the node's shingles in 64 bits each. Small groups are dealt together, about `block`
+    shingles a task; those of more than `block` shingles are cut by classes of size and hash into blocks, which are
+    compared in pairs whose sizes can link, so that a task never holds more than two blocks.
+    """
+    nodes = cut(join_small(nodes, components(ties), "node").withColumn("_class", F.floor(F.log("n") / math.log(100 / percent))))
+    sums = nodes.groupBy("component", "_class").agg(F.sum("n").alias("_sum"))
+    whole = sums.groupBy("component").agg(F.sum("_sum").alias("_whole"))
+    large = cut(sums.join(whole.filter(F.col("_whole") > block), "component").withColumn("_parts", F.ceil(F.col("_sum") / block)))
+    part = F.col("_class") * 1_000_000 + F.pmod(F.xxhash64("node"), F.col("_parts"))
+    nodes = cut(join_small(nodes, large, ["component", "_class"], "left").select("node", "doc", "n", "component", part.alias("block")))
+    blocks = nodes.filter("block IS NOT NULL").groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    other = blocks.toDF("component", "j", "low_j", "high_j")
+    pairs = blocks.join(other, "component").filter(f"block = j OR (block < j AND 100 * high >= {percent} * low_j)")
+    ends = pairs.select("component", F.struct(F.col("block").alias("i"), "j").alias("p"), F.explode(F.array_distinct(F.array("block", "j"))).alias("block"))
+    ends = ends.groupBy("component", "block").agg(F.collect_list("p").alias("pairs"))
+    small = nodes.filter("block IS NULL")
+    bins = max(1, math.ceil((small.agg(F.sum("n")).first()[0] or 0) / block))
+    together = F.array(F.struct(F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")))
+    wanted = small.select("doc", "node", F.col("component").alias("grp"), F.lit(0).cast("long").alias("block"), F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin"), together.alias("pairs"))
+    apart = nodes.join(ends, ["component", "block"]).select("doc", "node", F.col("component").alias("grp"), "block", F.col("component").alias("bin"), "pairs")
+    sets = fetch(cut(wanted.unionByName(apart)))
+    dealt = sets.withColumn("pair", F.explode("pairs")).select("bin", "pair.i", "pair.j", "grp", "node", "block", "data")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        node, grp = rows.column("node").to_numpy(), rows.column("grp").to_numpy()
+        data, side = rows.column("data").combine_chunks(), rows.column("block").to_numpy()
+        by = np.lexsort((node, grp))
+        by = by[np.concatenate([[True], (grp[by][1:] != grp[by][:-1]) | (node[by][1:] != node[by][:-1])])] if len(by) else by
+        out: list[tuple[int, int]] = []
+        for group in np.split(by, np.flatnonzero(np.diff(grp[by])) + 1):
+            links = t_occurrence([np.frombuffer(data[int(i)].as_buffer(), U) for i in group], side[group], percent)
+            out += [(int(node[group[a]]), int(node[group[b]])) for a, b in links]
+        return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
+
+    return components(dealt.groupBy("bin", "i", "j").applyInArrow(compare, "u long, v long"))
+
+
+def tied(postings: DataFrame) -> DataFrame:
+    """(u, v): each node of a list of `postings` (node, h) with the least node of that list; no row for the least."""
+    lists = cut(postings.groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("h", "least"))
+    return join_small(postings, lists, "h", most=1_000_000).filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v"))
 
-    def compare(group: pa.Table) -> pa.Table:
-        node, first = np.unique(group.column("node").to_numpy(), return_index=True)
-        data, block = group.column("data"), group.column("block").to_numpy()
-        links = t_occurrence([np.frombuffer(data[int(i)].as_py(), U) for i in first], block[first], percent)
-        return pa.table({"u": pa.array([int(node[a]) for a, _ in links], pa.int64()), "v": pa.array([int(node[b]) for _, b in links], pa.int64())})
 
-    return dealt.groupBy("grp", "i", "j").applyInArrow(compare, "u long, v long")
+WANTED = "node long, grp long, block long, bin long, pairs array<struct<i:long,j:long>>, data binary"
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, most_long: int = 131_072, block: int = 400_000) -> DataFrame:
@@ -212,26 +235,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, most_long
 
     sets = cut(docs.mapInArrow(task, f"doc_id {kind}, n long, node long, prefix array<long>"))
     postings = sets.filter("size(prefix) > 0").select("node", F.explode("prefix").alias("h"))
-    lists = cut(postings.groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("h", "least"))
-    ties = join_small(postings, lists, "h", most=1_000_000).filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    groups = components(ties)
 
-    nodes = join_small(sets.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")), groups, "node")
-    # Blocks of a large group: a class of sizes, dealt by hash so that each block has about `block` shingles.
-    nodes = cut(nodes.withColumn("_class", F.floor(F.log("n") / math.log(100 / percent))))
-    sums = nodes.groupBy("component", "_class").agg(F.sum("n").alias("_sum"))
-    whole = sums.groupBy("component").agg(F.sum("_sum").alias("_whole")).filter(F.col("_whole") > block)
-    large = cut(sums.join(whole, "component").withColumn("_parts", F.ceil(F.col("_sum") / block)))
-    part = F.col("_class") * 1_000_000 + F.pmod(F.xxhash64("node"), F.col("_parts"))
-    nodes = join_small(nodes, large, ["component", "_class"], "left").withColumn("block", F.coalesce(part, F.lit(0)))
-    nodes = cut(nodes.select("node", "doc", "n", "component", "block"))
-    blocks = nodes.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = blocks.toDF("component", "j", "low_j", "high_j")
-    pairs = blocks.join(other, "component").filter(f"block = j OR (block < j AND 100 * high >= {percent} * low_j)")
-    ends = pairs.select("component", F.struct(F.col("block").alias("i"), "j").alias("p"), F.explode(F.array_distinct(F.array("block", "j"))).alias("block"))
-    ends = ends.groupBy("component", "block").agg(F.collect_list("p").alias("pairs"))
-    wanted = nodes.join(ends, ["component", "block"]).select(F.coalesce("doc", F.lit(-1)).alias("doc"), "node", F.col("component").alias("grp"), "block", "pairs")
-    linked = components(_search(shared, docs, cut(wanted), k, percent))
+    def fetch(wanted: DataFrame) -> DataFrame:
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            order = Order(shared.value)
+            for batch in batches:
+                for part in slices(batch, 0, 1 << 22):
+                    h, ends, node = shingle_sets(part.column(0), k, order)
+                    own = np.flatnonzero(node == part.column(1).to_numpy())
+                    data = [h[ends[i] : ends[i + 1]].tobytes() for i in own]
+                    yield pa.RecordBatch.from_arrays([*part.take(pa.array(own)).columns[1:], pa.array(data, pa.binary())], names=["node", "grp", "block", "bin", "pairs", "data"])
+
+        rows = join_small(docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), "text"), wanted, "doc", most=500_000)
+        return rows.select("text", "node", "grp", "block", "bin", "pairs").mapInArrow(find, WANTED)
+
+    nodes = sets.groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("doc"), F.first("n").alias("n"))
+    linked = exact_links(nodes, tied(postings), fetch, percent, block)
 
     named = sets.select("doc_id", "n", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = cut(named)
