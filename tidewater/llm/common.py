@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,3 +41,9 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", most: i
     """
     few = small.limit(most + 1).count() <= most
     return big.join(F.broadcast(small) if few else small, on, how)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files and checkpoints of rounds whose frames are gone; it works on garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

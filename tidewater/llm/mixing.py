@@ -134,3 +134,17 @@ def mix(
     return at.groupBy("_row", "doc_id", "source", "source_size", "target", "size", "shard").agg(taken.cast("long").alias("taken")).select(
         "doc_id", "size", "source", "source_size", "target", "taken", "shard"
     )
+
+
+def take_mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` as often as `mix` takes them: whole copies, and a further one with the probability of the rest.
+
+    The choice is by a hash of doc_id. Equal rows of one id share what they take; texts without words are not taken.
+    """
+    taken = mix(docs, **options).filter("size > 0").groupBy("doc_id", "size").agg((F.sum("taken") / F.count(F.lit(1)) / F.first("size")).alias("_times"))
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
+    copies = cut(taken.withColumn("_copies", F.floor("_times") + (chance < F.col("_times") - F.floor("_times")).cast("int")).filter("_copies > 0"))
+    copies = copies.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_copies")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (n_words(F.col("text")) == F.col("_size"))
+    found = join_small(docs, copies, same, most=500_000)
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

@@ -198,7 +198,7 @@ WANTED = "node long, grp long, block long, bin long, pairs array<struct<i:long,j
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, most_long: int = 131_072, block: int = 400_000) -> DataFrame:
-    """doc_id, n_shingles, node and component_id of each row of `docs` (doc_id, text): the classes that links connect.
+    """doc_id, n_shingles, node, component and component_id of each row of `docs` (doc_id, text): the classes that links connect.
 
     A document's set are its distinct `k`-word shingles (words between white space, A-Z lower-cased; a shorter text is
     one shingle). Sets link if 100 * intersection >= `percent` * union. component_id is the least doc_id reachable.
@@ -257,4 +257,37 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, most_long
     least = named.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("_rows"))
     more = least.filter("_rows > 1").drop("_rows")
     done = join_small(named, more, "component", "left", most=500_000)
-    return done.select("doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return done.select("doc_id", F.col("n").alias("n_shingles"), "node", "component", F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def nodes_of(docs: DataFrame, k: int) -> DataFrame:
+    """`docs` with the column `_node`: the name of each text's set of `k`-word shingles."""
+    at = docs.columns.index("text")
+    schema = docs.withColumn("_node", F.lit(0).cast("long")).schema
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Order(np.zeros(0, U))
+        for batch in batches:
+            for part in slices(batch, at, 1 << 22):
+                node = pa.array(shingle_sets(part.column(at), k, order)[2])
+                yield pa.RecordBatch.from_arrays([*part.columns, node], names=[*part.schema.names, "_node"])
+
+    return docs.mapInArrow(task, schema)
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:
+    """The rows of `docs` (doc_id, text and any others), one of each component: that of the least doc_id.
+
+    Texts without words are in no component and all stay. Where each doc_id stands once, the ids to remove are joined
+    against; else rows are found by id and set of shingles, and of equal ones one stays.
+    """
+    found = cut(jaccard_components(docs, k, percent, **options).filter("n_shingles > 0").select("doc_id", "node", "component", "component_id"))
+    n, ids = found.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    if n == ids:
+        removed = cut(found.filter("doc_id != component_id").select("doc_id"))
+        return join_small(docs, removed, "doc_id", "left_anti", most=500_000)
+    kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.node").alias("_node"))
+    named = nodes_of(docs, k)
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    chosen = named.filter(words).join(kept.withColumnRenamed("_node", "_n"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_n")))
+    return chosen.dropDuplicates(["doc_id", "_node"]).select(*docs.columns).unionByName(docs.filter(~words))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, mixing, ngram_join, paragraphs, quality, revisits, secrets, syncmers, toxicity
+from tidewater.llm import bpe, mixing, neighbours, ngram_join, paragraphs, quality, revisits, secrets, syncmers, toxicity
 from tidewater.llm.common import table
 
 
@@ -56,6 +56,10 @@ FROM judged
 """
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")
 
@@ -104,5 +108,5 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op3_mixing, op4_secrets, op5_quality, op6_jaccard_join, op7_bpe, op8_syncmers, op9_toxicity, op10_paragraphs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op2_neighbours, op3_mixing, op4_secrets, op5_quality, op6_jaccard_join, op7_bpe, op8_syncmers, op9_toxicity, op10_paragraphs)}
 ORACLE_SQL: dict[str, str] = {"op1_revisits": ORACLE_OP1}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut
+from tidewater.llm.common import cut, join_small
 
 #: Fixed patterns, in the order in which kinds at the same place are listed.
 BASE = (
@@ -100,3 +100,20 @@ def scan(docs: DataFrame, window: int = 160) -> DataFrame:
     )
     empty = none.cast("array<struct<kind:string,start:int,end:int,fingerprint:string,linked:boolean>>")
     return found.drop("_spans").join(kept.select("_row", named.alias("spans")), "_row", "left").withColumn("spans", F.coalesce("spans", empty)).drop("_row")
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", window: int = 160) -> DataFrame:
+    """`docs` with the spans of `scan` in their texts replaced by `mark`; overlapping spans by one mark. All rows and columns stay."""
+    named = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), "text")
+    found = scan(named.select(F.col("_id").alias("id"), F.col("_text").alias("hash"), "text"), window).filter(F.size("spans") > 0)
+    found = cut(found.groupBy("id", "hash").agg(F.first("spans").alias("_spans")))
+    both = join_small(docs, found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash")), "left", most=200_000)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        fresh = s["start"] >= acc["at"]
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+
+    text = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return both.withColumn("text", F.when(F.col("_spans").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)

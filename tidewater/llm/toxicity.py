@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def swapped(text: str, groups: Sequence[Sequence[str]] = IDENTITY_TERMS) -> str:
 
 
 def _features(text: pa.Array) -> tuple[Words, list[np.ndarray]]:
-    found = words(text, ALNUM, prefixes=PREFIXES)
+    found = words(pc.utf8_lower(text), ALNUM, prefixes=PREFIXES)
     return found, [found.hash, *found.prefix.values()]
 
 
@@ -118,7 +119,7 @@ def fit(
     documents differs by `least_z` standard errors are kept, `most_features` of them, besides the identity terms that
     occur. Only those features of the sample come to the driver. Without both labels the model knows only their share.
     """
-    sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, most_rows).dropDuplicates(["doc_id"]).select("doc_id", F.lower("text").alias("text"), "label").persist()
+    sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, most_rows).dropDuplicates(["doc_id"]).select("doc_id", "text", "label").persist()
     counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sum(n for k, n in counts.items() if k == 1), sum(n for k, n in counts.items() if k != 1)
     none = np.zeros(0)
@@ -155,7 +156,7 @@ def fit(
                 doc, at = blank.hits(text)
                 lists = [at[a:b].tolist() for a, b in zip(*(np.searchsorted(doc, np.arange(len(text)), side=s) for s in ("left", "right")))]
                 plain = text.to_pylist()
-                named = [i for i, t in enumerate(plain) if t and re.search(rf"\b(?:{pattern})\b", t)]
+                named = [i for i, t in enumerate(plain) if t and re.search(rf"\b(?:{pattern})\b", t, re.IGNORECASE)]
                 other = pa.array([swapped(plain[i], groups) for i in named], pa.string())
                 doc, at = blank.hits(other)
                 change: list[list[int] | None] = [None] * len(text)
@@ -185,6 +186,18 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(part.column(1)))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(task, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(task, f"doc_id {kind}, score double")
     held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs` (text and any others) that score under CUT, with all their columns."""
+    at = docs.columns.index("text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(model.score(part.column(at)) < CUT))
+
+    return docs.mapInArrow(task, docs.schema)
