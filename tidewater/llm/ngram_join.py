@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import cut, join_small
@@ -23,13 +23,13 @@ class Order:
     def __init__(self, long: np.ndarray):
         by_hash = np.argsort(long)
         self.keys, self.rank = long[by_hash], by_hash.astype(U)
-        self.known = np.zeros(1 << 18, bool)
-        self.known[(long & U(0x3FFFF)).astype(np.int64)] = True
+        self.known = np.zeros(1 << 24, bool)
+        self.known[(long & U(0xFFFFFF)).astype(np.int64)] = True
 
     def place(self, h: np.ndarray) -> np.ndarray:
         """47 bits that rise with the order."""
         out = h >> U(18)
-        maybe = np.flatnonzero(self.known[(h & U(0x3FFFF)).astype(np.int64)])
+        maybe = np.flatnonzero(self.known[(h & U(0xFFFFFF)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.keys, h[maybe]), max(len(self.keys) - 1, 0))
         hit = self.keys[at] == h[maybe] if len(self.keys) else np.zeros(len(maybe), bool)
         out[maybe[hit]] = U(1 << 46) + (U(len(self.keys)) - self.rank[at[hit]])
@@ -50,10 +50,11 @@ def shingle_sets(text: pa.Array, k: int, order: Order) -> tuple[np.ndarray, np.n
 
 
 def long_lists(docs: DataFrame, k: int, most: int) -> np.ndarray:
-    """The `most` most frequent shingles of `docs` that some task meets more than once, the most frequent first.
+    """The most frequent shingles of `docs`, up to `most` of them, the most frequent first.
 
-    They only order the search: any order gives the same links. The table's bound is what makes it small enough to
-    broadcast; frequencies are counted over all documents, in each task and then by Spark.
+    Those are left out that no task meets more than once, and all of the first frequency that does not fit. They only
+    order the search: any order gives the same links. The table's bound is what makes it small enough to broadcast;
+    frequencies are counted over all documents, in each task and then by Spark.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +74,13 @@ def long_lists(docs: DataFrame, k: int, most: int) -> np.ndarray:
         yield repeated(held)
 
     counted = docs.select("text").mapInArrow(task, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("n").desc(), "h").limit(most).select("h").toPandas()
-    return top["h"].to_numpy(np.int64).view(U)
+    counted = cut(counted)
+    sizes = counted.groupBy("n").agg(F.count(F.lit(1)).alias("lists")).orderBy(F.col("n").desc()).limit(most).collect()
+    fitting = np.cumsum([r["lists"] for r in sizes]) <= most
+    if not fitting.any():
+        return np.zeros(0, U)
+    top = counted.filter(F.col("n") >= sizes[int(fitting.sum()) - 1]["n"]).toPandas()
+    return top["h"].to_numpy(np.int64).view(U)[np.lexsort((top["h"], -top["n"]))]
 
 
 def t_occurrence(sets: list[np.ndarray], asked: np.ndarray, percent: int, mu: float = 0.05) -> list[tuple[int, int]]:
@@ -194,10 +200,20 @@ def tied(postings: DataFrame) -> DataFrame:
     return join_small(postings, lists, "h", most=1_000_000).filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v"))
 
 
+def tied_by_size(postings: DataFrame, percent: int) -> DataFrame:
+    """(u, v): each node of a list of `postings` (node, n, h) with the next smaller one of that list, if the two can link by size.
+
+    If two nodes of a list can link, so can all neighbours between them in order of size: the ties connect the two.
+    """
+    before = F.lag(F.struct("node", "n")).over(Window.partitionBy("h").orderBy("n", "node"))
+    near = postings.withColumn("_b", before).filter(F.col("_b").isNotNull() & (100 * F.col("_b.n") >= percent * F.col("n")))
+    return near.select(F.col("node").alias("u"), F.col("_b.node").alias("v")).distinct()
+
+
 WANTED = "node long, grp long, block long, bin long, pairs array<struct<i:long,j:long>>, data binary"
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, most_long: int = 131_072, block: int = 400_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, most_long: int = 1_000_000, block: int = 400_000) -> DataFrame:
     """doc_id, n_shingles, node, component and component_id of each row of `docs` (doc_id, text): the classes that links connect.
 
     A document's set are its distinct `k`-word shingles (words between white space, A-Z lower-cased; a shorter text is
@@ -205,7 +221,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, most_long
 
     1. Equal sets are one node. 2. A set of n shingles can only link to another if one of the first
     n - ceil(percent n / 100) + 1 shingles of each, in a common order with frequent shingles last, is the same: the
-    nodes of such a list are tied to its least one, which takes as many rows as the list has. 3. Components of those
+    nodes of such a list are tied to the next smaller one, which takes as many rows as the list has. 3. Components of those
     ties are groups that hold all links; in each one the links are found by T-occurrence search. Groups of more than
     `block` shingles are cut into blocks by size and compared in pairs of blocks whose sizes can link, so that a task
     never holds more than two blocks. 4. Components of the links.
@@ -234,7 +250,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, most_long
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), pa.array(node), lists], names=["doc_id", "n", "node", "prefix"])
 
     sets = cut(docs.mapInArrow(task, f"doc_id {kind}, n long, node long, prefix array<long>"))
-    postings = sets.filter("size(prefix) > 0").select("node", F.explode("prefix").alias("h"))
+    postings = sets.filter("size(prefix) > 0").select("node", "n", F.explode("prefix").alias("h"))
 
     def fetch(wanted: DataFrame) -> DataFrame:
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +266,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, most_long
         return rows.select("text", "node", "grp", "block", "bin", "pairs").mapInArrow(find, WANTED)
 
     nodes = sets.groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("doc"), F.first("n").alias("n"))
-    linked = exact_links(nodes, tied(postings), fetch, percent, block)
+    linked = exact_links(nodes, tied_by_size(postings, percent), fetch, percent, block)
 
     named = sets.select("doc_id", "n", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = cut(named)
