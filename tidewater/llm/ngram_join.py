@@ -17,29 +17,10 @@ from tidewater.llm.vector import mix, shingles, slices, words
 U = np.uint64
 
 
-class Order:
-    """The order of shingles: those of `long` lists last, by length, the others before them by hash."""
-
-    def __init__(self, long: np.ndarray):
-        by_hash = np.argsort(long)
-        self.keys, self.rank = long[by_hash], by_hash.astype(U)
-        self.known = np.zeros(1 << 24, bool)
-        self.known[(long & U(0xFFFFFF)).astype(np.int64)] = True
-
-    def place(self, h: np.ndarray) -> np.ndarray:
-        """47 bits that rise with the order."""
-        out = h >> U(18)
-        maybe = np.flatnonzero(self.known[(h & U(0xFFFFFF)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, h[maybe]), max(len(self.keys) - 1, 0))
-        hit = self.keys[at] == h[maybe] if len(self.keys) else np.zeros(len(maybe), bool)
-        out[maybe[hit]] = U(1 << 46) + (U(len(self.keys)) - self.rank[at[hit]])
-        return out
-
-
-def shingle_sets(text: pa.Array, k: int, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shingles of all texts, n + 1 offsets, node): each text's distinct shingles in order; equal sets have equal nodes."""
+def shingle_sets(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles of all texts, n + 1 offsets, node): each text's distinct shingles by hash; equal sets have equal nodes."""
     doc, h = shingles(words(text), k)
-    by = np.argsort((doc.astype(U) << U(47)) | order.place(h))
+    by = np.argsort((doc.astype(U) << U(44)) | (h >> U(20)))
     doc, h = doc[by], h[by]
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
     doc, h = doc[new], h[new]
@@ -49,38 +30,58 @@ def shingle_sets(text: pa.Array, k: int, order: Order) -> tuple[np.ndarray, np.n
     return h, ends, mix(total[ends[1:]] - total[ends[:-1]] + size.astype(U)).view(np.int64)
 
 
-def long_lists(docs: DataFrame, k: int, most: int) -> np.ndarray:
-    """The most frequent shingles of `docs`, up to `most` of them, the most frequent first.
+def size_bounds(percent: int) -> np.ndarray:
+    """Rising lower bounds of classes of set sizes; sets that link lie in one class or in two neighbouring ones."""
+    bounds = [1]
+    while bounds[-1] < 1 << 31:
+        bounds.append(max(bounds[-1] + 1, math.ceil(bounds[-1] * max(1.5, 100 / percent))))
+    return np.array(bounds)
 
-    Those are left out that no task meets more than once, and all of the first frequency that does not fit. They only
-    order the search: any order gives the same links. The table's bound is what makes it small enough to broadcast;
-    frequencies are counted over all documents, in each task and then by Spark.
-    """
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def repeated(parts: list[np.ndarray]) -> pa.RecordBatch:
-            h = np.sort(np.concatenate(parts)) if parts else np.zeros(0, U)
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(h)))
-            return pa.RecordBatch.from_arrays([pa.array(h[first[count > 1]].view(np.int64)), pa.array(count[count > 1])], names=["h", "n"])
+def signatures(h: np.ndarray, ends: np.ndarray, chosen: np.ndarray, percent: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, signature) of the `chosen` sets, ordered by set: sets that link and differ have a signature in common.
 
-        held: list[np.ndarray] = []
-        for batch in batches:
-            for part in slices(batch, 0, 1 << 22):
-                held.append(shingles(words(part.column(0)), k)[1])
-                if sum(map(len, held)) > 6_000_000:
-                    yield repeated(held)
-                    held = []
-        yield repeated(held)
-
-    counted = docs.select("text").mapInArrow(task, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    counted = cut(counted)
-    sizes = counted.groupBy("n").agg(F.count(F.lit(1)).alias("lists")).orderBy(F.col("n").desc()).limit(most).collect()
-    fitting = np.cumsum([r["lists"] for r in sizes]) <= most
-    if not fitting.any():
-        return np.zeros(0, U)
-    top = counted.filter(F.col("n") >= sizes[int(fitting.sum()) - 1]["n"]).toPandas()
-    return top["h"].to_numpy(np.int64).view(U)[np.lexsort((top["h"], -top["n"]))]
+    The shingles of a set are dealt into m parts by hash. Two sets that link differ in at most d shingles, so in at most
+    d parts. In any order of parts that depends on their content alone, the parts before the first common one differ,
+    so the first d + 1 parts of both sets hold it; the largest parts come first, as the least likely to be equal by
+    chance. m follows from the class of the larger set's size, so a set that can link to larger ones of the next class is dealt
+    twice. Two sets that both have no more than d parts with shingles are found by their first shingles instead.
+    """
+    size = np.diff(ends)
+    own = np.searchsorted(bounds, size, side="right") - 1
+    owners, values = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    for step in (0, 1):
+        scheme = own + step
+        top = bounds[scheme + 1] - 1
+        differ = (size + np.minimum(100 * size // percent, top)) * (100 - percent) // (100 + percent)
+        able = chosen & (size > 0) & (differ > 0) & ((step == 0) | (100 * size >= percent * bounds[scheme]))
+        at = np.flatnonzero(able)
+        if not len(at):
+            continue
+        n, d, seed = size[at], differ[at], mix(scheme[at].astype(U) + U(77))
+        parts = np.ceil(1.22 * (2 * top[at] * (100 - percent) // (100 + percent) + 1)).astype(U) + U(2)
+        row = np.repeat(np.arange(len(at)), n)
+        x = mix(h[np.repeat(ends[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] ^ seed[row])
+        key = (row.astype(U) << U(32)) | ((x >> U(16)) % parts[row])
+        by = np.argsort(key)
+        key, x = key[by], x[by]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        content, owner = mix(np.add.reduceat(mix(x), begin)), (key[begin] >> U(32)).astype(np.int64)
+        many = np.minimum(np.diff(np.append(begin, len(key))), 255)
+        by = np.argsort((owner.astype(U) << U(40)) | ((255 - many).astype(U) << U(32)) | (content >> U(32)))
+        content, owner = content[by], owner[by]
+        first = np.searchsorted(owner, np.arange(len(at)))
+        kept = np.arange(len(owner)) - first[owner] <= d[owner]
+        owners.append(at[owner[kept]])
+        values.append(content[kept])
+        few = np.flatnonzero(np.bincount(owner, minlength=len(at)) <= d)
+        prefix = n[few] - -(-percent * n[few] // 100) + 1
+        from_ = np.repeat(ends[at[few]] - np.concatenate([[0], np.cumsum(prefix)[:-1]]).astype(np.int64), prefix) + np.arange(prefix.sum())
+        owners.append(np.repeat(at[few], prefix))
+        values.append(mix(h[from_] + U(2) * np.repeat(seed[few], prefix)))
+    owner, value = np.concatenate(owners), np.concatenate(values)
+    by = np.argsort(owner, kind="stable")
+    return owner[by], value[by]
 
 
 def t_occurrence(sets: list[np.ndarray], asked: np.ndarray, percent: int, mu: float = 0.05) -> list[tuple[int, int]]:
@@ -207,57 +208,51 @@ def tied_by_size(postings: DataFrame, percent: int) -> DataFrame:
     """
     before = F.lag(F.struct("node", "n")).over(Window.partitionBy("h").orderBy("n", "node"))
     near = postings.withColumn("_b", before).filter(F.col("_b").isNotNull() & (100 * F.col("_b.n") >= percent * F.col("n")))
-    return near.select(F.col("node").alias("u"), F.col("_b.node").alias("v")).distinct()
+    return near.select(F.col("node").alias("u"), F.col("_b.node").alias("v")).filter("u != v").distinct()
 
 
 WANTED = "node long, grp long, block long, bin long, pairs array<struct<i:long,j:long>>, data binary"
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, most_long: int = 1_000_000, block: int = 400_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 400_000) -> DataFrame:
     """doc_id, n_shingles, node, component and component_id of each row of `docs` (doc_id, text): the classes that links connect.
 
     A document's set are its distinct `k`-word shingles (words between white space, A-Z lower-cased; a shorter text is
     one shingle). Sets link if 100 * intersection >= `percent` * union. component_id is the least doc_id reachable.
 
-    1. Equal sets are one node. 2. A set of n shingles can only link to another if one of the first
-    n - ceil(percent n / 100) + 1 shingles of each, in a common order with frequent shingles last, is the same: the
-    nodes of such a list are tied to the next smaller one, which takes as many rows as the list has. 3. Components of those
-    ties are groups that hold all links; in each one the links are found by T-occurrence search. Groups of more than
-    `block` shingles are cut into blocks by size and compared in pairs of blocks whose sizes can link, so that a task
-    never holds more than two blocks. 4. Components of the links.
+    1. Equal sets are one node. 2. Sets that link have one of their `signatures` in common: the nodes of a signature
+    are tied to the next smaller one, which takes as many rows as there are nodes. 3. Components of those ties are
+    groups that hold all links; in each one the links are found by T-occurrence search. Groups of more than `block`
+    shingles are cut into blocks by size and compared in pairs of blocks whose sizes can link, so that a task never
+    holds more than two blocks. 4. Components of the links.
 
     Null and empty texts, and texts of white space only, have no shingles and link with nothing: component_id is their
     own doc_id. Repeated rows are in one component; null ids are never the least. An empty table gives no rows; other
     columns are ignored. Hashes have 64 bits.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(long_lists(docs, k, most_long))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bounds = size_bounds(percent)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(shared.value)
         for batch in batches:
             for part in slices(batch, 1, 1 << 22):
-                h, ends, node = shingle_sets(part.column(1), k, order)
-                size = np.diff(ends)
+                h, ends, node = shingle_sets(part.column(1), k)
                 first = np.zeros(len(node), bool)
                 first[np.unique(node, return_index=True)[1]] = True
-                prefix = np.where(first & (size > 0), size - -(-percent * size // 100) + 1, 0)
-                at = np.concatenate([[0], np.cumsum(prefix)])
-                flat = h[np.repeat(ends[:-1] - at[:-1], prefix) + np.arange(at[-1])]
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), pa.array(node), lists], names=["doc_id", "n", "node", "prefix"])
+                owner, value = signatures(h, ends, first, percent, bounds)
+                at = np.searchsorted(owner, np.arange(len(node) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(node), lists], names=["doc_id", "n", "node", "signs"])
 
-    sets = cut(docs.mapInArrow(task, f"doc_id {kind}, n long, node long, prefix array<long>"))
-    postings = sets.filter("size(prefix) > 0").select("node", "n", F.explode("prefix").alias("h"))
+    sets = cut(docs.mapInArrow(task, f"doc_id {kind}, n long, node long, signs array<long>"))
+    postings = sets.filter("size(signs) > 0").select("node", "n", F.explode("signs").alias("h"))
 
     def fetch(wanted: DataFrame) -> DataFrame:
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            order = Order(shared.value)
             for batch in batches:
                 for part in slices(batch, 0, 1 << 22):
-                    h, ends, node = shingle_sets(part.column(0), k, order)
+                    h, ends, node = shingle_sets(part.column(0), k)
                     own = np.flatnonzero(node == part.column(1).to_numpy())
                     data = [h[ends[i] : ends[i + 1]].tobytes() for i in own]
                     yield pa.RecordBatch.from_arrays([*part.take(pa.array(own)).columns[1:], pa.array(data, pa.binary())], names=["node", "grp", "block", "bin", "pairs", "data"])
@@ -282,10 +277,9 @@ def nodes_of(docs: DataFrame, k: int) -> DataFrame:
     schema = docs.withColumn("_node", F.lit(0).cast("long")).schema
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(np.zeros(0, U))
         for batch in batches:
             for part in slices(batch, at, 1 << 22):
-                node = pa.array(shingle_sets(part.column(at), k, order)[2])
+                node = pa.array(shingle_sets(part.column(at), k)[2])
                 yield pa.RecordBatch.from_arrays([*part.columns, node], names=[*part.schema.names, "_node"])
 
     return docs.mapInArrow(task, schema)
