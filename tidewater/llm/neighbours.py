@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import cut, tidy
@@ -80,13 +80,17 @@ def _sampled(u: np.ndarray, w: np.ndarray, most: int, seed: int) -> np.ndarray:
 
 
 class Graph:
-    """An NN-descent neighbour graph. `blocks` hash classes of about `block` vectors are the unit of work of a task."""
+    """An NN-descent neighbour graph over nodes u; `names` has u and vec_id.
 
-    def __init__(self, rows: DataFrame, n: int, k: int, block: int):
-        self.rows, self.n, self.k, self.blocks = rows, n, k, max(1, -(-n // block))
+    The upper bits of a node's number are its block, the unit of work of a task. Blocks hold vectors of one direction, so
+    most neighbours are in a node's own block and what a block needs from others is little.
+    """
+
+    def __init__(self, rows: DataFrame, names: DataFrame, k: int):
+        self.rows, self.names, self.k = rows, names, k
 
     def _block(self, column: str):
-        return F.pmod(F.xxhash64(column), F.lit(self.blocks))
+        return F.shiftright(column, 32)
 
     def merged(self, found: DataFrame) -> None:
         """Takes the best `k` of the neighbours known and those of `found` (LISTS)."""
@@ -161,7 +165,8 @@ def usable(vectors: DataFrame) -> DataFrame:
 def build(vectors: DataFrame, k: int = 32, trees: int = 6, rounds: int = 4, sample: int = 20, each: int = 8, leaf: int = 256, block: int = 4096) -> Graph | None:
     """The graph of `vectors` (as from `usable`): each vector with about its `k` best by inner product; None without vectors.
 
-    It starts from the best within hash classes (signs of random projections, `trees` of them, large classes dealt at
+    Vectors are dealt into blocks of up to about `block` by the first signs of one projection, large cells by hash.
+    The graph starts from the best within hash classes (signs of random projections, `trees` of them, large classes dealt at
     random into leaves), and gets better in `rounds` of comparing neighbours of neighbours, `sample` each way.
     """
     size, greatest, width = vectors.select(F.count(F.lit(1)), F.max(F.array_max(F.transform("embedding", F.abs))), F.max(F.size("embedding"))).first()
@@ -175,9 +180,16 @@ def build(vectors: DataFrame, k: int = 32, trees: int = 6, rounds: int = 4, samp
             x = np.array(batch.column(1).flatten(), np.float64).reshape(len(batch), -1) / greatest
             codes = np.stack([((x @ a > 0) @ (1 << np.arange(a.shape[1]))) if bits else np.zeros(len(x), np.int64) for a in axes], axis=1)
             x = x.astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int64()))], names=["u", "vec", "codes"])
-
-    packed = cut(vectors.filter(F.size("embedding") == width).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(pack, "u long, vec binary, codes array<long>"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int64()))], names=["vec_id", "vec", "codes"])
+
+    packed = vectors.filter(F.size("embedding") == width).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(pack, "vec_id long, vec binary, codes array<long>")
+    fine = min(bits, max(0, int(np.ceil(np.log2(size / block)))))
+    packed = cut(packed.withColumn("cell", F.shiftright(F.col("codes")[0], bits - fine)))
+    cells = packed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    cells = cells.withColumn("first", F.sum("parts").over(Window.partitionBy(F.lit(0)).orderBy("cell")) - F.col("parts"))
+    dealt = packed.join(cells, "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    place = F.row_number().over(Window.partitionBy("block").orderBy("vec_id"))
+    packed = cut(dealt.select((F.shiftleft("block", 32) + place).alias("u"), "vec_id", "vec", "codes"))
     keyed = packed.select("u", "vec", F.posexplode("codes").alias("tree", "code")).filter(F.lit(bits > 0) | (F.col("tree") == 0))
     parts = keyed.groupBy("tree", "code").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).alias("parts"))
     part = F.pmod(F.xxhash64("u", "tree"), F.col("parts"))
@@ -200,7 +212,7 @@ def build(vectors: DataFrame, k: int = 32, trees: int = 6, rounds: int = 4, samp
         return pa.table({"u": nodes, "ids": ids, "sims": sims})
 
     start = packed.select("u", "vec", F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("sims"))
-    graph = Graph(start, size, k, block)
+    graph = Graph(start, packed.select("u", "vec_id"), k)
     graph.merged(leaves.groupBy(F.pmod("leaf", F.lit(bins)).alias("bin")).applyInArrow(best, LISTS))
     for i in range(rounds if bits else 0):
         graph.descend(sample, each, 11 * i + 1)
@@ -211,14 +223,16 @@ STATE = "q long, vec binary, ids array<long>, sims array<float>, seen array<long
 
 
 def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, expand: int = 64, most_hops: int = 7) -> DataFrame:
-    """STATE of each vector whose id is in `queries` (u): the best found by greedy search from its own place in the graph.
+    """STATE of each node that is in `queries` (u): the best found by greedy search from its own place in the graph.
 
     Each hop opens the `expand` best vectors of the `held` best that are not open yet: their neighbours, both ways, are
     compared with the query in the block of the opened vector. Queries end when all they hold is open, or after
     `most_hops`. Only ids and inner products travel between hops, and the query's own vector.
     """
     edges = cut(graph.edges(graph.k, back, 5))
-    lists = edges.groupBy("b", "centre").agg(F.collect_set("member").alias("members"))
+    # Vectors that are neighbours of very many others: of those, as many as are opened at a time.
+    near = F.array_sort(F.collect_set(F.struct(F.xxhash64("member").alias("h"), "member")))
+    lists = edges.groupBy("b", "centre").agg(F.transform(F.slice(near, 1, 16 * expand), lambda x: x["member"]).alias("members"))
     opened = cut(
         lists.select("b", F.col("centre").alias("id"), "members", F.lit(None).cast("binary").alias("vec")).unionByName(
             graph.with_vectors(edges).select(F.col("block").alias("b"), F.col("node").alias("id"), F.lit(None).cast("array<long>").alias("members"), "vec")
@@ -299,8 +313,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, **build_options) -> DataF
     graph = build(good, **build_options)
     if graph is None:
         return good.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    found = search(graph, good.filter(is_query).select(F.col("vec_id").alias("u")))
-    pairs = found.select(F.col("q").alias("query_id"), F.explode(F.slice("ids", 1, 2 * k)).alias("vec_id"))
+    names = graph.names
+    found = search(graph, names.join(good.filter(is_query).select("vec_id"), "vec_id", "left_semi").select("u"))
+    pairs = found.select("q", F.explode(F.slice("ids", 1, 2 * k)).alias("u")).join(names, "u").drop("u")
+    pairs = pairs.join(names.select(F.col("u").alias("q"), F.col("vec_id").alias("query_id")), "q")
     pairs = pairs.join(good.withColumnRenamed("embedding", "_w"), "vec_id").join(good.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q")), "query_id")
     score = F.aggregate(F.zip_with("_q", "_w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     ranked = pairs.select("query_id", "vec_id", score.alias("score"))
