@@ -147,8 +147,11 @@ class Graph:
             first = np.searchsorted(row, np.arange(len(centres)))
             table = np.full((len(centres), 2 * sample), -1)
             table[row, np.arange(len(row)) - first[row]] = member
-            u, w, sim = local_join(x, table, worst, each)
-            nodes, lists, sims = _lists(*top_of(ids[u], ids[w], sim, 3 * each))
+            best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
+            for a in range(0, len(table), 2048):
+                found = local_join(x, table[a : a + 2048], worst, each)
+                best = [*top_of(*[np.concatenate(c) for c in zip(best, found)], 3 * each)]
+            nodes, lists, sims = _lists(ids[best[0]], ids[best[1]], best[2])
             return pa.table({"u": nodes, "ids": lists, "sims": sims})
 
         self.merged(edges.groupBy("b").cogroup(self.with_vectors(edges).groupBy("block")).applyInArrow(join, LISTS))
@@ -162,7 +165,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", F.transform(v, lambda x: x.cast("double")).alias("embedding")).filter(good).dropDuplicates(["vec_id"])
 
 
-def build(vectors: DataFrame, k: int = 32, trees: int = 6, rounds: int = 4, sample: int = 20, each: int = 8, leaf: int = 256, block: int = 4096) -> Graph | None:
+def build(vectors: DataFrame, k: int = 32, trees: int = 6, rounds: int = 4, sample: int = 16, each: int = 8, leaf: int = 256, block: int = 16_384) -> Graph | None:
     """The graph of `vectors` (as from `usable`): each vector with about its `k` best by inner product; None without vectors.
 
     Vectors are dealt into blocks of up to about `block` by the first signs of one projection, large cells by hash.
