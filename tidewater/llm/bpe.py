@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -194,7 +193,6 @@ def read_vocabulary(path: str) -> tuple[dict[str, int], list[tuple[str, str]], d
     return j["model"]["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in j["model"]["merges"]], {x["content"]: x["id"] for x in j["added_tokens"]}
 
 
-@lru_cache(maxsize=4)
 def read_merges(path: str) -> Merges:
     return Merges(*read_vocabulary(path))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut
+from tidewater.llm.common import cut, tidy
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = cut(edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL AND u != v").distinct())
     seen = None
-    for _ in range(most_rounds):
+    for i in range(most_rounds):
+        if i % 3 == 2:
+            tidy(now.sparkSession)
         now = cut(_small_star(_large_star(now)))
         sign = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sign == seen:

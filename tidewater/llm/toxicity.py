@@ -79,9 +79,9 @@ class Rows:
     n: int
 
     @staticmethod
-    def of(lists: Sequence[Sequence[int]]) -> Rows:
+    def of(lists: Sequence[np.ndarray]) -> Rows:
         sizes = np.array([len(x) for x in lists], int)
-        return Rows(np.repeat(np.arange(len(sizes)), sizes), np.array([i for x in lists for i in x], int), len(sizes))
+        return Rows(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int32), len(sizes))
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.column], minlength=self.n)
@@ -162,9 +162,9 @@ def fit(
                 change: list[list[int] | None] = [None] * len(text)
                 for k, i in enumerate(named):
                     change[i] = at[np.searchsorted(doc, k, side="left") : np.searchsorted(doc, k, side="right")].tolist()
-                yield pa.RecordBatch.from_arrays([label, pa.array(lists, pa.list_(pa.int64())), pa.array(change, pa.list_(pa.int64()))], names=["label", "at", "swapped"])
+                yield pa.RecordBatch.from_arrays([label, pa.array(lists, pa.list_(pa.int32())), pa.array(change, pa.list_(pa.int32()))], names=["label", "at", "swapped"])
 
-    learned = sample.orderBy("doc_id").select("text", "label").mapInArrow(rows, "label int, at array<long>, swapped array<long>").toPandas()
+    learned = sample.orderBy("doc_id").select("text", "label").mapInArrow(rows, "label int, at array<int>, swapped array<int>").toPandas()
     sample.unpersist()
 
     named = learned[learned["swapped"].notna()]
