@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def ngrams(c: Column, n: int = 2) -> Column:
@@ -49,7 +50,7 @@ def weighted(parts: list[tuple[Column, float]]) -> Column:
     return out
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def damerau(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance with swaps of neighbours, each place edited once."""
 

@@ -21,7 +21,7 @@ def explode(df: DataFrame, column: str, preserve_empty: bool = True, empty_value
     """A row for each element of a list; null lists stay as one null; empty ones as `empty_value`, or go."""
     c = F.col(column)
     kind = df.schema[column].dataType
-    one = lambda v: F.array(F.lit(v)).cast(kind)
+    one = lambda v: F.array(F.lit(v).cast(kind.elementType))
     lists = F.when(c.isNull(), one(None)).otherwise(c)
     if preserve_empty:
         lists = F.when(F.size(c) == 0, one(empty_value)).otherwise(lists)
