@@ -58,8 +58,10 @@ def resolve(records: DataFrame, permitted: Sequence[str] = PERMITTED, per_part:
     asked = asked.filter(F.col("canonical").isNotNull()).select("record_id", F.col("_found.record_id").alias("response_id"), F.col("_found.date").alias("response_date"))
 
     revisits = records.filter("kind = 'revisit'").select("record_id", "url", "date", "headers")
-    stored = records.filter("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col("headers").alias("_stored")).dropDuplicates(["response_id"])
-    joined = revisits.join(asked.dropDuplicates(["record_id"]), "record_id", "left").join(stored, "response_id", "left")
+    stored = records.filter("kind = 'response'").select(F.col("record_id").alias("_key"), F.col("headers").alias("_stored")).dropDuplicates(["_key"])
+    # Revisits without a response are spread by their own number, as nulls would all meet in one task.
+    joined = revisits.join(asked.dropDuplicates(["record_id"]), "record_id", "left").withColumn("_key", F.coalesce("response_id", -1 - F.col("record_id")))
+    joined = joined.join(stored, "_key", "left").withColumn("_stored", F.when(F.col("response_id").isNotNull(), F.col("_stored")))
     tag = lambda h: F.regexp_replace(F.element_at(h, "etag"), "^W/", "")
     modified = lambda h: F.element_at(h, "last-modified")
     same = F.when(tag(F.col("headers")).isNotNull(), tag(F.col("headers")).eqNullSafe(tag(F.col("_stored")))).when(
