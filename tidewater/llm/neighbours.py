@@ -165,7 +165,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", F.transform(v, lambda x: x.cast("double")).alias("embedding")).filter(good).dropDuplicates(["vec_id"])
 
 
-def build(vectors: DataFrame, k: int = 32, trees: int = 6, rounds: int = 4, sample: int = 16, each: int = 8, leaf: int = 256, block: int = 16_384) -> Graph | None:
+def build(vectors: DataFrame, k: int = 32, trees: int = 6, rounds: int = 3, sample: int = 16, each: int = 8, leaf: int = 256, block: int = 16_384) -> Graph | None:
     """The graph of `vectors` (as from `usable`): each vector with about its `k` best by inner product; None without vectors.
 
     Vectors are dealt into blocks of up to about `block` by the first signs of one projection, large cells by hash.
