@@ -132,7 +132,7 @@ class PrefixTrie:
 class Encoder:
     """Encodes batches of texts: distinct pieces of text once, their distinct words once through the trie."""
 
-    def __init__(self, merges: Merges, most_kept: int = 500_000):
+    def __init__(self, merges: Merges, most_kept: int = 250_000):
         self.merges, self.trie, self.most_kept = merges, PrefixTrie(merges), most_kept
         self.alphabet = {b: ord(c) for b, c in enumerate(byte_alphabet()) if ord(c) != b}
         self.special = regex.compile("|".join(map(regex.escape, merges.special))) if merges.special else None

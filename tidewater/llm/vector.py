@@ -121,7 +121,7 @@ def shingles(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return doc, value
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about `most` bytes of its text column, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size, dtype=np.int64) // most
