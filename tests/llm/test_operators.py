@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, mixing, ngram_join, paragraphs, quality, queries, revisits, secrets, syncmers, toxicity
+from tidewater.llm import bpe, mixing, neighbours, ngram_join, paragraphs, quality, queries, revisits, secrets, syncmers, toxicity
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,6 +71,20 @@ def test_neighbours_recall(spark):
     assert hit / total >= 0.9
 
 
+def test_neighbours_in_many_blocks_descend_until_settled(spark):
+    x = np.random.default_rng(1).normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    graph = neighbours.build(neighbours.usable(df), leaf=16, trees=2, block=512)
+    names = {r["u"]: r["vec_id"] for r in graph.names.collect()}
+    hit = 0
+    for r in graph.rows.select("u", "ids").collect():
+        i = names[r["u"]]
+        s = x @ x[i]
+        s[i] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & {names[w] for w in r["ids"]})
+    assert hit / (20 * len(x)) >= 0.99
+
+
 def test_mixing(spark, rows):
     found = queries.op3_mixing(spark, SMALL).toPandas()
     sizes = {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in rows}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import cut, tidy
 from tidewater.llm.vector import mix
 
-#: Graph rows: a vector (in half precision), and its neighbours by falling inner product.
-GRAPH = "u long, vec binary, ids array<long>, sims array<float>"
+#: Graph rows: a vector (in half precision), its neighbours by falling inner product, and how many of them the last merge brought.
+GRAPH = "u long, vec binary, ids array<long>, sims array<float>, better int"
 LISTS = "u long, ids array<long>, sims array<float>"
 
 
@@ -100,20 +101,31 @@ class Graph:
             u = rows.column("u").to_numpy()
             kept = top_of(*_flat(u, rows.column("ids"), rows.column("sims")), k)
             nodes, ids, sims = _lists(*kept)
-            own = rows.filter(pa.compute.is_valid(rows.column("vec"))).select(["u", "vec"])
+            own = rows.filter(pa.compute.is_valid(rows.column("vec")))
             at = {x: i for i, x in enumerate(nodes.to_pylist())}
             empty: list = []
             places = [at.get(x) for x in own.column("u").to_pylist()]
+            better = []
+            for p, had, old in zip(places, own.column("ids").to_pylist(), own.column("sims").to_pylist()):
+                # Of equal products rounding decides, which is no progress.
+                least = old[-1] + 1e-5 * abs(old[-1]) if len(old) >= k else -np.inf
+                better.append(int((~np.isin(ids[p].values.to_numpy(), had) & (sims[p].values.to_numpy() > least)).sum()) if p is not None else 0)
             return pa.table({
                 "u": own.column("u"), "vec": own.column("vec"),
                 "ids": pa.array([ids[p].as_py() if p is not None else empty for p in places], pa.list_(pa.int64())),
                 "sims": pa.array([sims[p].as_py() if p is not None else empty for p in places], pa.list_(pa.float32())),
+                "better": pa.array(better, pa.int32()),
             })
 
         both = self.rows.unionByName(found, allowMissingColumns=True)
         self.rows = cut(both.groupBy(self._block("u").alias("b")).applyInArrow(merge, GRAPH))
         tidy(self.rows.sparkSession)
 
+    def progress(self) -> float:
+        """Share of all places in the lists of neighbours that the last merge filled anew."""
+        n, better = self.rows.agg(F.count(F.lit(1)), F.sum("better")).first()
+        return (better or 0) / max(1, n * self.k)
+
     def edges(self, forward: int, back: int, seed: int) -> DataFrame:
         """(centre, member): of each vector `forward` of its neighbours and, of the vectors it is a neighbour of, up to `back` of each batch."""
 
@@ -165,12 +177,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", F.transform(v, lambda x: x.cast("double")).alias("embedding")).filter(good).dropDuplicates(["vec_id"])
 
 
-def build(vectors: DataFrame, k: int = 32, trees: int = 6, rounds: int = 3, sample: int = 16, each: int = 8, leaf: int = 256, block: int = 16_384) -> Graph | None:
+def build(vectors: DataFrame, k: int = 32, trees: int = 6, settled: float = 0.001, sample: int = 20, each: int = 8, leaf: int = 256, block: int = 16_384) -> Graph | None:
     """The graph of `vectors` (as from `usable`): each vector with about its `k` best by inner product; None without vectors.
 
     Vectors are dealt into blocks of up to about `block` by the first signs of one projection, large cells by hash.
     The graph starts from the best within hash classes (signs of random projections, `trees` of them, large classes dealt at
-    random into leaves), and gets better in `rounds` of comparing neighbours of neighbours, `sample` each way.
+    random into leaves), and gets better in rounds of comparing neighbours of neighbours, `sample` each way, until a round
+    changes no more than the share `settled` of all neighbours.
     """
     size, greatest, width = vectors.select(F.count(F.lit(1)), F.max(F.array_max(F.transform("embedding", F.abs))), F.max(F.size("embedding"))).first()
     if not size:
@@ -214,23 +227,25 @@ def build(vectors: DataFrame, k: int = 32, trees: int = 6, rounds: int = 3, samp
         nodes, ids, sims = _lists(*top_of(*flat, k))
         return pa.table({"u": nodes, "ids": ids, "sims": sims})
 
-    start = packed.select("u", "vec", F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("sims"))
+    start = packed.select("u", "vec", F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("sims"), F.lit(0).alias("better"))
     graph = Graph(start, packed.select("u", "vec_id"), k)
     graph.merged(leaves.groupBy(F.pmod("leaf", F.lit(bins)).alias("bin")).applyInArrow(best, LISTS))
-    for i in range(rounds if bits else 0):
+    for i in itertools.count() if bits else ():
         graph.descend(sample, each, 11 * i + 1)
+        if graph.progress() <= settled:
+            break
     return graph
 
 
 STATE = "q long, vec binary, ids array<long>, sims array<float>, seen array<long>"
 
 
-def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, expand: int = 64, most_hops: int = 7) -> DataFrame:
+def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, expand: int = 64) -> DataFrame:
     """STATE of each node that is in `queries` (u): the best found by greedy search from its own place in the graph.
 
     Each hop opens the `expand` best vectors of the `held` best that are not open yet: their neighbours, both ways, are
-    compared with the query in the block of the opened vector. Queries end when all they hold is open, or after
-    `most_hops`. Only ids and inner products travel between hops, and the query's own vector.
+    compared with the query in the block of the opened vector. Queries end when all they hold is open.
+    Only ids and inner products travel between hops, and the query's own vector.
     """
     edges = cut(graph.edges(graph.k, back, 5))
     # Vectors that are neighbours of very many others: of those, as many as are opened at a time.
@@ -290,7 +305,7 @@ def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, ex
         kinds = {"q": pa.int64(), "vec": pa.binary(), "ids": pa.list_(pa.int64()), "sims": pa.list_(pa.float32()), "seen": pa.list_(pa.int64()), "next": pa.list_(pa.int64())}
         return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
 
-    for _ in range(most_hops):
+    while True:
         worst = F.when(F.size("sims") >= held, F.element_at("sims", -1)).otherwise(F.lit(float("-inf"))).cast("float")
         asked = state.filter(F.size("next") > 0).select("q", "vec", worst.alias("worst"), F.explode("next").alias("node"))
         asked = asked.groupBy("q", "vec", "worst", graph._block("node").alias("block")).agg(F.collect_list("node").alias("nodes"))
