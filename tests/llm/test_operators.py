@@ -85,6 +85,21 @@ def test_neighbours_in_many_blocks_descend_until_settled(spark):
     assert hit / (20 * len(x)) >= 0.99
 
 
+def test_neighbours_of_other_scales_and_lengths(spark):
+    rng = np.random.default_rng(2)
+    x = [*rng.normal(size=(600, 8)), *rng.normal(size=(30, 3)), rng.normal(size=200)]
+    x[5] = x[5] * 1e9
+    x[7] = x[7] * 1e-60
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(df, F.col("vec_id") % 5 == 0, k=10, leaf=16, block=256).toPandas()
+    hit = total = 0
+    for i in range(0, len(x), 5):
+        others = [j for j in range(len(x)) if j != i and len(x[j]) == len(x[i])]
+        best = sorted(others, key=lambda j: (-(x[j] @ x[i]), j))[:10]
+        hit, total = hit + len(set(best) & set(found[found["query_id"] == i]["vec_id"])), total + len(best)
+    assert len(found) == total and hit / total >= 0.98
+
+
 def test_mixing(spark, rows):
     found = queries.op3_mixing(spark, SMALL).toPandas()
     sizes = {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in rows}

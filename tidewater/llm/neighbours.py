@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import cut, tidy
 from tidewater.llm.vector import mix
 
-#: Graph rows: a vector (in half precision), its neighbours by falling inner product, and how many of them the last merge brought.
-GRAPH = "u long, vec binary, ids array<long>, sims array<float>, better int"
-LISTS = "u long, ids array<long>, sims array<float>"
+#: Graph rows: a vector (its scale in double, its direction in half precision), its neighbours by falling inner product, and how many of them the last merge brought.
+GRAPH = "u long, vec binary, ids array<long>, sims array<double>, better int"
+LISTS = "u long, ids array<long>, sims array<double>"
 
 
 def top_of(u: np.ndarray, w: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,13 +32,13 @@ def top_of(u: np.ndarray, w: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.nd
     return u[rank < k], w[rank < k], sim[rank < k]
 
 
-def local_join(x: np.ndarray, members: np.ndarray, worst: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def local_join(x: np.ndarray, scale: np.ndarray, members: np.ndarray, worst: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the members of each centre (rows of `members`, -1: none), the `each` best others of each one that beat its worst neighbour."""
     us, ws, sims = [], [], []
     for a in range(0, len(members), 128):
         m = members[a : a + 128]
         v = x[np.maximum(m, 0)]
-        s = v @ v.transpose(0, 2, 1)
+        s = (v @ v.transpose(0, 2, 1)) * scale[np.maximum(m, 0)][:, None, :]
         s[np.broadcast_to((m < 0)[:, None, :], s.shape)] = -np.inf
         s[:, np.arange(m.shape[1]), np.arange(m.shape[1])] = -np.inf
         s[s <= worst[np.maximum(m, 0)][:, :, None]] = -np.inf
@@ -58,7 +58,7 @@ def _lists(u: np.ndarray, w: np.ndarray, sim: np.ndarray) -> tuple[pa.Array, pa.
     """Flat rows in order of u as columns u, ids, sims."""
     first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
     ends = pa.array(np.append(first, len(u)).astype(np.int32))
-    return pa.array(u[first]), pa.ListArray.from_arrays(ends, pa.array(w)), pa.ListArray.from_arrays(ends, pa.array(sim.astype(np.float32)))
+    return pa.array(u[first]), pa.ListArray.from_arrays(ends, pa.array(w)), pa.ListArray.from_arrays(ends, pa.array(sim.astype(np.float64)))
 
 
 def _flat(owner: np.ndarray, ids: pa.ChunkedArray | pa.Array, sims: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,9 +66,13 @@ def _flat(owner: np.ndarray, ids: pa.ChunkedArray | pa.Array, sims: pa.ChunkedAr
     return np.repeat(owner, np.diff(ids.offsets.to_numpy())), ids.flatten().to_numpy(), sims.flatten().to_numpy()
 
 
-def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _vectors(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Directions (the greatest component is 1) and scales. A list of neighbours compares products of one direction with scaled ones."""
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float32) if rows else np.zeros((0, 1), np.float32)
+    if not rows:
+        return np.zeros((0, 1), np.float32), np.zeros(0)
+    data = np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1)
+    return data[:, 4:].astype(np.float32), np.ascontiguousarray(data[:, :4]).view(np.float64)[:, 0]
 
 
 def _sampled(u: np.ndarray, w: np.ndarray, most: int, seed: int) -> np.ndarray:
@@ -113,7 +117,7 @@ class Graph:
             return pa.table({
                 "u": own.column("u"), "vec": own.column("vec"),
                 "ids": pa.array([ids[p].as_py() if p is not None else empty for p in places], pa.list_(pa.int64())),
-                "sims": pa.array([sims[p].as_py() if p is not None else empty for p in places], pa.list_(pa.float32())),
+                "sims": pa.array([sims[p].as_py() if p is not None else empty for p in places], pa.list_(pa.float64())),
                 "better": pa.array(better, pa.int32()),
             })
 
@@ -139,7 +143,7 @@ class Graph:
 
     def with_vectors(self, edges: DataFrame) -> DataFrame:
         """block, node, vec, worst: the vectors that the centres of each block need, once a block."""
-        worst = F.when(F.size("sims") >= self.k, F.element_at("sims", -1)).otherwise(F.lit(float("-inf"))).cast("float")
+        worst = F.when(F.size("sims") >= self.k, F.element_at("sims", -1)).otherwise(F.lit(float("-inf")))
         needed = edges.select(F.col("b").alias("block"), F.col("member").alias("node")).distinct()
         return needed.join(self.rows.select(F.col("u").alias("node"), "vec", worst.alias("worst")), "node").select("block", "node", "vec", "worst")
 
@@ -150,7 +154,8 @@ class Graph:
         def join(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
             ids = vectors.column("node").to_numpy()
             by = np.argsort(ids)
-            ids, x, worst = ids[by], _vectors(vectors.column("vec"))[by], vectors.column("worst").to_numpy()[by]
+            x, scale = _vectors(vectors.column("vec"))
+            ids, x, scale, worst = ids[by], x[by], scale[by], vectors.column("worst").to_numpy()[by]
             pair = np.unique(np.stack([pairs.column("centre").to_numpy(), pairs.column("member").to_numpy()], axis=1), axis=0)
             pair = pair[_sampled(pair[:, 0], pair[:, 1], 2 * sample, seed + 2)]
             centres, row = np.unique(pair[:, 0], return_inverse=True)
@@ -159,9 +164,9 @@ class Graph:
             first = np.searchsorted(row, np.arange(len(centres)))
             table = np.full((len(centres), 2 * sample), -1)
             table[row, np.arange(len(row)) - first[row]] = member
-            best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
+            best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
             for a in range(0, len(table), 2048):
-                found = local_join(x, table[a : a + 2048], worst, each)
+                found = local_join(x, scale, table[a : a + 2048], worst, each)
                 best = [*top_of(*[np.concatenate(c) for c in zip(best, found)], 3 * each)]
             nodes, lists, sims = _lists(ids[best[0]], ids[best[1]], best[2])
             return pa.table({"u": nodes, "ids": lists, "sims": sims})
@@ -193,10 +198,12 @@ def build(vectors: DataFrame, k: int = 32, trees: int = 6, settled: float = 0.00
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(1).flatten(), np.float64).reshape(len(batch), -1) / greatest
+            x = np.array(batch.column(1).flatten(), np.float64).reshape(len(batch), -1)
+            most = np.abs(x).max(axis=1, keepdims=True, initial=0)
+            scale, x = np.maximum(most / greatest, np.finfo(np.float64).tiny), x / most
             codes = np.stack([((x @ a > 0) @ (1 << np.arange(a.shape[1]))) if bits else np.zeros(len(x), np.int64) for a in axes], axis=1)
             x = x.astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int64()))], names=["vec_id", "vec", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() + v.tobytes() for c, v in zip(scale, x)], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int64()))], names=["vec_id", "vec", "codes"])
 
     packed = vectors.filter(F.size("embedding") == width).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(pack, "vec_id long, vec binary, codes array<long>")
     fine = min(bits, max(0, int(np.ceil(np.log2(size / block)))))
@@ -213,21 +220,21 @@ def build(vectors: DataFrame, k: int = 32, trees: int = 6, settled: float = 0.00
     leaves = keyed.join(parts, ["tree", "code"]).select("u", "vec", F.xxhash64("tree", "code", part).alias("leaf"))
 
     def best(rows: pa.Table) -> pa.Table:
-        leaf_of, u, x = rows.column("leaf").to_numpy(), rows.column("u").to_numpy(), _vectors(rows.column("vec"))
+        leaf_of, u, (x, scale) = rows.column("leaf").to_numpy(), rows.column("u").to_numpy(), _vectors(rows.column("vec"))
         by = np.argsort(leaf_of, kind="stable")
         found = []
         for at in np.split(by, np.flatnonzero(np.diff(leaf_of[by])) + 1):
-            s = x[at] @ x[at].T
+            s = (x[at] @ x[at].T) * scale[at]
             np.fill_diagonal(s, -np.inf)
             m = min(k, len(at) - 1)
             if m > 0:
                 top = np.argpartition(-s, m - 1, axis=1)[:, :m]
                 found.append((np.repeat(u[at], m), u[at][top.ravel()], np.take_along_axis(s, top, 1).ravel()))
-        flat = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
+        flat = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         nodes, ids, sims = _lists(*top_of(*flat, k))
         return pa.table({"u": nodes, "ids": ids, "sims": sims})
 
-    start = packed.select("u", "vec", F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("sims"), F.lit(0).alias("better"))
+    start = packed.select("u", "vec", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("sims"), F.lit(0).alias("better"))
     graph = Graph(start, packed.select("u", "vec_id"), k)
     graph.merged(leaves.groupBy(F.pmod("leaf", F.lit(bins)).alias("bin")).applyInArrow(best, LISTS))
     for i in itertools.count() if bits else ():
@@ -237,7 +244,7 @@ def build(vectors: DataFrame, k: int = 32, trees: int = 6, settled: float = 0.00
     return graph
 
 
-STATE = "q long, vec binary, ids array<long>, sims array<float>, seen array<long>"
+STATE = "q long, vec binary, ids array<long>, sims array<double>, seen array<long>"
 
 
 def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, expand: int = 64) -> DataFrame:
@@ -259,20 +266,21 @@ def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, ex
     state = cut(graph.rows.join(queries, "u", "left_semi").select(F.col("u").alias("q"), "vec", "ids", "sims", F.array().cast("array<long>").alias("seen"), F.array("u").alias("next")))
 
     def hop(block: pa.Table, asked: pa.Table) -> pa.Table:
-        none = pa.table({"q": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "sims": pa.array([], pa.list_(pa.float32()))})
+        none = pa.table({"q": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "sims": pa.array([], pa.list_(pa.float64()))})
         if not len(asked) or not len(block):
             return none
         is_vector = block.column("vec").is_valid().to_numpy()
         vectors, centres = block.filter(pa.array(is_vector)), block.filter(pa.array(~is_vector))
         ids = vectors.column("id").to_numpy()
         by = np.argsort(ids)
-        ids, x = ids[by], _vectors(vectors.column("vec"))[by]
+        x, scale = _vectors(vectors.column("vec"))
+        ids, x, scale = ids[by], x[by], scale[by]
         order = np.argsort(centres.column("id").to_numpy())
         centre = centres.column("id").to_numpy()[order]
         members = centres.column("members").combine_chunks().take(pa.array(order))
         ends, flat = members.offsets.to_numpy(), np.searchsorted(ids, members.flatten().to_numpy())
         ends = ends - ends[0]
-        qs, worst, mine = asked.column("q").to_numpy(), asked.column("worst").to_numpy(), _vectors(asked.column("vec"))
+        qs, worst, mine = asked.column("q").to_numpy(), asked.column("worst").to_numpy(), _vectors(asked.column("vec"))[0]
         nodes = asked.column("nodes").combine_chunks()
         found = []
         bounds = nodes.offsets.to_numpy() - nodes.offsets.to_numpy()[0]
@@ -282,7 +290,7 @@ def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, ex
             if not mine_at:
                 continue
             near = np.unique(np.concatenate([flat[ends[p] : ends[p + 1]] for p in mine_at]))
-            sim = x[near] @ mine[i]
+            sim = (x[near] @ mine[i]) * scale[near]
             good = (sim > worst[i]) & (ids[near] != qs[i])
             found.append((np.full(good.sum(), qs[i]), ids[near][good], sim[good]))
         if not found:
@@ -302,14 +310,14 @@ def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, ex
             fresh = [w for w in best[1][a:b].tolist() if w not in closed][:expand]
             for c, v in zip(out, (r["q"], r["vec"], best[1][a:b].tolist(), best[2][a:b].tolist(), seen, fresh)):
                 out[c].append(v)
-        kinds = {"q": pa.int64(), "vec": pa.binary(), "ids": pa.list_(pa.int64()), "sims": pa.list_(pa.float32()), "seen": pa.list_(pa.int64()), "next": pa.list_(pa.int64())}
+        kinds = {"q": pa.int64(), "vec": pa.binary(), "ids": pa.list_(pa.int64()), "sims": pa.list_(pa.float64()), "seen": pa.list_(pa.int64()), "next": pa.list_(pa.int64())}
         return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
 
     while True:
-        worst = F.when(F.size("sims") >= held, F.element_at("sims", -1)).otherwise(F.lit(float("-inf"))).cast("float")
+        worst = F.when(F.size("sims") >= held, F.element_at("sims", -1)).otherwise(F.lit(float("-inf")))
         asked = state.filter(F.size("next") > 0).select("q", "vec", worst.alias("worst"), F.explode("next").alias("node"))
         asked = asked.groupBy("q", "vec", "worst", graph._block("node").alias("block")).agg(F.collect_list("node").alias("nodes"))
-        found = opened.groupBy("b").cogroup(asked.groupBy("block")).applyInArrow(hop, "q long, ids array<long>, sims array<float>")
+        found = opened.groupBy("b").cogroup(asked.groupBy("block")).applyInArrow(hop, "q long, ids array<long>, sims array<double>")
         both = state.unionByName(found, allowMissingColumns=True)
         state = cut(both.groupBy(graph._block("q").alias("b")).applyInArrow(advance, STATE + ", next array<long>"))
         tidy(state.sparkSession)
@@ -321,20 +329,24 @@ def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, ex
 def nearest(vectors: DataFrame, is_query, k: int = 20, **build_options) -> DataFrame:
     """The `k` nearest found of each row of `vectors` (vec_id, embedding) for which the column `is_query` holds.
 
-    Nearness is the inner product in double precision; candidates are all rows but the query's own. Returns query_id,
-    rank, vec_id, score by falling score, ties by vec_id. Vectors that are null, zero or hold null or non-finite numbers
-    take no part, nor do those of another length than the longest; of rows of one vec_id one does. Graph and search
-    use half precision, the twice `k` best they find are scored on the original vectors. An empty table gives no rows;
-    other columns are ignored.
+    Nearness is the inner product in double precision; candidates are all rows of the query's length but its own.
+    Returns query_id, rank, vec_id, score by falling score, ties by vec_id. Vectors that are null, zero or hold null or
+    non-finite numbers take no part; of rows of one vec_id one does. Each length has a graph of its own, those of up to
+    two leaves are compared in full. Graph and search use directions in half precision with a scale for each vector; all
+    that a search holds at its end is scored on the original vectors. An empty table gives no rows; other columns are
+    ignored.
     """
-    good = cut(usable(vectors))
-    graph = build(good, **build_options)
-    if graph is None:
-        return good.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    names = graph.names
-    found = search(graph, names.join(good.filter(is_query).select("vec_id"), "vec_id", "left_semi").select("u"))
-    pairs = found.select("q", F.explode(F.slice("ids", 1, 2 * k)).alias("u")).join(names, "u").drop("u")
-    pairs = pairs.join(names.select(F.col("u").alias("q"), F.col("vec_id").alias("query_id")), "q")
+    good = cut(usable(vectors).withColumn("vec_id", F.col("vec_id").cast("long")))
+    lengths = good.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("rows"))
+    large = [r["n"] for r in lengths.filter(F.col("rows") > 2 * build_options.get("leaf", 256)).collect()]
+    few = good.filter(~F.size("embedding").isin(large)).select("vec_id", F.size("embedding").alias("n"))
+    pairs = few.filter(is_query).withColumnRenamed("vec_id", "query_id").join(few, "n").filter("query_id != vec_id").select("query_id", "vec_id")
+    for n in large:
+        graph = build(good.filter(F.size("embedding") == n), **build_options)
+        names = graph.names
+        found = search(graph, names.join(good.filter(is_query).select("vec_id"), "vec_id", "left_semi").select("u"))
+        held = found.select("q", F.explode("ids").alias("u")).join(names, "u").drop("u")
+        pairs = pairs.unionByName(held.join(names.select(F.col("u").alias("q"), F.col("vec_id").alias("query_id")), "q").select("query_id", "vec_id"))
     pairs = pairs.join(good.withColumnRenamed("embedding", "_w"), "vec_id").join(good.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q")), "query_id")
     score = F.aggregate(F.zip_with("_q", "_w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     ranked = pairs.select("query_id", "vec_id", score.alias("score"))
