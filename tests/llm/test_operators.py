@@ -132,6 +132,19 @@ def base_spans(text):
     return [f"{k}:{s}:{e}" for s, _, k, e in sorted(found)]
 
 
+def test_take_mix_takes_the_words_of_the_mix(spark):
+    text = lambda i, n: " ".join(f"w{i}.{j}" for j in range(n))
+    texts = [(i, text(i, n), source) for i, (n, source) in enumerate([(9000, "a"), (7000, "a"), *[(n, "b") for n in range(1, 90)], (5000, "c"), (40, "c")])]
+    df = spark.createDataFrame([*texts, texts[0]], "doc_id long, text string, source string")
+    want = {(r["source"], r["doc_id"]): r["n"] for r in mixing.mix(df).groupBy("source", "doc_id").agg(F.sum("taken").alias("n")).collect() if r["n"]}
+    got, given = {}, {i: t.split() for i, t, _ in texts}
+    for r in mixing.take_mix(df).collect():
+        words = r["text"].split()
+        assert words and [w for w in given[r["doc_id"]] if w in set(words)] == words
+        got[r["source"], r["doc_id"]] = got.get((r["source"], r["doc_id"]), 0) + len(words)
+    assert got == want
+
+
 def test_secrets_base_spans(spark, rows):
     found = {r["doc_id"]: r for r in queries.op4_secrets(spark, SMALL).collect()}
     assert len(found) == len(rows)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut, join_small, n_words
+from tidewater.llm.common import WORD, cut, join_small, n_words
 
 WEIGHTS = (3, 1, 2)
 
@@ -77,6 +77,13 @@ def mix(
     ignored. A null text has size 0 and nothing taken; a null source is a source; repeated rows count separately;
     an empty table gives no rows. The same rows give the same counts, however they are partitioned.
     """
+    return _mixed(docs, weights, share, most, block, shard_docs, seed)[0].drop("_row")
+
+
+def _mixed(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 64, shard_docs: int = 5_000, seed: int = 17
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of `mix` with their number `_row`, and by `_row` the places `_ranges` (lo, hi in words) of the chosen blocks."""
     sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     sources = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")).select("source", "source_size"), weights, share, most))
     counts = sized.groupBy("source").agg(F.count(F.lit(1)).alias("_docs")).withColumnRenamed("source", "_source")
@@ -131,20 +138,36 @@ def mix(
         F.coalesce(F.col("_sum") + F.least(F.col("_take"), F.col("_at") - F.col("_block") * block), F.lit(0))
     )
     taken = F.sum(F.when(F.col("_side") == 1, chosen).otherwise(-chosen)) + F.first("_times") * F.col("size")
-    return at.groupBy("_row", "doc_id", "source", "source_size", "target", "size", "shard").agg(taken.cast("long").alias("taken")).select(
-        "doc_id", "size", "source", "source_size", "target", "taken", "shard"
+    counted = at.groupBy("_row", "doc_id", "source", "source_size", "target", "size", "shard").agg(taken.cast("long").alias("taken")).select(
+        "_row", "doc_id", "size", "source", "source_size", "target", "taken", "shard"
     )
+    begin, first = F.col("_end") - F.col("size"), F.col("_block") * block
+    parts = dealt.filter("size > 0").select("*", F.explode(F.sequence(F.floor(begin / block), F.floor((F.col("_end") - 1) / block))).alias("_block"))
+    parts = parts.join(blocks.filter("_take > 0"), ["source_no", "shard", "_block"])
+    parts = parts.select("_row", (F.greatest(begin, first) - begin).alias("lo"), (F.least(F.col("_end"), first + F.col("_take")) - begin).alias("hi")).filter("lo < hi")
+    return counted, parts.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_ranges"))
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` as often as `mix` takes them: whole copies, and a further one with the probability of the rest.
+    """The rows of `docs` with the words that `mix` takes: whole copies, and a copy with the text of the chosen blocks only.
 
-    The choice is by a hash of doc_id. Equal rows of one id share what they take; texts without words are not taken.
+    So the words of a source are its target as `mix` gives it. Words keep the white space before them, but for the first
+    of a copy; other columns stay as they are. Rows of one id and size are told apart by their text; texts without
+    words are not taken.
     """
-    taken = mix(docs, **options).filter("size > 0").groupBy("doc_id", "size").agg((F.sum("taken") / F.count(F.lit(1)) / F.first("size")).alias("_times"))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
-    copies = cut(taken.withColumn("_copies", F.floor("_times") + (chance < F.col("_times") - F.floor("_times")).cast("int")).filter("_copies > 0"))
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (n_words(F.col("text")) == F.col("_size"))
-    found = join_small(docs, copies, same, most=500_000)
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    taken, ranges = _mixed(docs, **options)
+    chosen = F.coalesce(F.aggregate("_ranges", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"]), F.lit(0))
+    copies = taken.filter("size > 0").join(ranges, "_row", "left").withColumn("_copies", F.floor((F.col("taken") - chosen) / F.col("size")).cast("int"))
+    alike = Window.partitionBy("doc_id", "size")
+    copies = cut(copies.select("doc_id", "size", "_copies", "_ranges", F.row_number().over(alike.orderBy("_row")).alias("_number")))
+    repeated = not copies.filter("_number > 1").isEmpty()
+    copies = copies.filter("_copies > 0 OR _ranges IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("size").alias("_of"), "_copies", "_ranges", F.col("_number").alias("_no"))
+    sized = docs.withColumn("_size", n_words(F.col("text")))
+    number = F.row_number().over(Window.partitionBy("doc_id", "_size").orderBy(F.xxhash64("text"))) if repeated else F.lit(1)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_of")) & (F.col("_number") == F.col("_no"))
+    found = join_small(sized.withColumn("_number", number), copies, same, most=100_000)
+    found = found.withColumn("_copy", F.explode(F.sequence(F.when(F.col("_ranges").isNotNull(), 0).otherwise(1), F.col("_copies"))))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), 0)
+    cuts = lambda w: F.flatten(F.transform("_ranges", lambda x: F.slice(w, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int"))))
+    part = F.regexp_replace(F.array_join(F.transform(F.array(words), cuts)[0], ""), r"^[\x20\x09-\x0D]+", "")
+    return found.withColumn("text", F.when(F.col("_copy") == 0, part).otherwise(F.col("text"))).select(*docs.columns)
