@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of each document's text."""
-    return bpe.encode(docs, vocabulary_path()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return bpe.encode(docs, vocabulary_path(), decode=False).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -3,24 +3,56 @@
 from __future__ import annotations
 
 import json
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What the vocabulary's own description states: how text is cut into words, and white space.
-WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-SPACE = regex.compile(r"\p{White_Space}+")
+from tidewater.llm.vector import slices
+
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = re.compile(f"[{SPACE}]+")
 #: Characters that Python, but not Unicode, takes for white space.
-ODD_SPACE = regex.compile("[\x1c-\x1f]")
+ODD_SPACE = re.compile("[\x1c-\x1f]")
 END = "</w>"
 
 
+@dataclass(frozen=True)
+class Alphabet:
+    """Letters and digits as character classes, and lower case where it is not Python's: all as the tokenizers library has them."""
+
+    letter: str
+    digit: str
+    lower: dict[int, str]
+
+    @staticmethod
+    def of_library() -> Alphabet:
+        """Asked of the library itself, whose Unicode version is neither Python's nor that of other regular expressions."""
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        points = [*range(1, 0xD800), *range(0xE000, sys.maxunicode + 1)]
+        every = "".join(map(chr, points))
+
+        def kind(name: str) -> str:
+            runs = pre_tokenizers.Split(Regex(rf"\p{{{name}}}+"), "removed", invert=True).pre_tokenize_str(every)
+            return "".join(f"\\U{ord(run[0]):08x}-\\U{ord(run[-1]):08x}" for run, _ in runs)
+
+        lowered = normalizers.Lowercase().normalize_str("\0".join(every)).split("\0")
+        return Alphabet(kind("L"), kind("N"), {p: low for p, low in zip(points, lowered) if low != chr(p).lower()})
+
+    def word_pattern(self) -> re.Pattern:
+        """How text is cut into words, as the vocabulary's own file states it."""
+        return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{self.letter}]+|[{self.digit}]|[^{SPACE}{self.letter}{self.digit}]+")
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself, where printable in Latin-1, else the next from U+0100."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -36,10 +68,11 @@ def _symbols(token: str) -> list[str]:
 class Merges:
     """The vocabulary and its merges: which tokens are encodings of themselves, and which can stand side by side."""
 
-    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]):
-        self.ids, self.special = vocabulary, special
+    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int], alphabet: Alphabet):
+        self.ids, self.special, self.alphabet = vocabulary, special, alphabet
         self.token = {i: t for t, i in (vocabulary | special).items()}
         self.rank = {tuple(m): r for r, m in enumerate(merges)}
+        self.none = len(self.rank)
         self.inner: dict[str, int] = {}
         self.final: dict[str, int] = {}
         for token, i in vocabulary.items():
@@ -47,8 +80,7 @@ class Merges:
                 body = token.removesuffix(END) if len(token) > len(END) else token
                 (self.inner if body == token else self.final)[body] = i
         self.size = {i: len(t) for table in (self.inner, self.final) for t, i in table.items()}
-        self.inner_sizes, self.final_sizes = self._sizes(self.inner), self._sizes(self.final)
-        self._beside: dict[int, bool] = {}
+        self.final_sizes = self._sizes(self.final)
 
     @staticmethod
     def _sizes(table: dict[str, int]) -> dict[str, list[int]]:
@@ -58,23 +90,32 @@ class Merges:
             found.setdefault(t[-2:], set()).add(len(t))
         return {ends: sorted(sizes | ({1} if ends[-1] in table else set()), reverse=True) for ends, sizes in found.items()}
 
-    def plain(self, symbols: list[str]) -> list[str]:
-        """BPE as defined: again and again merges the leftmost pair of least rank. Only for short pieces."""
-        rank, none = self.rank, len(self.rank)
+    def _steps(self, symbols: list[str]) -> Iterator[int]:
+        """BPE as defined: again and again merges the leftmost pair of least rank, and says which rank. Only for short pieces."""
+        rank, none = self.rank, self.none
         while len(symbols) > 1:
             least, at = min((rank.get(pair, none), i) for i, pair in enumerate(zip(symbols, symbols[1:])))
             if least == none:
                 break
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            yield least
+
+    def plain(self, symbols: list[str]) -> list[str]:
+        for _ in self._steps(symbols):
+            pass
         return symbols
 
-    def beside(self, a: int, b: int) -> bool:
-        """Whether BPE of the two tokens' symbols gives the two tokens again."""
-        key = a << 32 | b
-        if (fits := self._beside.get(key)) is None:
-            left, right = self.token[a], self.token[b]
-            fits = self._beside[key] = self.plain(_symbols(left) + _symbols(right)) == [left, right]
-        return fits
+    def edges(self, token: int) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
+        """How a token comes about: (rank of the next merge, outermost symbol before it), at its left and at its right."""
+        symbols = _symbols(self.token[token])
+        left, right = [symbols[0]], [symbols[-1]]
+        ranks = []
+        for rank in self._steps(symbols):
+            ranks.append(rank)
+            left.append(symbols[0])
+            right.append(symbols[-1])
+        ranks.append(self.none)
+        return list(zip(ranks, left)), list(zip(ranks, right))
 
 
 class PrefixTrie:
@@ -83,85 +124,128 @@ class PrefixTrie:
     A word is encoded by t1 .. tn exactly if each token is its own encoding and each two neighbours fit. So each prefix
     has one last token, found from the last tokens of shorter prefixes. Of sorted words, those on the path to the
     present word are the prefixes it shares with the one before: the states of a path are computed once for all words
-    below it, and only the path is held.
+    below it, and only the path is held. Tokens that end at a place are found by an Aho-Corasick automaton.
     """
 
-    def __init__(self, merges: Merges):
-        self.merges = merges
+    def __init__(self, merges: Merges, most_pairs: int = 150_000):
+        self.merges, self.most_pairs = merges, most_pairs
+        self.tokens = ahocorasick.Automaton()
+        for body, i in merges.inner.items():
+            self.tokens.add_word(body, (len(body), i))
+        self.tokens.make_automaton()
+        self._edges: dict[int, tuple[list[tuple[int, str]], list[tuple[int, str]]]] = {}
+        self._fits: dict[int, bool] = {}
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, str]]:
+        if (found := self._edges.get(token)) is None:
+            found = self._edges[token] = self.merges.edges(token)
+        return found[side]
+
+    def beside(self, a: int, b: int) -> bool:
+        """Whether BPE of the two tokens' symbols gives the two tokens again: no pair across the border is ever next.
 
-    def _last(self, word: str, end: int, last: list[int], table: dict[str, int], sizes: dict[str, list[int]]) -> int:
-        """The last token of the encoding of the first `end` characters; -1 if they have none."""
-        ends = word[end - 2 : end] if end > 1 else word[:1]
-        known = self.merges._beside
-        for size in sizes.get(ends) or (1,):
-            if size <= end and (token := table.get(word[end - size : end], -1)) >= 0:
-                if size == end:
+        The merges of both go on by least rank, of equal ones the leftmost first; between them lies the pair across.
+        """
+        key = a << 32 | b
+        fits = self._fits.get(key)
+        if fits is not None:
+            return fits
+        left, right = self._edge(a, 1), self._edge(b, 0)
+        rank, none, i, j, fits = self.merges.rank, self.merges.none, 0, 0, True
+        while True:
+            (next_left, x), (next_right, y) = left[i], right[j]
+            across = rank.get((x, y), none)
+            if across < next_left and across <= next_right and across < none:
+                fits = False
+                break
+            if next_left == none and next_right == none:
+                break
+            if next_left <= next_right:
+                i += 1
+            else:
+                j += 1
+        if len(self._fits) >= self.most_pairs:
+            self._fits.clear()
+        self._fits[key] = fits
+        return fits
+
+    def _last(self, word: str, last: list[int]) -> int:
+        """The last token of the encoding of a whole word, its end marked; -1 if there is none."""
+        end, table, beside = len(word), self.merges.final, self.beside
+        for size in self.merges.final_sizes.get(word[-2:]) or (1,):
+            if size <= end and (token := table.get(word[end - size :], -1)) >= 0:
+                if size == end or (last[end - size] >= 0 and beside(last[end - size], token)):
                     return token
-                before = last[end - size]
-                if before >= 0:
-                    fits = known.get(before << 32 | token)
-                    if fits or (fits is None and self.merges.beside(before, token)):
-                        return token
         return -1
 
-    def encode(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+    def encode(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """Each of the sorted distinct `words`, written in the byte alphabet, with its ids."""
-        m, find, before, last = self.merges, self._last, "", [-1]
-        inner, inner_sizes, final, final_sizes, sizes = m.inner, m.inner_sizes, m.final, m.final_sizes, m.size
+        m, beside, fits, before, last = self.merges, self.beside, self._fits, "", [-1]
+        found_in, sizes = self.tokens.iter, m.size
         for word in words:
             n = len(word)
-            shared, most = 0, min(n, len(before), len(last) - 1)
+            shared, most = 0, min(n, len(before), len(last)) - 1
             while shared < most and word[shared] == before[shared]:
                 shared += 1
+            shared = max(shared, 0)
             del last[shared + 1 :]
-            for end in range(shared + 1, n):
-                last.append(find(word, end, last, inner, inner_sizes))
+            last += [-1] * (n - 1 - shared)
             before = word
-            token, at = find(word, n, last, final, final_sizes), n
+            if n > 1 and shared < n - 1:
+                for at, (size, token) in found_in(word, 0, n - 1):
+                    # Tokens that end at a place come by falling size; the first that fits is the one.
+                    if at >= shared and last[at + 1] < 0:
+                        if size > at:
+                            last[at + 1] = token
+                        elif (previous := last[at + 1 - size]) >= 0:
+                            known = fits.get(previous << 32 | token)
+                            if known or (known is None and beside(previous, token)):
+                                last[at + 1] = token
+            token, at = self._last(word, last), n
             found = [token]
             while token >= 0 and (at := at - sizes[token]) > 0:
                 token = last[at]
                 found.append(token)
             if token < 0:  # symbols outside the vocabulary: the definition itself, which leaves them out
-                yield word, [m.ids[t] for t in m.plain(_symbols(word + END)) if t in m.ids]
+                yield word, tuple(m.ids[t] for t in m.plain(_symbols(word + END)) if t in m.ids)
             else:
-                found.reverse()
-                yield word, found
+                yield word, tuple(found[::-1])
 
 
 class Encoder:
-    """Encodes batches of texts: distinct pieces of text once, their distinct words once through the trie."""
-
-    def __init__(self, merges: Merges, most_kept: int = 250_000):
-        self.merges, self.trie, self.most_kept = merges, PrefixTrie(merges), most_kept
-        self.alphabet = {b: ord(c) for b, c in enumerate(byte_alphabet()) if ord(c) != b}
-        self.special = regex.compile("|".join(map(regex.escape, merges.special))) if merges.special else None
-        self.clear()
+    """Encodes batches of texts: distinct pieces of text once, their distinct words once through the trie.
 
-    def clear(self) -> None:
-        self.words: dict[str, list[int]] = {}
-        self.pieces: dict[str | int, list[int]] = {"": []} | {i: [i] for i in self.merges.special.values()}
+    Pieces are kept for later batches, up to `most_kept`; those used since the last clearing stay.
+    """
 
-    @staticmethod
-    def split(text: str) -> list[str]:
+    def __init__(self, merges: Merges, most_kept: int = 120_000):
+        self.merges, self.trie, self.most_kept = merges, PrefixTrie(merges), most_kept
+        self.word_pattern, self.lower = merges.alphabet.word_pattern(), merges.alphabet.lower
+        self.odd_case = re.compile("[" + "".join(map(chr, self.lower)) + "]" if self.lower else "(?!)")
+        self.bytes = {b: ord(c) for b, c in enumerate(byte_alphabet()) if ord(c) != b}
+        self.special = re.compile("|".join(map(re.escape, merges.special))) if merges.special else None
+        self.fixed: dict[str | int, tuple[int, ...]] = {"": ()} | {i: (i,) for i in merges.special.values()}
+        self.pieces = dict(self.fixed)
+
+    def split(self, text: str) -> list[str]:
         """Pieces between white space, in Unicode's composed form and lower case, character by character."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
+            text = text.translate(self.lower) if self.odd_case.search(text) else text
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         else:
             text = text.lower()
-        return SPACE.sub(" ", text).strip(" ").split(" ") if ODD_SPACE.search(text) else text.split()
+        return SPACES.sub(" ", text).strip(" ").split(" ") if ODD_SPACE.search(text) else text.split()
 
     def _written(self, word: str) -> str:
         """A word in the byte alphabet."""
-        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.alphabet)
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.bytes)
 
     def learn(self, pieces: set[str]) -> None:
-        cut = {p: [p] if p.isascii() and p.isalpha() else [self._written(w) for w in WORD_PATTERN.findall(p)] for p in pieces}
-        words = self.words
-        words.update(self.trie.encode(sorted({w for ws in cut.values() for w in ws}.difference(words))))
+        cut = {p: [p] if p.isascii() and p.isalpha() else [self._written(w) for w in self.word_pattern.findall(p)] for p in pieces}
+        words = dict(self.trie.encode(sorted({w for ws in cut.values() for w in ws})))
         for p, ws in cut.items():
-            self.pieces[p] = words[ws[0]] if len(ws) == 1 else [i for w in ws for i in words[w]]
+            self.pieces[p] = words[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in words[w])
 
     def _parts(self, text: str | None) -> list[str | int]:
         if not text:
@@ -179,8 +263,8 @@ class Encoder:
         distinct = set(chain.from_iterable(parts))
         new = distinct.difference(self.pieces)
         if len(self.pieces) + len(new) > self.most_kept:
-            self.clear()
-            new = distinct.difference(self.pieces)
+            had = self.pieces
+            self.pieces = self.fixed | {p: had[p] for p in distinct.difference(new)}
         self.learn(new)
         known = self.pieces.__getitem__
         return [list(chain.from_iterable(map(known, row))) for row in parts]
@@ -194,19 +278,20 @@ def read_vocabulary(path: str) -> tuple[dict[str, int], list[tuple[str, str]], d
 
 
 def read_merges(path: str) -> Merges:
-    return Merges(*read_vocabulary(path))
+    return Merges(*read_vocabulary(path), Alphabet.of_library())
 
 
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def encode(docs: DataFrame, path: str, batch_words: int = 400_000) -> DataFrame:
-    """`docs` (doc_id, text) as doc_id, ids array<int> and decoded, the tokens of the ids joined by one space.
+def encode(docs: DataFrame, path: str, decode: bool = True, batch_bytes: int = 1 << 21) -> DataFrame:
+    """`docs` (doc_id, text) as doc_id, ids array<int> and, if asked for, decoded: the tokens of the ids joined by one space.
 
     The vocabulary (of a fixed size, a few MB) is broadcast. No row leaves its partition: each task gathers the
-    distinct words of some `batch_words` words at a time, puts them in order and passes depth-first over their trie.
-    Strings of special tokens in a text become those tokens, as the tokenizer file's own library has it.
-    Null and empty texts have no ids and decode to ""; each row is encoded for itself; other columns are ignored.
+    distinct words of some `batch_bytes` of text at a time (one text at least), puts them in order and passes
+    depth-first over their trie. Strings of special tokens in a text become those tokens, as the tokenizer file's own
+    library has it. Null and empty texts have no ids and decode to ""; each row is encoded for itself; other columns
+    are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_merges(path))
@@ -219,17 +304,15 @@ def encode(docs: DataFrame, path: str, batch_words: int = 400_000) -> DataFrame:
         encoder = _ENCODERS[key]
         token = encoder.merges.token
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            size = np.diff(np.frombuffer(texts.buffers()[1], dtype=np.int32 if texts.type == pa.string() else np.int64, count=len(texts) + 1 + texts.offset)[texts.offset :]) if len(texts) else np.zeros(0)
-            cuts = np.flatnonzero(np.diff(np.cumsum(size) // (batch_words * 6))) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
-                if a == b:
-                    continue
-                found = encoder.encode(texts.slice(a, b - a).to_pylist())
+            for part in slices(batch, 1, batch_bytes):
+                found = encoder.encode(part.column(1).to_pylist())
                 ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(ends[-1]))
-                decoded = [" ".join(map(token.__getitem__, x)) for x in found]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if decode:
+                    columns.append(pa.array([" ".join(map(token.__getitem__, x)) for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(task, f"doc_id {kind}, ids array<int>, decoded string")
+    given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return given.mapInArrow(task, f"doc_id {kind}, ids array<int>" + (", decoded string" if decode else ""))

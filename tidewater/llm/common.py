@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,12 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """`df` behind a reliable checkpoint, so that later jobs neither redo it nor depend on one executor.
 
-    The folder is the cluster's `spark.checkpoint.dir`; a temporary one is set only where none is set.
+    The folder is the cluster's `spark.checkpoint.dir`. Where none is set, a temporary one will do for a single machine;
+    a cluster's executors would not see it, so there it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager)
 
 
@@ -34,12 +39,17 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", most: int = 50_000) -> DataFrame:
-    """Join that broadcasts `small` only if it was counted to have at most `most` rows; else Spark picks a shuffled join.
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", most: int = 50_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """Join that broadcasts `small` only if it was found to have at most `most` rows and `most_bytes`; else a shuffled join.
 
-    `small` should be cheap to count (a checkpoint or an aggregate of one).
+    `small` should be cheap to count (a checkpoint or an aggregate of one). Bytes are counted from the values of columns
+    of variable size, and 8 for each other one.
     """
-    few = small.limit(most + 1).count() <= most
+    fixed = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp")
+    sizes = [F.octet_length(c) if kind in ("string", "binary") else F.length(F.to_json(F.struct(c))) for c, kind in small.dtypes if kind not in fixed]
+    size = F.lit(8 * len(small.columns)) + sum((F.coalesce(x, F.lit(0)) for x in sizes), F.lit(0))
+    rows, total = small.agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    few = rows <= most and (total or 0) <= most_bytes
     return big.join(F.broadcast(small) if few else small, on, how)
 
 

@@ -64,24 +64,26 @@ def source_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share
 
 
 def mix(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 64, shard_docs: int = 5_000, seed: int = 17
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 32, shard_docs: int = 5_000, seed: int = 17
 ) -> DataFrame:
     """How many words of each document of `docs` (doc_id, text, source) a mix of the sources takes.
 
     Words of a source lie in shards (by a seeded hash of doc_id, about `shard_docs` documents each), each of them one
     stream of its documents in seeded order, cut into blocks of `block` words. Sainte-Laguë gives whole blocks to the
-    sources by their targets, then those of a source to its shards by size. A shard's quota in words is its part of
-    the source's target; it takes the stream as often as it fits in, then blocks in seeded order, the last one in part.
+    sources by their targets, then those of a source to its shards by size: integer quotas, and what a shard takes is
+    its quota times `block` words. It takes the stream as often as it fits in, then blocks in seeded order, the last one
+    in part. So a source takes its target to within about a block, and no document more than `most` times.
 
     Returns doc_id, size, source, source_size, target, taken and shard, a row for each row of `docs`. Other columns are
-    ignored. A null text has size 0 and nothing taken; a null source is a source; repeated rows count separately;
-    an empty table gives no rows. The same rows give the same counts, however they are partitioned.
+    ignored. A null text has size 0 and nothing taken; a null source is a source; repeated rows follow one another in
+    the stream and count separately; an empty table gives no rows. The same rows give the same counts, however they are
+    partitioned.
     """
     return _mixed(docs, weights, share, most, block, shard_docs, seed)[0].drop("_row")
 
 
 def _mixed(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 64, shard_docs: int = 5_000, seed: int = 17
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 32, shard_docs: int = 5_000, seed: int = 17
 ) -> tuple[DataFrame, DataFrame]:
     """The rows of `mix` with their number `_row`, and by `_row` the places `_ranges` (lo, hi in words) of the chosen blocks."""
     sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
@@ -96,20 +98,14 @@ def _mixed(
     )
     dealt = join_small(sized, quotas, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_order", F.xxhash64("doc_id", F.lit(seed)))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("_shards")))
-    stream = Window.partitionBy("source_no", "shard").orderBy("_order", "doc_id", "size")
+    stream = Window.partitionBy("source_no", "shard").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     dealt = dealt.withColumn("_end", F.sum("size").over(stream)).drop("_source")
     dealt = cut(dealt.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", "source_no", "source_size", "target", "source_blocks", "size", "shard", "_end"))
 
     shards = dealt.groupBy("source_no", "shard", "target", "source_blocks").agg(F.max("_end").alias("_words"))
     shards = sainte_lague(shards, "_words", "source_blocks", ["source_no"], ["shard"])
-    along = Window.partitionBy("source_no").orderBy("shard")
-    part = F.when(F.col("source_blocks") > 0, F.col("quota")).otherwise(F.col("_words"))
-    whole = F.sum(part).over(Window.partitionBy("source_no"))
-    upto = F.when(whole > 0, F.round(F.col("target") * F.sum(part).over(along) / whole)).otherwise(0).cast("long")
     shards = (
-        shards.withColumn("_upto", upto)
-        .withColumn("_budget", F.col("_upto") - F.coalesce(F.lag("_upto").over(along), F.lit(0)))
-        .withColumn("_budget", F.least(F.col("_budget"), (F.lit(float(most)) * F.col("_words")).cast("long")))
+        shards.withColumn("_budget", F.least(F.col("quota") * block, (F.lit(float(most)) * F.col("_words")).cast("long")))
         .withColumn("_times", F.when(F.col("_words") > 0, F.floor(F.col("_budget") / F.col("_words"))).otherwise(0))
         .withColumn("_rest", F.col("_budget") - F.col("_times") * F.col("_words"))
         .select("source_no", "shard", "_words", "_times", "_rest")
@@ -151,9 +147,9 @@ def _mixed(
 def take_mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` with the words that `mix` takes: whole copies, and a copy with the text of the chosen blocks only.
 
-    So the words of a source are its target as `mix` gives it. Words keep the white space before them, but for the first
-    of a copy; other columns stay as they are. Rows of one id and size are told apart by their text; texts without
-    words are not taken.
+    So the words of a source are those that `mix` gives it. Words keep the white space before them, but for the first
+    of a copy; other columns, whatever their names, stay as they are. Rows of one id and size are told apart by their
+    text; texts without words are not taken; an empty table gives no rows.
     """
     taken, ranges = _mixed(docs, **options)
     chosen = F.coalesce(F.aggregate("_ranges", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"]), F.lit(0))
@@ -162,12 +158,13 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
     copies = cut(copies.select("doc_id", "size", "_copies", "_ranges", F.row_number().over(alike.orderBy("_row")).alias("_number")))
     repeated = not copies.filter("_number > 1").isEmpty()
     copies = copies.filter("_copies > 0 OR _ranges IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("size").alias("_of"), "_copies", "_ranges", F.col("_number").alias("_no"))
-    sized = docs.withColumn("_size", n_words(F.col("text")))
-    number = F.row_number().over(Window.partitionBy("doc_id", "_size").orderBy(F.xxhash64("text"))) if repeated else F.lit(1)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_of")) & (F.col("_number") == F.col("_no"))
+    sized = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text"), n_words(F.col("text")).alias("_size"))
+    number = F.row_number().over(Window.partitionBy("_doc_id", "_size").orderBy(F.xxhash64("_text"))) if repeated else F.lit(1)
+    same = F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_of")) & (F.col("_number") == F.col("_no"))
     found = join_small(sized.withColumn("_number", number), copies, same, most=100_000)
     found = found.withColumn("_copy", F.explode(F.sequence(F.when(F.col("_ranges").isNotNull(), 0).otherwise(1), F.col("_copies"))))
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), 0)
+    words = F.regexp_extract_all(F.col("_text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), 0)
     cuts = lambda w: F.flatten(F.transform("_ranges", lambda x: F.slice(w, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int"))))
     part = F.regexp_replace(F.array_join(F.transform(F.array(words), cuts)[0], ""), r"^[\x20\x09-\x0D]+", "")
-    return found.withColumn("text", F.when(F.col("_copy") == 0, part).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.col("_copy") == 0, part).otherwise(F.col("_text")).alias("text")
+    return found.select(*[text if c == "text" else F.col("_doc").getField(c).alias(c) for c in docs.columns])

@@ -272,7 +272,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block: in
 
 
 def nodes_of(docs: DataFrame, k: int) -> DataFrame:
-    """`docs` with the column `_node`: the name of each text's set of `k`-word shingles."""
+    """`docs` with the column `_node`: the name of each text's set of `k`-word shingles; null and empty texts have one name.
+
+    All rows and other columns stay; a column of that name is replaced.
+    """
+    docs = docs.drop("_node")
     at = docs.columns.index("text")
     schema = docs.withColumn("_node", F.lit(0).cast("long")).schema
 
@@ -286,18 +290,20 @@ def nodes_of(docs: DataFrame, k: int) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:
-    """The rows of `docs` (doc_id, text and any others), one of each component: that of the least doc_id.
+    """The rows of `docs` (doc_id, text and any others, whatever their names), one of each component: that of the least doc_id.
 
-    Texts without words are in no component and all stay. Where each doc_id stands once, the ids to remove are joined
-    against; else rows are found by id and set of shingles, and of equal ones one stays.
+    Null texts and texts without words are in no component and all stay. Where each doc_id stands once, the ids to
+    remove are joined against; else rows are found by id and set of shingles, and of equal ones one stays. A null id is
+    never the least, if its component has another. An empty table gives no rows.
     """
     found = cut(jaccard_components(docs, k, percent, **options).filter("n_shingles > 0").select("doc_id", "node", "component", "component_id"))
     n, ids = found.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
     if n == ids:
         removed = cut(found.filter("doc_id != component_id").select("doc_id"))
         return join_small(docs, removed, "doc_id", "left_anti", most=500_000)
-    kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.node").alias("_node"))
-    named = nodes_of(docs, k)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node"))
+    kept = found.groupBy("component").agg(least.alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.node").alias("_n"))
+    named = nodes_of(docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_doc_id"), F.col("text").cast("string").alias("text")), k)
     words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    chosen = named.filter(words).join(kept.withColumnRenamed("_node", "_n"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_n")))
-    return chosen.dropDuplicates(["doc_id", "_node"]).select(*docs.columns).unionByName(docs.filter(~words))
+    chosen = named.filter(words).join(kept, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_n")))
+    return chosen.dropDuplicates(["_doc_id", "_node"]).select("_doc.*").unionByName(docs.filter(~words))

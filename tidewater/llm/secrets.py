@@ -56,33 +56,34 @@ def _all_found(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, window: int = 160) -> DataFrame:
-    """The rows of `docs` (doc_id, text and any others but `_` names) with `spans`, those of all kinds reported.
+    """The rows of `docs` (doc_id, text and any others) without their texts, with `spans`: those of all kinds reported.
 
     A part is an access identifier, a secret or an endpoint. The base kinds (assign, access, hex) are always reported.
     Weak candidates (an endpoint; an upper-case identifier; a mixed token like a secret) stay only where a complementary
     part (identifier and secret, endpoint and either) lies within `window` code points of them in the same scope, at
     least one of the two being of a base kind. Scopes are blocks of text between blank lines. A weak candidate that
-    overlaps a base span is dropped. The parts are linked by an interval join: they are dealt by document and by stretch
-    of `window` characters, each one meeting those of its own and the neighbouring stretches.
+    overlaps a base span is dropped. The parts are linked by an interval join: they are dealt by document and by the
+    stretches of `window` characters that they touch, and meet the parts whose stretches, widened by `window`, are among
+    them. Spans of a kind do not overlap, so a stretch has a bounded number of parts however long the text.
 
     Spans are struct<kind, start, end, fingerprint, linked>, by start, then kind in the order of KINDS, ends exclusive,
     places in code points; fingerprint is the SHA-256 of the match and linked says that a complement is near. A null or
-    empty text has no spans; repeated rows each get theirs; an empty table gives no rows.
+    empty text has no spans; repeated rows each get theirs; an empty table gives no rows. Other columns, whatever their
+    names, stay, but one of the name `spans` is replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    keys = [c for c in docs.columns if c != "text"]
-    found = cut(rows.select("_row", *keys, _all_found(text).alias("_spans")))
+    keys = [c for c in docs.columns if c not in ("text", "spans")]
+    found = cut(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*keys).alias("_keys"), _all_found(text).alias("_spans")))
     none = F.array().cast("array<struct<start:int,end:int,kind_no:int,fingerprint:string,linked:boolean>>")
 
     parts = found.select("_row", F.explode("_spans").alias("s")).select("_row", "s.*")
     scope = F.sum((F.col("kind_no") == -1).cast("int")).over(Window.partitionBy("_row").orderBy("start", "kind_no"))
     parts = parts.withColumn("_scope", scope).filter("kind_no >= 0")
     role = F.element_at(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("kind_no") + 1)
-    parts = parts.withColumn("_role", role).withColumn("_base", F.col("kind_no") < len(BASE)).withColumn("_at", F.floor(F.col("start") / window))
-    # A part reaches from its start to its end, and other parts up to `window` beyond; long ones lie in many stretches.
+    parts = parts.withColumn("_role", role).withColumn("_base", F.col("kind_no") < len(BASE))
+    parts = parts.withColumn("_at", F.explode(F.sequence(F.floor(F.col("start") / window), F.floor((F.col("end") - 1) / window))))
     near = F.sequence(F.floor(F.greatest(F.col("start") - window, F.lit(0)) / window), F.floor((F.col("end") + window) / window))
-    reach = parts.select("_row", "_scope", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("_role").alias("_r"), F.col("_base").alias("_b"), F.explode(near).alias("_at"))
+    reach = parts.filter(F.col("_at") == F.floor(F.col("start") / window)).select("_row", "_scope", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("_role").alias("_r"), F.col("_base").alias("_b"), F.explode(near).alias("_at"))
     close = (F.col("start") <= F.col("_e") + window) & (F.col("end") >= F.col("_s") - window)
     overlap = (F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s"))
     both = parts.join(reach, ["_row", "_scope", "_at"])
@@ -99,21 +100,28 @@ def scan(docs: DataFrame, window: int = 160) -> DataFrame:
         ),
     )
     empty = none.cast("array<struct<kind:string,start:int,end:int,fingerprint:string,linked:boolean>>")
-    return found.drop("_spans").join(kept.select("_row", named.alias("spans")), "_row", "left").withColumn("spans", F.coalesce("spans", empty)).drop("_row")
+    both = found.drop("_spans").join(kept.select("_row", named.alias("spans")), "_row", "left")
+    return both.select(*[F.col("_keys").getField(c).alias(c) for c in keys], F.coalesce("spans", empty).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", window: int = 160) -> DataFrame:
-    """`docs` with the spans of `scan` in their texts replaced by `mark`; overlapping spans by one mark. All rows and columns stay."""
-    named = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), "text")
-    found = scan(named.select(F.col("_id").alias("id"), F.col("_text").alias("hash"), "text"), window).filter(F.size("spans") > 0)
-    found = cut(found.groupBy("id", "hash").agg(F.first("spans").alias("_spans")))
-    both = join_small(docs, found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash")), "left", most=200_000)
+    """`docs` with the spans of `scan` in their texts replaced by `mark`; overlapping spans by one mark.
+
+    All rows and columns stay, whatever their names; null texts stay null, equal rows are treated alike, and an empty
+    table gives no rows.
+    """
+    named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    found = scan(named, window).filter(F.size("spans") > 0)
+    found = cut(found.groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash")).agg(F.first("spans").alias("_spans")))
+    rows = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text"))
+    both = join_small(rows, found, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_hash")), "left", most=200_000)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        gap = F.substring(F.col("_text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         fresh = s["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    text = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return both.withColumn("text", F.when(F.col("_spans").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
+    text = F.when(F.col("_spans").isNotNull(), text).otherwise(F.col("_text")).alias("text")
+    return both.select(*[text if c == "text" else F.col("_doc").getField(c).alias(c) for c in docs.columns])
