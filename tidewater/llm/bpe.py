@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.vector import slices
+from tidewater.llm.vector import lean, slices
 
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = re.compile(f"[{SPACE}]+")
@@ -38,15 +38,16 @@ class Alphabet:
         """Asked of the library itself, whose Unicode version is neither Python's nor that of other regular expressions."""
         from tokenizers import Regex, normalizers, pre_tokenizers
 
-        points = [*range(1, 0xD800), *range(0xE000, sys.maxunicode + 1)]
-        every = "".join(map(chr, points))
-
-        def kind(name: str) -> str:
-            runs = pre_tokenizers.Split(Regex(rf"\p{{{name}}}+"), "removed", invert=True).pre_tokenize_str(every)
-            return "".join(f"\\U{ord(run[0]):08x}-\\U{ord(run[-1]):08x}" for run, _ in runs)
-
-        lowered = normalizers.Lowercase().normalize_str("\0".join(every)).split("\0")
-        return Alphabet(kind("L"), kind("N"), {p: low for p, low in zip(points, lowered) if low != chr(p).lower()})
+        split = {k: pre_tokenizers.Split(Regex(rf"\p{{{k}}}+"), "removed", invert=True) for k in "LN"}
+        kinds, lower, normalizer = {k: "" for k in split}, {}, normalizers.Lowercase()
+        for first in range(0, sys.maxunicode + 1, 1 << 12):
+            points = [p for p in range(max(first, 1), first + (1 << 12)) if not 0xD800 <= p < 0xE000]
+            every = "".join(map(chr, points))
+            for k, cut in split.items():
+                kinds[k] += "".join(f"\\U{ord(run[0]):08x}-\\U{ord(run[-1]):08x}" for run, _ in cut.pre_tokenize_str(every))
+            lowered = normalizer.normalize_str("\0".join(every)).split("\0")
+            lower |= {p: low for p, low in zip(points, lowered) if low != chr(p).lower()}
+        return Alphabet(kinds["L"], kinds["N"], lower)
 
     def word_pattern(self) -> re.Pattern:
         """How text is cut into words, as the vocabulary's own file states it."""
@@ -127,7 +128,7 @@ class PrefixTrie:
     below it, and only the path is held. Tokens that end at a place are found by an Aho-Corasick automaton.
     """
 
-    def __init__(self, merges: Merges, most_pairs: int = 150_000):
+    def __init__(self, merges: Merges, most_pairs: int = 100_000):
         self.merges, self.most_pairs = merges, most_pairs
         self.tokens = ahocorasick.Automaton()
         for body, i in merges.inner.items():
@@ -227,11 +228,14 @@ class Encoder:
         self.fixed: dict[str | int, tuple[int, ...]] = {"": ()} | {i: (i,) for i in merges.special.values()}
         self.pieces = dict(self.fixed)
 
+    def shrink(self) -> None:
+        """Leaves out what was kept from texts; what was learned of the vocabulary stays."""
+        self.pieces = dict(self.fixed)
+
     def split(self, text: str) -> list[str]:
         """Pieces between white space, in Unicode's composed form and lower case, character by character."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-            text = text.translate(self.lower) if self.odd_case.search(text) else text
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         else:
             text = text.lower()
@@ -242,7 +246,9 @@ class Encoder:
         return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.bytes)
 
     def learn(self, pieces: set[str]) -> None:
-        cut = {p: [p] if p.isascii() and p.isalpha() else [self._written(w) for w in self.word_pattern.findall(p)] for p in pieces}
+        # Characters of another case than Python's are none that Python itself changes, so this can wait until here.
+        given = {p: p if p.isascii() or not self.odd_case.search(p) else p.translate(self.lower) for p in pieces}
+        cut = {p: [p] if p.isascii() and p.isalpha() else [self._written(w) for w in self.word_pattern.findall(given[p])] for p in pieces}
         words = dict(self.trie.encode(sorted({w for ws in cut.values() for w in ws})))
         for p, ws in cut.items():
             self.pieces[p] = words[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in words[w])
@@ -312,7 +318,8 @@ def encode(docs: DataFrame, path: str, decode: bool = True, batch_bytes: int = 1
                 if decode:
                     columns.append(pa.array([" ".join(map(token.__getitem__, x)) for x in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
+        encoder.shrink()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(task, f"doc_id {kind}, ids array<int>" + (", decoded string" if decode else ""))
+    return given.mapInArrow(lean(task), f"doc_id {kind}, ids array<int>" + (", decoded string" if decode else ""))

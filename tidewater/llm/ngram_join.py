@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import cut, join_small
 from tidewater.llm.graph import components
-from tidewater.llm.vector import mix, shingles, slices, words
+from tidewater.llm.vector import lean, mix, release, shingles, slices, words
 
 U = np.uint64
 
@@ -190,6 +190,7 @@ def exact_links(nodes: DataFrame, ties: DataFrame, fetch: Callable[[DataFrame],
         for group in np.split(by, np.flatnonzero(np.diff(grp[by])) + 1):
             links = t_occurrence([np.frombuffer(data[int(i)].as_buffer(), U) for i in group], side[group], percent)
             out += [(int(node[group[a]]), int(node[group[b]])) for a, b in links]
+        release()
         return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
 
     return components(dealt.groupBy("bin", "i", "j").applyInArrow(compare, "u long, v long"))
@@ -245,7 +246,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block: in
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(value.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(node), lists], names=["doc_id", "n", "node", "signs"])
 
-    sets = cut(docs.mapInArrow(task, f"doc_id {kind}, n long, node long, signs array<long>"))
+    sets = cut(docs.mapInArrow(lean(task), f"doc_id {kind}, n long, node long, signs array<long>"))
     postings = sets.filter("size(signs) > 0").select("node", "n", F.explode("signs").alias("h"))
 
     def fetch(wanted: DataFrame) -> DataFrame:
@@ -258,7 +259,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block: in
                     yield pa.RecordBatch.from_arrays([*part.take(pa.array(own)).columns[1:], pa.array(data, pa.binary())], names=["node", "grp", "block", "bin", "pairs", "data"])
 
         rows = join_small(docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), "text"), wanted, "doc", most=500_000)
-        return rows.select("text", "node", "grp", "block", "bin", "pairs").mapInArrow(find, WANTED)
+        return rows.select("text", "node", "grp", "block", "bin", "pairs").mapInArrow(lean(find), WANTED)
 
     nodes = sets.groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("doc"), F.first("n").alias("n"))
     linked = exact_links(nodes, tied_by_size(postings, percent), fetch, percent, block)
@@ -286,7 +287,7 @@ def nodes_of(docs: DataFrame, k: int) -> DataFrame:
                 node = pa.array(shingle_sets(part.column(at), k)[2])
                 yield pa.RecordBatch.from_arrays([*part.columns, node], names=[*part.schema.names, "_node"])
 
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(lean(task), schema)
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import cut, join_small
 from tidewater.llm.ngram_join import WANTED, exact_links, tied
-from tidewater.llm.vector import mix, slices, text_bytes, words
+from tidewater.llm.vector import lean, mix, slices, text_bytes, words
 
 U = np.uint64
 
@@ -126,7 +126,7 @@ def repeated_passages(docs: DataFrame, percent: int = 80, k: int = 5, least: int
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), bands).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(p.doc)), pa.array(p.node), pa.array(np.diff(p.of)), lists], names=["doc", "node", "n", "bands"])
 
-    paragraphs = cut(docs.mapInArrow(lines, "doc long, node long, n long, bands array<long>"))
+    paragraphs = cut(docs.mapInArrow(lean(lines), "doc long, node long, n long, bands array<long>"))
     nodes = cut(paragraphs.groupBy("node").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.first("n").alias("n")))
     once = paragraphs.dropDuplicates(["node"]).select("node", F.explode("bands").alias("h"))
 
@@ -143,7 +143,7 @@ def repeated_passages(docs: DataFrame, percent: int = 80, k: int = 5, least: int
                     kinds = pa.schema([("node", pa.int64()), ("grp", pa.int64()), ("block", pa.int64()), ("bin", pa.int64()), ("pairs", pa.list_(pa.struct([("i", pa.int64()), ("j", pa.int64())]))), ("data", pa.binary())])
                     yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
-        return join_small(docs, cut(rows_of), "doc", most=200_000).select("text", "w").mapInArrow(find, WANTED)
+        return join_small(docs, cut(rows_of), "doc", most=200_000).select("text", "w").mapInArrow(lean(find), WANTED)
 
     linked = exact_links(nodes.select("node", "doc", "n"), tied(once), fetch, percent, block)
     classes = nodes.join(linked, "node", "left").withColumn("class", F.coalesce("component", "node"))
@@ -156,7 +156,7 @@ def repeated_passages(docs: DataFrame, percent: int = 80, k: int = 5, least: int
                 _, q = _units(part.column(1), k, least, span)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(q.doc)), pa.array(q.node)], names=["doc", "node"])
 
-    passages = docs.mapInArrow(runs, "doc long, node long").groupBy("node").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last"))
+    passages = docs.mapInArrow(lean(runs), "doc long, node long").groupBy("node").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last"))
     of_node = cut(of_node.unionByName(passages.filter("first_doc < _last").select("node", "first_doc")))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def repeated_passages(docs: DataFrame, percent: int = 80, k: int = 5, least: int
                 for u in _units(part.column(1), k, least, span):
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(u.doc)), *map(pa.array, (u.start, u.end, u.node))], names=["doc", "start", "end", "node"])
 
-    units = join_small(docs.mapInArrow(places, "doc long, start long, end long, node long"), of_node, "node", most=2_000_000)
+    units = join_small(docs.mapInArrow(lean(places), "doc long, start long, end long, node long"), of_node, "node", most=2_000_000)
     units = units.withColumn("removed", F.col("doc") > F.col("first_doc"))
     along = Window.partitionBy("doc", "removed").orderBy("start", "end")
     apart = F.col("start") > F.coalesce(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.learning import fold, labelled_sample, minimise, sigmoid
-from tidewater.llm.vector import SPACES, mix, slices, text_bytes, words
+from tidewater.llm.vector import SPACES, lean, mix, slices, text_bytes, words
 
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.7
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Ranking:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sample.select("doc_id", "text", "label").mapInArrow(task, f"doc_id {kind}, label int, x array<double>").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x"))
+    rows = sample.select("doc_id", "text", "label").mapInArrow(lean(task), f"doc_id {kind}, label int, x array<double>").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x"))
     learned = rows.orderBy("doc_id").toPandas()
     x = np.array(learned["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit_pairs(x, learned["label"].to_numpy(int))
@@ -134,6 +134,6 @@ def classify(docs: DataFrame, ranking: Ranking) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ranking.score(features(part.column(1))))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(task, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(task), f"doc_id {kind}, score double")
     held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

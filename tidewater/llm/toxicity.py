@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.learning import fold, labelled_sample, minimise, sigmoid
-from tidewater.llm.vector import ALNUM, Words, slices, words
+from tidewater.llm.vector import ALNUM, Words, lean, slices, words
 
 FOLDS, HELD_OUT = 3, 1
 CUT = 0.7
@@ -140,7 +140,7 @@ def fit(
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ones.astype(np.int64)), pa.array(np.bincount(at, minlength=len(keys)).astype(np.int64))], names=["key", "ones", "n"])
 
     terms = words(pa.array([" ".join(t for g in groups for t in g)]), ALNUM).hash.view(np.int64).tolist()
-    seen = sample.select("text", "label").mapInArrow(gather, "key long, ones long, n long").groupBy("key").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
+    seen = sample.select("text", "label").mapInArrow(lean(gather), "key long, ones long, n long").groupBy("key").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
     p, p1, p0 = F.col("n") / (n1 + n0), F.col("ones") / n1, (F.col("n") - F.col("ones")) / n0
     z = (p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / n0))
     seen = seen.withColumn("z", F.abs(z)).withColumn("term", F.col("key").isin(terms))
@@ -164,7 +164,7 @@ def fit(
                     change[i] = at[np.searchsorted(doc, k, side="left") : np.searchsorted(doc, k, side="right")].tolist()
                 yield pa.RecordBatch.from_arrays([label, pa.array(lists, pa.list_(pa.int32())), pa.array(change, pa.list_(pa.int32()))], names=["label", "at", "swapped"])
 
-    learned = sample.orderBy("doc_id").select("text", "label").mapInArrow(rows, "label int, at array<int>, swapped array<int>").toPandas()
+    learned = sample.orderBy("doc_id").select("text", "label").mapInArrow(lean(rows), "label int, at array<int>, swapped array<int>").toPandas()
     sample.unpersist()
 
     named = learned[learned["swapped"].notna()]
@@ -186,7 +186,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(part.column(1)))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(task, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(task), f"doc_id {kind}, score double")
     held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
@@ -200,4 +200,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, at):
                 yield part.filter(pa.array(model.score(part.column(at)) < CUT))
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(lean(task), docs.schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+import gc
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,7 +14,7 @@ import pyarrow.compute as pc
 #: An odd multiplier of the polynomial hash, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-PIECE = 1 << 21
+PIECE = 1 << 19
 SPACES = b" \t\n\v\f\r"
 
 #: Bytes of words between white space; bytes of words of letters, digits and anything beyond ASCII.
@@ -121,7 +123,7 @@ def shingles(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return doc, value
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about `most` bytes of its text column, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size, dtype=np.int64) // most
@@ -129,3 +131,25 @@ def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 21) -> Iterator[pa
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+
+
+def release() -> None:
+    """Gives memory that is free back to the system: a Python worker lives on and serves later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(task: Task) -> Task:
+    """`task` for `mapInArrow`, followed by `release`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        release()
+
+    return run
