@@ -71,6 +71,26 @@ def test_neighbours_recall(spark):
     assert hit / total >= 0.9
 
 
+def test_neighbours_of_odd_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = [v.tolist() for v in rng.normal(size=(300, 6))]
+    x[:40] = [x[0]] * 40
+    x += [None, [], [0.0] * 6, [float("nan")] * 6, [1.0, None, 2.0, 3.0, 4.0, 5.0], [float("inf")] * 6]
+    rows = [(i, v, 1) for i, v in enumerate(x)] + [(7, x[7], 2), (None, x[9], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    found = neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=5).toPandas()
+    good = np.array(x[:300])
+    assert sorted(found["query_id"].unique()) == list(range(0, 300, 20))
+    hit = total = 0
+    for i in range(0, 300, 20):
+        best = sorted((j for j in range(300) if j != i), key=lambda j: (-(good[j] @ good[i]), j))[:5]
+        got = found[found["query_id"] == i].sort_values("rank")
+        assert got["rank"].tolist() == [1, 2, 3, 4, 5] and np.allclose(got["score"], [good[v] @ good[i] for v in got["vec_id"]])
+        hit, total = hit + len(set(best) & set(got["vec_id"])), total + 5
+    assert hit / total >= 0.9
+    assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
 def test_neighbours_in_many_blocks_descend_until_settled(spark):
     x = np.random.default_rng(1).normal(size=(3000, 16))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
@@ -330,8 +350,22 @@ def test_bpe_against_the_library(spark, rows, odd):
             assert r["decoded"] == library.decode(expected, skip_special_tokens=False), r["doc_id"]
 
 
+def steps_of(fingerprint):
+    """Anchors (hash, place) of a fingerprint and their steps."""
+    anchors, at = [], 0
+    for i in range(0, len(fingerprint), 10):
+        at += int(fingerprint[i + 8 : i + 10], 16)
+        anchors.append((fingerprint[i : i + 8], at))
+    if len(anchors) == 1:
+        return anchors, {anchors[0][0]}
+    return anchors, {(a[0], b[0], b[1] - a[1]) for a, b in zip(anchors, anchors[1:])}
+
+
 def test_syncmers(spark, rows):
     found = {r["doc_id"]: r for r in queries.op8_syncmers(spark, SMALL).collect()}
+    split = lambda t: [w for w in re.split(r"[\x09-\x0D\x20]+", (t or "").lower()) if w]
+    vocabulary = sorted({w for r in rows for w in split(r["text"])})
+    hashed = dict(spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w")).collect())
     order = sorted(rows, key=lambda r: -r["doc_id"])
     by_text = {}
     for r, after in zip(order, order[1:] + order[:1]):
@@ -339,10 +373,25 @@ def test_syncmers(spark, rows):
         half = len(text) // 2
         assert got["n_chars"] == len(text) and got["edited_sha256"] == sha(text[: len(text) - half] + (after["text"] or "")[:half])
         assert by_text.setdefault(text, got["fingerprint"]) == got["fingerprint"]
-        assert 0 <= got["near_edited"] <= 1 and 0 <= got["near_next"] <= 1
+        anchors, own = steps_of(got["fingerprint"])
+        h = [hashed[w] for w in split(text)]
+        places = [i for i in range(len(h) - 3) if min(h[i], h[i + 3]) == min(h[i : i + 4])] if len(h) >= 4 else [0] * bool(h)
+        assert [at for _, at in anchors] == places
+        for other, near in ((got["edited_fingerprint"], "near_edited"), (found[after["doc_id"]]["fingerprint"], "near_next")):
+            b = steps_of(other)[1]
+            assert got[near] == pytest.approx(2 * len(own & b) / (len(own) + len(b)) if own or b else 1.0)
     assert np.mean([r["near_edited"] for r in found.values()]) > np.mean([r["near_next"] for r in found.values()]) + 0.3
 
 
+def test_next_documents_of_uneven_ids(spark):
+    ids = [None, 10**15, -(10**12), *range(700), *[55] * 40, *range(10**9, 10**9 + 300)]
+    df = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(ids)], "doc_id long, text string")
+    hashed = dict(df.select("text", F.shiftrightunsigned(F.xxhash64("text"), 11).cast("double")).collect())
+    order = sorted(((d is not None, d or 0, hashed[f"text {i}"], f"text {i}") for i, d in enumerate(ids)), reverse=True)
+    expected = {a[3]: b[3] for a, b in zip(order, order[1:] + order[:1])}
+    assert {r["text"]: r["next_text"] for r in syncmers.with_next(df, range_docs=8).collect()} == expected
+
+
 def test_repeated_passages(spark):
     rng = np.random.default_rng(3)
     words = lambda n: [f"t{x}" for x in rng.integers(0, 9000, n)]

@@ -93,6 +93,7 @@ class Graph:
 
     def __init__(self, rows: DataFrame, names: DataFrame, k: int):
         self.rows, self.names, self.k = rows, names, k
+        self.blocks = names.agg(F.max(self._block("u"))).first()[0] + 1
 
     def _block(self, column: str):
         return F.shiftright(column, 32)
@@ -131,15 +132,26 @@ class Graph:
         return (better or 0) / max(1, n * self.k)
 
     def edges(self, forward: int, back: int, seed: int) -> DataFrame:
-        """(centre, member): of each vector `forward` of its neighbours and, of the vectors it is a neighbour of, up to `back` of each batch."""
+        """(centre, member, b): of each vector `forward` of its neighbours and up to `back` of those it is a neighbour of.
+
+        Both are chosen by a hash of the pair. Those that point to one vector are thinned out batch by batch and then in
+        groups of 64 blocks, 64 groups and so on, so that a vector that all others point to is never gathered whole.
+        """
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 u, w, _ = _flat(batch.column(0).to_numpy(), batch.column(1), batch.column(2))
                 ahead, behind = _sampled(u, w, forward, seed), _sampled(w, u, back, seed + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u[ahead], w[behind]])), pa.array(np.concatenate([w[ahead], u[behind]]))], names=["centre", "member"])
+                side = np.repeat([False, True], [len(ahead), len(behind)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u[ahead], w[behind]])), pa.array(np.concatenate([w[ahead], u[behind]])), pa.array(side)], names=["centre", "member", "back"])
 
-        return self.rows.select("u", "ids", "sims").mapInArrow(task, "centre long, member long").withColumn("b", self._block("centre"))
+        both = cut(self.rows.select("u", "ids", "sims").mapInArrow(task, "centre long, member long, back boolean"))
+        behind, shift = both.filter("back").select("centre", "member"), 0
+        chosen = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("centre", "member", F.lit(seed)).alias("h"), "member"))), 1, back)
+        while (self.blocks >> shift) > 0:
+            shift += 6
+            behind = behind.groupBy("centre", F.shiftright(self._block("member"), shift).alias("g")).agg(chosen.alias("x")).select("centre", F.explode("x.member").alias("member"))
+        return both.filter("NOT back").select("centre", "member").unionByName(behind).withColumn("b", self._block("centre"))
 
     def with_vectors(self, edges: DataFrame) -> DataFrame:
         """block, node, vec, worst: the vectors that the centres of each block need, once a block."""
@@ -175,11 +187,12 @@ class Graph:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding of the rows that take part: a vector that is not null, has only finite numbers and is not zero; one row of each vec_id."""
+    """vec_id, embedding of the rows that take part: a vector that is not null, has only finite numbers and is not zero; of rows of one vec_id the least vector."""
     v = F.col("embedding")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
-    return vectors.select("vec_id", F.transform(v, lambda x: x.cast("double")).alias("embedding")).filter(good).dropDuplicates(["vec_id"])
+    rows = vectors.select("vec_id", F.transform(v, lambda x: x.cast("double")).alias("embedding")).filter(good)
+    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def build(vectors: DataFrame, k: int = 32, trees: int = 6, settled: float = 0.001, sample: int = 20, each: int = 8, leaf: int = 256, block: int = 16_384) -> Graph | None:
@@ -193,15 +206,16 @@ def build(vectors: DataFrame, k: int = 32, trees: int = 6, settled: float = 0.00
     size, greatest, width = vectors.select(F.count(F.lit(1)), F.max(F.array_max(F.transform("embedding", F.abs))), F.max(F.size("embedding"))).first()
     if not size:
         return None
-    bits = max(0, int(np.log2(size / leaf))) if size > 2 * leaf else 0
-    axes = np.random.default_rng(7).normal(size=(trees, width, max(bits, 1))).astype(np.float32)
+    leaf = min(leaf, max(8, size // 8))
+    bits = max(1, int(np.log2(size / leaf)))
+    axes = np.random.default_rng(7).normal(size=(trees, width, bits)).astype(np.float32)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array(batch.column(1).flatten(), np.float64).reshape(len(batch), -1)
             most = np.abs(x).max(axis=1, keepdims=True, initial=0)
             scale, x = np.maximum(most / greatest, np.finfo(np.float64).tiny), x / most
-            codes = np.stack([((x @ a > 0) @ (1 << np.arange(a.shape[1]))) if bits else np.zeros(len(x), np.int64) for a in axes], axis=1)
+            codes = np.stack([(x @ a > 0) @ (1 << np.arange(a.shape[1])) for a in axes], axis=1)
             x = x.astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() + v.tobytes() for c, v in zip(scale, x)], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int64()))], names=["vec_id", "vec", "codes"])
 
@@ -213,7 +227,7 @@ def build(vectors: DataFrame, k: int = 32, trees: int = 6, settled: float = 0.00
     dealt = packed.join(cells, "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")))
     place = F.row_number().over(Window.partitionBy("block").orderBy("vec_id"))
     packed = cut(dealt.select((F.shiftleft("block", 32) + place).alias("u"), "vec_id", "vec", "codes"))
-    keyed = packed.select("u", "vec", F.posexplode("codes").alias("tree", "code")).filter(F.lit(bits > 0) | (F.col("tree") == 0))
+    keyed = packed.select("u", "vec", F.posexplode("codes").alias("tree", "code"))
     parts = keyed.groupBy("tree", "code").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).alias("parts"))
     part = F.pmod(F.xxhash64("u", "tree"), F.col("parts"))
     bins = max(1, size * trees // 16_384)
@@ -237,7 +251,7 @@ def build(vectors: DataFrame, k: int = 32, trees: int = 6, settled: float = 0.00
     start = packed.select("u", "vec", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("sims"), F.lit(0).alias("better"))
     graph = Graph(start, packed.select("u", "vec_id"), k)
     graph.merged(leaves.groupBy(F.pmod("leaf", F.lit(bins)).alias("bin")).applyInArrow(best, LISTS))
-    for i in itertools.count() if bits else ():
+    for i in itertools.count():
         graph.descend(sample, each, 11 * i + 1)
         if graph.progress() <= settled:
             break
@@ -255,9 +269,7 @@ def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, ex
     Only ids and inner products travel between hops, and the query's own vector.
     """
     edges = cut(graph.edges(graph.k, back, 5))
-    # Vectors that are neighbours of very many others: of those, as many as are opened at a time.
-    near = F.array_sort(F.collect_set(F.struct(F.xxhash64("member").alias("h"), "member")))
-    lists = edges.groupBy("b", "centre").agg(F.transform(F.slice(near, 1, 16 * expand), lambda x: x["member"]).alias("members"))
+    lists = edges.groupBy("b", "centre").agg(F.collect_set("member").alias("members"))
     opened = cut(
         lists.select("b", F.col("centre").alias("id"), "members", F.lit(None).cast("binary").alias("vec")).unionByName(
             graph.with_vectors(edges).select(F.col("block").alias("b"), F.col("node").alias("id"), F.lit(None).cast("array<long>").alias("members"), "vec")
@@ -326,21 +338,21 @@ def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, ex
     return state.drop("next")
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, **build_options) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, few: int = 64, **build_options) -> DataFrame:
     """The `k` nearest found of each row of `vectors` (vec_id, embedding) for which the column `is_query` holds.
 
     Nearness is the inner product in double precision; candidates are all rows of the query's length but its own.
     Returns query_id, rank, vec_id, score by falling score, ties by vec_id. Vectors that are null, zero or hold null or
-    non-finite numbers take no part; of rows of one vec_id one does. Each length has a graph of its own, those of up to
-    two leaves are compared in full. Graph and search use directions in half precision with a scale for each vector; all
+    non-finite numbers take no part; of rows of one vec_id one does. Each length has a graph of its own, but those
+    of up to `few` vectors, which a graph of 32 neighbours would hold in full anyway, are compared with one another. Graph and search use directions in half precision with a scale for each vector; all
     that a search holds at its end is scored on the original vectors. An empty table gives no rows; other columns are
     ignored.
     """
     good = cut(usable(vectors).withColumn("vec_id", F.col("vec_id").cast("long")))
     lengths = good.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("rows"))
-    large = [r["n"] for r in lengths.filter(F.col("rows") > 2 * build_options.get("leaf", 256)).collect()]
-    few = good.filter(~F.size("embedding").isin(large)).select("vec_id", F.size("embedding").alias("n"))
-    pairs = few.filter(is_query).withColumnRenamed("vec_id", "query_id").join(few, "n").filter("query_id != vec_id").select("query_id", "vec_id")
+    large = [r["n"] for r in lengths.filter(F.col("rows") > few).collect()]
+    small = good.filter(~F.size("embedding").isin(large)).select("vec_id", F.size("embedding").alias("n"))
+    pairs = small.filter(is_query).withColumnRenamed("vec_id", "query_id").join(small, "n").filter("query_id != vec_id").select("query_id", "vec_id")
     for n in large:
         graph = build(good.filter(F.size("embedding") == n), **build_options)
         names = graph.names
