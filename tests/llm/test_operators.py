@@ -397,13 +397,37 @@ def test_repeated_passages(spark):
     words = lambda n: [f"t{x}" for x in rng.integers(0, 9000, n)]
     passage, line = words(60), words(80)
     near = [w if i != 20 else "other" for i, w in enumerate(line)]
-    texts = [(1, " ".join(words(100) + passage + words(50))), (2, " ".join(words(30) + passage + words(80))), (3, "\n".join([" ".join(words(30)), " ".join(line)])), (4, "\n".join([" ".join(near), " ".join(words(30))])), (5, " ".join(words(300)))]
+    phrase = ("one two three four five six seven " * 12).split()
+    texts = [
+        (1, " ".join(words(100) + passage + words(50))), (2, " ".join(words(30) + passage + words(80))), (3, "\n".join([" ".join(words(30)), " ".join(line)])),
+        (4, "\n".join([" ".join(near), " ".join(words(30))])), (5, " ".join(words(300))), (6, " ".join(words(40) + phrase + words(9))), (7, " ".join(words(11) + phrase + words(70))),
+        (8, " ".join(words(50) + passage[5:30] + words(50))),
+    ]
     found = paragraphs.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
-    assert {r["doc_id"] for r in found} == {1, 2, 3, 4} and {r["doc_id"] for r in found if r["removed"]} == {2, 4}
+    assert {r["doc_id"] for r in found} == {1, 2, 3, 4, 6, 7} and {r["doc_id"] for r in found if r["removed"]} == {2, 4, 7}
     for r in found:
-        if r["doc_id"] == 2:
-            inside = texts[1][1][r["start"] : r["end"]].split()
-            assert len(inside) >= 24 and " ".join(inside) in " ".join(passage)
+        if r["doc_id"] in (1, 2):
+            inside = texts[r["doc_id"] - 1][1][r["start"] : r["end"]].split()
+            assert len(inside) >= 60 - 22 and " ".join(inside) in " ".join(passage)
+
+
+def test_repeated_passages_cover_common_runs(spark, rows):
+    texts = [(r["doc_id"], r["text"]) for r in rows]
+    found = {}
+    for r in paragraphs.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        found.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    # Brute force: places of words that begin 50 words in common with another document.
+    where, n = {}, 50
+    spans = {d: [(m.start(), m.end()) for m in WORD.finditer(t or "")] for d, t in texts}
+    lower = {d: [t[a:b].lower() for a, b in spans[d]] for d, t in texts}
+    for d, w in lower.items():
+        for i in range(len(w) - n + 1):
+            where.setdefault(hash(tuple(w[i : i + n])), set()).add(d)
+    for d, w in lower.items():
+        for i in range(len(w) - n + 1):
+            if len(where[hash(tuple(w[i : i + n]))]) > 1:
+                a, b = spans[d][i + 11][0], spans[d][i + n - 12][1]
+                assert any(x <= a and b <= y for x, y in found[d]), (d, i)
 
 
 def test_odd_rows(odd):

@@ -19,7 +19,7 @@ U = np.uint64
 
 def tune(threshold: float, recall: float = 0.999, most: int = 32) -> tuple[int, int]:
     """(bands, rows): the fewest bands with 1 - (1 - threshold ** rows) ** bands >= recall and bands * rows <= most hashes;
-    of settings within two bands of that, the one with most rows, which lets the fewest unlike pairs collide."""
+    of settings within three bands of that, the one with most rows, which lets the fewest unlike pairs collide."""
     able = [(b, r) for r in range(1, 9) for b in range(1, most // r + 1) if 1 - (1 - threshold**r) ** b >= recall]
     fewest = min(b for b, _ in able) if able else most
     return max((x for x in able if x[0] <= fewest + 3), key=lambda x: (x[1], -x[0])) if able else (most, 1)
@@ -27,12 +27,13 @@ def tune(threshold: float, recall: float = 0.999, most: int = 32) -> tuple[int,
 
 @dataclass
 class Units:
-    """Parts of texts by their words [first, last): document in the batch, place in code points, node, shingle range."""
+    """Parts of texts: document in the batch, places in code points and in words of the document, node, shingle range."""
 
     doc: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    words: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
     node: np.ndarray
     shingle: np.ndarray
     of: np.ndarray
@@ -42,8 +43,8 @@ def _units(text: pa.Array, k: int, least: int, span: int) -> tuple[Units, Units]
     """(paragraphs, passages) of a batch.
 
     Paragraphs are lines of at least `least` words. Passages are runs of `span` words, across lines, that start where the
-    hash of a k-word shingle is the least of `span` in a row, so any 2 `span` words that two texts share hold a
-    passage of both. Nodes name the set of a paragraph's shingles and the run of a passage's.
+    hash of a k-word shingle is the least of `span` / 2 in a row. So of n words in a row that two texts share, all but
+    `span` - 2 at most are in passages of both. Nodes name the set of a paragraph's shingles and the run of a passage's.
     """
     data, _ = text_bytes(text)
     w = words(text)
@@ -55,10 +56,11 @@ def _units(text: pa.Array, k: int, least: int, span: int) -> tuple[Units, Units]
         if n > j:
             sh[: n - j] = mix(sh[: n - j] + w.hash[j:] * U(2 * j + 1))
     line = np.cumsum(data == 10)[w.start] if n else np.zeros(0, np.int64)
+    opening = np.searchsorted(w.doc, np.arange(len(text)))
 
     def made(first: np.ndarray, last: np.ndarray, node: np.ndarray, shingle: np.ndarray, of: np.ndarray) -> Units:
         doc = w.doc[first]
-        return Units(doc, place[w.start[first]] - 1 - base[doc], place[w.start[last - 1] + w.size[last - 1] - 1] - base[doc], last - first, node.view(np.int64), shingle, of)
+        return Units(doc, place[w.start[first]] - 1 - base[doc], place[w.start[last - 1] + w.size[last - 1] - 1] - base[doc], first - opening[doc], last - opening[doc], node.view(np.int64), shingle, of)
 
     begin = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1])])) if n else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, n))
@@ -74,18 +76,18 @@ def _units(text: pa.Array, k: int, least: int, span: int) -> tuple[Units, Units]
     total = np.concatenate([[U(0)], np.cumsum(mix(h ^ U(0x5851F42D4C957F2D)), dtype=U)])
     paragraphs = made(begin, begin + size, mix(total[ends[1:]] - total[ends[:-1]] + np.diff(ends).astype(U)), h, ends)
 
-    reach = span + k - 1  # words under `span` shingles in a row
-    if n < reach + 1:
-        return paragraphs, made(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U), np.zeros(1, np.int64))
-    first = np.argmin(np.lib.stride_tricks.sliding_window_view(sh[: n - k + 1], span), axis=1) + np.arange(n - reach + 1)
+    window = span // 2
+    reach = window + k - 1  # words under `window` shingles in a row
+    none = np.zeros(0, np.int64)
+    if n < max(reach, span):
+        return paragraphs, made(none, none, np.zeros(0, U), np.zeros(0, U), np.zeros(1, np.int64))
+    first = np.argmin(np.lib.stride_tricks.sliding_window_view(sh[: n - k + 1], window), axis=1) + np.arange(n - reach + 1)
     anchor = np.unique(first[w.doc[: n - reach + 1] == w.doc[reach - 1 :]])
     anchor = anchor[anchor + span <= n]
     anchor = anchor[w.doc[anchor] == w.doc[anchor + span - 1]]
     sums = np.concatenate([[U(0)], np.cumsum(mix(sh + U(1)), dtype=U)])
     node = mix(sums[anchor + span - k + 1] - sums[anchor] + sh[anchor] * U(3))
-    inside = np.sort(np.lib.stride_tricks.sliding_window_view(sh, span - k + 1)[anchor], axis=1) if len(anchor) else np.zeros((0, 1), U)
-    varied = (inside[:, 1:] != inside[:, :-1]).sum(axis=1) >= (span - k) // 2 if len(anchor) else np.zeros(0, bool)
-    return paragraphs, made(anchor[varied], anchor[varied] + span, node[varied], np.zeros(0, U), np.zeros(1, np.int64))
+    return paragraphs, made(anchor, anchor + span, node, np.zeros(0, U), np.zeros(1, np.int64))
 
 
 def _bands(p: Units, bands: int, rows: int) -> np.ndarray:
@@ -101,14 +103,16 @@ def _bands(p: Units, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def repeated_passages(docs: DataFrame, percent: int = 80, k: int = 5, least: int = 25, span: int = 24, recall: float = 0.999, block: int = 400_000) -> DataFrame:
+def repeated_passages(docs: DataFrame, percent: int = 80, k: int = 5, least: int = 25, span: int = 24, passage: int = 50, recall: float = 0.999, block: int = 400_000) -> DataFrame:
     """Spans of the texts of `docs` (doc_id, text) that other documents have too: doc_id, start, end, first_doc, n_units, removed.
 
     Paragraphs (lines of at least `least` words) get MinHash signatures of their `k`-word shingles, banded by `tune`;
     colliding paragraphs are joined and compared by exact Jaccard similarity (links from `percent` on); components of
     the links are classes. A line can also hold a passage that is elsewhere part of another line: passages (`_units`) of
-    `span` words anchored by their own content, which are equal or not, make further classes, so that every run of
-    2 `span` words in common is found. Classes that are found in one document only are left out.
+    `span` words anchored by their own content, which are equal or not (their bands would be many times the rows of
+    the paragraphs'), make further classes. Classes that are found in one document only are left out. Spans without a
+    paragraph that are too short for a part of `passage` words in common (of which the ends may be cut off, see
+    `_units`) are left out too; all longer ones are found.
 
     Of a class the copy in the document of least doc_id stays; copies in other documents are to be removed. Units that
     overlap in a document are one span, those that stay and those to be removed apart; start and end (exclusive) are
@@ -162,14 +166,16 @@ def repeated_passages(docs: DataFrame, percent: int = 80, k: int = 5, least: int
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                for u in _units(part.column(1), k, least, span):
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(u.doc)), *map(pa.array, (u.start, u.end, u.node))], names=["doc", "start", "end", "node"])
+                for i, u in enumerate(_units(part.column(1), k, least, span)):
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(u.doc)), *map(pa.array, (u.start, u.end, u.first, u.last, u.node)), pa.array(np.full(len(u.node), i == 0))], names=["doc", "start", "end", "first", "last", "node", "line"])
 
-    units = join_small(docs.mapInArrow(lean(places), "doc long, start long, end long, node long"), of_node, "node", most=2_000_000)
+    units = join_small(docs.mapInArrow(lean(places), "doc long, start long, end long, first long, last long, node long, line boolean"), of_node, "node", most=2_000_000)
     units = units.withColumn("removed", F.col("doc") > F.col("first_doc"))
     along = Window.partitionBy("doc", "removed").orderBy("start", "end")
     apart = F.col("start") > F.coalesce(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     spans = units.withColumn("_new", apart.cast("int")).withColumn("_span", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return spans.groupBy(F.col("doc").alias("doc_id"), "removed", "_span").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc"), F.count(F.lit(1)).alias("n_units")
-    ).select("doc_id", "start", "end", "first_doc", "n_units", "removed")
+    spans = spans.groupBy(F.col("doc").alias("doc_id"), "removed", "_span").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc"), F.count(F.lit(1)).alias("n_units"),
+        (F.max("last") - F.min("first")).alias("_words"), F.max("line").alias("_line"),
+    )
+    return spans.filter(F.col("_line") | (F.col("_words") > passage - span + 2)).select("doc_id", "start", "end", "first_doc", "n_units", "removed")
