@@ -6,8 +6,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from tidewater.plans import catalog
+from tidewater.plans import catalog, records  # noqa: F401  (registers queries)
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
@@ -51,3 +52,75 @@ def test_query(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, DIR).count() > 0
+
+
+def test_ewm_of_null_keys_and_long_numbers(spark):
+    from tidewater.operators import windows
+
+    df = spark.createDataFrame([(None, 1, 1.0, 2**53 + 1), (None, 2, 3.0, None), (1, 1, 1.0, 5), (1, 2, 3.0, 6)], "k int, i int, x double, big long")
+    found = {(r["k"], r["i"]): (r["ewm"], r["big"]) for r in windows.ewm(df, "x", ["k"], ["i"], span=2).collect()}
+    assert found[None, 2][0] == found[1, 2][0] == 2.5 and found[None, 1][1] == 2**53 + 1
+
+
+def test_cumulative_product_is_exact(spark):
+    from tidewater.operators import windows
+
+    df = spark.range(1, 8).selectExpr("id", "cast(id as double) as x", "0 as k")
+    assert [r["p"] for r in windows.cumulative(df, "x", ["k"], ["id"], "product", "p").orderBy("id").collect()] == [1.0, 2.0, 6.0, 24.0, 120.0, 720.0, 5040.0]
+
+
+def test_samples(spark):
+    from tidewater.operators import sorting
+
+    df = spark.range(1000)
+    assert sorting.sample(df, 10, ["id"]).count() == 10 and 200 < sorting.sample_share(df, 0.25, ["id"]).count() < 300
+    assert sorting.sample_share(df, 2.0, ["id"]).count() == 2000
+    drawn = [r["id"] for r in sorting.sample_with_replacement(df, 500, 3).collect()]
+    assert len(drawn) == 500 and len(set(drawn)) < 500 and set(drawn) <= set(range(1000))
+    assert sorting.sample_with_replacement(df.limit(0), 5).count() == 0
+
+
+def test_sentence_chunks(spark):
+    from tidewater.operators import retrieval
+
+    text = "One two. Three four! Five six? " + "x" * 50
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
+    chunks = [r["chunk"] for r in retrieval.chunked(df, "id", "text", "sentence", size=24, overlap=12).orderBy("chunk_no").collect()]
+    assert chunks[:2] == ["One two. Three four!", "Three four! Five six?"] and all(len(c) <= 24 for c in chunks)
+
+
+def test_retrieval_of_questions(spark):
+    from tidewater.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "the red fox runs"), (2, "a red fox and a dog"), (3, "blue sea")], "id long, text string")
+    asked = spark.createDataFrame([(1, "the red fox")], "q int, question string")
+    found = retrieval.search_index(docs, "id", "text", asked, "q", "question", 2).orderBy("place").collect()
+    assert [r["id"] for r in found] == [1, 2] and found[0]["final"] > found[0]["score"]
+    assert spark.range(1).select(retrieval.clauses(F.lit("What is it and who made it? No")).alias("c")).first()["c"] == ["what is it", "who made it"]
+    assert spark.range(1).select(retrieval.citations(F.lit("as S2 and S10, S2 say")).alias("c")).first()["c"] == ["S2", "S10"]
+    relevant = spark.createDataFrame([(1, 2)], "q int, id long")
+    assert abs(retrieval.ndcg(retrieval.top_k(retrieval.bm25(docs, "id", "text", asked, "q", "question"), "q", "id", 2), relevant, "q", "id", 2).first()[0] - 1 / math.log2(3)) < 1e-9
+
+
+def test_fuzzy_and_text_functions(spark):
+    from tidewater.functions import fuzzy, strings
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    pairs = spark.createDataFrame([("ca", "ac"), ("kitten", "sitting"), ("", "ab"), (None, "a")], "a string, b string")
+    assert [r[0] for r in pairs.select(fuzzy.damerau("a", "b")).collect()] == [1, 3, 2, None]
+    assert one(fuzzy.hamming(F.lit("karolin"), F.lit("kathrin"))) == 3 and one(fuzzy.hamming(F.lit("a"), F.lit("ab"))) is None
+    assert one(fuzzy.weighted([(F.lit(1.0), 3.0), (F.lit(0.0), 1.0)])) == 0.75
+    assert one(strings.decrypt(strings.encrypt(F.lit("text"), "a secret"), "a secret")) == "text"
+    assert one(strings.pad(F.lit("7"), 3, "left", "0")) == "007" and one(strings.strip(F.lit(" a "))) == "a"
+
+
+def test_metrics_pack_and_sync(spark):
+    from tidewater.operators import retrieval
+
+    ranked = spark.createDataFrame([(1, 10, 1, "a" * 40), (1, 11, 2, "b" * 40), (1, 12, 3, "c" * 40)], "q int, id int, rank int, text string")
+    relevant = spark.createDataFrame([(1, 11), (1, 99)], "q int, id int")
+    m = retrieval.metrics(ranked, relevant, "q", "id", 2).first()
+    assert (m["precision"], m["recall"], m["mrr"]) == (0.5, 0.5, 0.5)
+    assert [r["id"] for r in retrieval.pack(ranked, "q", "text", 20).orderBy("rank").collect()] == [10, 11]
+    new = ranked.filter("id != 10").withColumn("text", F.when(F.col("id") == 11, "x").otherwise(F.col("text")))
+    assert {r["id"]: r["state"] for r in retrieval.sync(ranked, new, "id", ["text"]).collect()} == {10: "removed", 11: "changed", 12: "same"}

@@ -40,8 +40,14 @@ def spread(c: Column) -> Column:
 
 
 def cumulative(c: Column) -> Column:
-    """Running sums of the numbers."""
-    return F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: total(F.slice(c, F.lit(1), i)))
+    """Running sums of the numbers, one step an element."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        now = acc["sum"] + F.coalesce(x.cast("double"), F.lit(0.0))
+        return F.struct(now.alias("sum"), F.array_append(acc["out"], now).alias("out"))
+
+    return F.aggregate(c, start, step, lambda acc: acc["out"])
 
 
 def chunks(c: Column, size: int) -> Column:
@@ -62,3 +68,25 @@ def missing(a: Column, b: Column) -> Column:
 
 def clip(c: Column, low: float, high: float) -> Column:
     return F.transform(c, lambda x: F.greatest(F.lit(low), F.least(F.lit(high), x)))
+
+
+def value_counts(c: Column) -> Column:
+    """map<element, count> of the elements that are not null."""
+    distinct = F.array_distinct(_known(c))
+    return F.map_from_arrays(distinct, F.transform(distinct, lambda x: F.size(F.filter(c, lambda y: y == x))))
+
+
+def rank(c: Column) -> Column:
+    """Dense rank of each element among the distinct ones."""
+    order = F.array_sort(F.array_distinct(_known(c)))
+    return F.transform(c, lambda x: F.array_position(order, x).cast("int"))
+
+
+def rolling(c: Column, size: int) -> Column:
+    """Mean of the last `size` elements; null for the first ones."""
+    return F.transform(c, lambda x, i: F.when(i + 1 >= size, total(F.slice(c, i - size + 2, F.lit(size))) / size))
+
+
+def standardize(c: Column, size: Column, fill: Column) -> Column:
+    """Exactly `size` elements: cut off, or filled up."""
+    return F.slice(F.concat(c, F.array_repeat(fill, size)), F.lit(1), size)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -78,3 +78,24 @@ def soundex(c: Column) -> Column:
     coded = F.translate(F.regexp_replace(letters, "(?<=.)[HW]", ""), "BFPVCGJKQSXZDTLMNRAEIOUYHW", "11112222222233455600000000")
     rest = F.regexp_replace(F.regexp_replace(coded, r"(\d)\1+", "$1"), "^.", "")
     return F.when(letters == "", letters).otherwise(F.rpad(F.concat(F.substring(letters, 1, 1), F.replace(rest, F.lit("0"), F.lit(""))), 4, "0"))
+
+
+def fuzzy_search(queries: DataFrame, query: str, collection: DataFrame, text: str, least: float = 0.7, n: int = 2) -> DataFrame:
+    """Pairs of a query and a text of the collection whose n-grams are alike by Jaccard similarity of at least `least`.
+
+    Pairs are found by a common n-gram among the rarest that a pair must share (prefix filter), never by all pairs.
+    """
+    def grams(df: DataFrame, name: str) -> DataFrame:
+        return df.select(name).distinct().withColumn("_g", ngrams(F.lower(name), n)).filter(F.size("_g") > 0)
+
+    a, b = grams(queries.withColumnRenamed(query, "_q"), "_q"), grams(collection.withColumnRenamed(text, "_x"), "_x")
+    often = b.select(F.explode("_g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+
+    def prefix(df: DataFrame, name: str) -> DataFrame:
+        listed = df.select(name, F.size("_g").alias("_n"), F.explode("_g").alias("g")).join(often, "g", "left").groupBy(name, "_n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g"))).alias("_o"))
+        kept = F.slice("_o", F.lit(1), (F.col("_n") - F.ceil(F.col("_n") * least) + 1).cast("int"))
+        return listed.select(name, F.explode(kept).alias("o")).select(name, F.col("o.g").alias("g"))
+
+    pairs = prefix(a, "_q").join(prefix(b, "_x"), "g").select("_q", "_x").distinct()
+    scored = pairs.select("_q", "_x", jaccard(F.lower("_q"), F.lower("_x"), n).alias("score"))
+    return scored.filter(F.col("score") >= least).select(F.col("_q").alias("query"), F.col("_x").alias("text"), "score")

@@ -66,11 +66,21 @@ def join(a: Column, b: Column, separator: str = " ") -> Column:
     return F.concat(a.cast("string"), F.lit(separator), b.cast("string"))
 
 
+def _key(secret: str) -> Column:
+    """32 bytes made of a secret of any length."""
+    return F.unhex(F.sha2(F.lit(secret).cast("binary"), 256))
+
+
 def encrypt(c: Column, key: str) -> Column:
-    """AES with a key of 16, 24 or 32 characters, in base 64."""
-    return F.base64(F.aes_encrypt(c.cast("binary"), F.lit(key)))
+    """AES of the text in Base64, different each time."""
+    return F.base64(F.aes_encrypt(c.cast("binary"), _key(key)))
 
 
 def decrypt(c: Column, key: str) -> Column:
-    """The text again; null if the key is another."""
-    return F.try_aes_decrypt(F.unbase64(c), F.lit(key)).cast("string")
+    """The text that `encrypt` was given; null for another key."""
+    return F.try_aes_decrypt(F.unbase64(c), _key(key)).cast("string")
+
+
+def matches(c: Column, pattern: str) -> Column:
+    """Whether a regular expression is found; false for null."""
+    return F.coalesce(c.rlike(pattern), F.lit(False))

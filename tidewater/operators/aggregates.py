@@ -84,13 +84,16 @@ def quantile(df: DataFrame, keys: Sequence[str], column: str, q: float, interpol
     name = f"{column}_q"
     if interpolation == "linear":
         return df.groupBy(*keys).agg(F.percentile(num(df, column), q).alias(name))
-    ranked = df.withColumn("_v", num(df, column)).filter("_v IS NOT NULL")
+    # Counted by value first, so that equal values of a group are one row of its window.
+    counted = df.withColumn("_v", num(df, column)).filter("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*keys)
-    ranked = ranked.withColumn("_r", F.row_number().over(w.orderBy("_v")) - 1).withColumn("_at", (F.count(F.lit(1)).over(w) - 1) * F.lit(q))
+    ranked = counted.withColumn("_end", F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_at", (F.sum("_c").over(w) - 1) * F.lit(q))
     low, high = F.floor("_at"), F.ceil("_at")
-    near = F.when(F.col("_at") - low <= 0.5, low).otherwise(high)
-    want = {"lower": F.col("_r") == low, "higher": F.col("_r") == high, "nearest": F.col("_r") == near, "midpoint": (F.col("_r") == low) | (F.col("_r") == high)}[interpolation]
-    return ranked.filter(want).groupBy(*keys).agg(F.avg("_v").alias(name))
+    holds = lambda place: (place < F.col("_end")) & (place >= F.col("_end") - F.col("_c"))
+    if interpolation == "midpoint":
+        return ranked.groupBy(*keys).agg(((F.max(F.when(holds(low), F.col("_v"))) + F.max(F.when(holds(high), F.col("_v")))) / 2).alias(name))
+    place = {"lower": low, "higher": high, "nearest": F.when(F.col("_at") - low <= 0.5, low).otherwise(high)}[interpolation]
+    return ranked.filter(holds(place)).groupBy(*keys).agg(F.max("_v").alias(name))
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, percentiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
@@ -123,7 +126,10 @@ def value_counts(df: DataFrame, columns: Sequence[str], normalize: bool = False,
     if dropna:
         df = df.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("count"))
-    return counted.withColumn("count", F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(0)))) if normalize else counted
+    if not normalize:
+        return counted
+    whole = df.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    return counted.crossJoin(F.broadcast(whole)).withColumn("count", F.col("count") / F.col("_all")).drop("_all")
 
 
 def extreme_label(df: DataFrame, keys: Sequence[str], label: str, column: str, order_by: Sequence[str], largest: bool = True) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,3 +57,41 @@ def truth(c: Column) -> Column:
 def same(a: Column, b: Column) -> Column:
     """Equality under which null equals null."""
     return a.eqNullSafe(b)
+
+
+def drop_nulls(df: DataFrame, how: str = "any", thresh: int | None = None, subset: Sequence[str] | None = None) -> DataFrame:
+    """Rows with enough values: all of the columns (any), one (all), or `thresh` of them. NaN is missing."""
+    names = list(subset or df.columns)
+    least = thresh if thresh is not None else len(names) if how == "any" else 1
+    return df.filter(sum(((~is_missing(df, n)).cast("int") for n in names), F.lit(0)) >= least)
+
+
+def drop_null_columns(df: DataFrame, how: str = "any", thresh: int | None = None) -> DataFrame:
+    """Columns with enough values, counted over all rows at once; only the counts come to the driver."""
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(~is_missing(df, n)).alias(n) for n in df.columns]).first()
+    least = thresh if thresh is not None else row["_n"] if how == "any" else 1
+    return df.select(*[n for n in df.columns if row[n] >= least])
+
+
+def fill_nulls(df: DataFrame, values: Any, columns: Sequence[str] | None = None) -> DataFrame:
+    """Missing cells filled by one value, or by one for each column of a mapping."""
+    given = values if isinstance(values, Mapping) else {n: values for n in columns or df.columns}
+    return df.withColumns({n: F.when(is_missing(df, n), F.lit(v)).otherwise(F.col(n)) for n, v in given.items()})
+
+
+def replace(df: DataFrame, mapping: Mapping[Any, Any] | Sequence[Any], value: Any = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """Cells equal to a key of `mapping` (or to one of a list) become its value (or `value`); a key None stands for missing ones."""
+    pairs = mapping if isinstance(mapping, Mapping) else {k: value for k in mapping}
+
+    def put(n: str) -> Column:
+        out: Any = F
+        for old, new in pairs.items():
+            out = out.when(is_missing(df, n) if old is None else truth(F.col(n) == F.lit(old)), F.lit(new))
+        return out.otherwise(F.col(n))
+
+    return df.withColumns({n: put(n) for n in columns or df.columns})
+
+
+def clip(df: DataFrame, name: str, low: float, high: float) -> Column:
+    """The number within bounds; what is no number becomes the lower one."""
+    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), num(df, name))), F.lit(low))

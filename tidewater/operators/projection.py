@@ -120,3 +120,14 @@ def pipe(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
     for step in steps:
         df = df.transform(step)
     return df
+
+
+def reindex(df: DataFrame, key: str, labels: DataFrame, fill: Any = None, allow_missing: bool = True) -> DataFrame:
+    """Rows of `df` by the column `key` of `labels`, in as many copies; labels without a row get `fill` in all columns, or are an error."""
+    wanted = labels.select(F.col(key).alias("_label"))
+    rows = df.withColumn("_found", F.lit(True))
+    both = wanted.join(rows, F.col("_label").eqNullSafe(F.col(key)), "left")
+    lost = F.col("_found").isNull()
+    if not allow_missing:
+        both = both.withColumn("_label", F.when(lost, F.raise_error(F.lit("label without a row"))).otherwise(F.col("_label")))
+    return both.select(F.col("_label").alias(key), *[(F.when(lost, F.lit(fill)).otherwise(F.col(c)) if fill is not None else F.col(c)).alias(c) for c in df.columns if c != key])

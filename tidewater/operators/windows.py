@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -79,18 +79,15 @@ def rank(w_ties: WindowSpec, w_value: WindowSpec | None = None, method: str = "d
 def cumulative(df: DataFrame, column: str, partition_by: Sequence[str], order_by: Order, op: str, out: str, drop_invalid: bool = False) -> DataFrame:
     """sum, min, max or product of the numbers so far, carried over rows without a number (or those dropped).
 
-    The product is that of the signs times the exponential of summed logarithms, 0 from the first zero on.
+    The product multiplies the numbers of the rows before in their order, exactly as a loop would.
     """
     w, x = window(partition_by, order_by), num(df, column)
     if drop_invalid:
         df = df.filter(x.isNotNull())
     if op != "product":
         return df.withColumn(out, running(x, w, op))
-    negative = F.pmod(running(F.when(x < 0, 1).otherwise(0), w, "sum"), F.lit(2)) == 1
-    size = F.exp(running(F.ln(F.when(x != 0, F.abs(x))), w, "sum"))
-    zero = running(F.when(x == 0, 1).otherwise(0), w, "sum") > 0
-    value = F.when(zero, 0.0).otherwise(F.coalesce(size, F.lit(1.0)) * F.when(negative, -1).otherwise(1))
-    return df.withColumn(out, F.when(running(x, w, "count") > 0, value))
+    so_far = F.collect_list(x.cast("double")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn(out, F.when(F.size(so_far) > 0, F.aggregate(so_far, F.lit(1.0), lambda p, v: p * v)))
 
 
 def interpolate(df: DataFrame, column: str, partition_by: Sequence[str], order_by: Order, method: str = "linear", limit: int | None = None, out: str | None = None) -> DataFrame:
@@ -125,26 +122,27 @@ def ewm(
 ) -> DataFrame:
     """Exponentially weighted mean of each partition, adjusted or recursive.
 
-    The recurrence runs along a partition's rows in order: rows are sorted by Spark and pass through pandas in batches,
-    the state going from one batch to the next, so a partition need not fit into memory.
+    The recurrence runs along a partition's rows in order: rows are sorted by Spark and pass through Python in batches,
+    the state going from one batch to the next, so a partition need not fit into memory. Columns other than the value
+    pass as they are; null keys are one partition.
     """
     if alpha is None:
         alpha = 2 / (span + 1) if span is not None else 1 / (1 + com) if com is not None else 1 - 0.5 ** (1 / float(halflife or 1))
     keep = 1 - alpha
     schema = df.withColumn(out, F.lit(0.0)).schema
     schema[out].nullable = True
-    keys = list(partition_by)
+    keys = [F.col(k) for k in partition_by]
+    given = df.withColumns({"_value": num(df, column).cast("double"), "_group": F.to_json(F.struct(*partition_by)) if keys else F.lit("")})
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, top, bottom, seen = None, 0.0, 0.0, 0
-        for frame in frames:
-            values = pd.to_numeric(frame[column], errors="coerce").to_numpy(float)
-            groups = list(frame[keys].itertuples(index=False, name=None)) if keys else [()] * len(frame)
+        for batch in batches:
+            values, groups = batch.column("_value").to_pylist(), batch.column("_group").to_pylist()
             result: list[float | None] = []
             for group, x in zip(groups, values):
                 if group != key:
                     key, top, bottom, seen = group, 0.0, 0.0, 0
-                if x == x:
+                if x is not None:
                     seen += 1
                     if adjust or not bottom:
                         top, bottom = top * keep + x, bottom * keep + 1
@@ -155,7 +153,10 @@ def ewm(
                     bottom, top = bottom * keep, top * keep if adjust else top
                 mean = (top / bottom if adjust else top) if bottom else None
                 result.append(mean if seen >= min_periods else None)
-            yield frame.assign(**{out: pd.array(result, dtype="Float64")})
+            kept = [batch.column(c) for c in schema.names if c != out]
+            names = [c for c in schema.names if c != out]
+            done = dict(zip(names, kept)) | {out: pa.array(result, pa.float64())}
+            yield pa.RecordBatch.from_arrays([done[c] for c in schema.names], names=schema.names)
 
-    sorted_rows = (df.repartition(*keys) if keys else df.coalesce(1)).sortWithinPartitions(*keys, *order_by)
-    return sorted_rows.mapInPandas(task, schema)
+    sorted_rows = (given.repartition(*keys) if keys else given.coalesce(1)).sortWithinPartitions(*keys, *order_by)
+    return sorted_rows.mapInArrow(task, schema)

@@ -194,9 +194,11 @@ def interpolate_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.interpolate(_gaps(spark, sf_dir), "value", ["user_id"], ["event_id"]).select("event_id", F.round("value", 5).alias("value"))
 
 
-@query(None)
+@query("""WITH i AS (SELECT event_id, user_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
+SELECT a.event_id, a.user_id, round(sum(b.value * pow(2 / 3, a.i - b.i)) / sum(CASE WHEN b.value IS NOT NULL THEN pow(2 / 3, a.i - b.i) END), 6) AS ewm FROM i a JOIN i b ON a.user_id IS NOT DISTINCT FROM b.user_id AND b.i <= a.i GROUP BY ALL""")
 def ewm_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.ewm(_gaps(spark, sf_dir).select("event_id", "user_id", "value"), "value", ["user_id"], ["event_id"], span=5)
+    out = windows.ewm(_gaps(spark, sf_dir).select("event_id", "user_id", "value"), "value", ["user_id"], ["event_id"], span=5)
+    return out.select("event_id", "user_id", F.round("ewm", 6).alias("ewm"))
 
 
 @query("""WITH b AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, sum(value) AS value, count(user_id) AS user_id FROM events GROUP BY 1),
@@ -397,10 +399,9 @@ def lineage_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.reach(_edges(spark, sf_dir), spark.range(1).select(F.lit("c1").alias("node")), 2)
 
 
-@query(None)
+@query("""WITH g AS (SELECT c_nationkey, min(c_custkey) AS least FROM customer GROUP BY 1) SELECT c_custkey AS node, least AS label FROM customer JOIN g USING (c_nationkey) UNION ALL SELECT c_nationkey + 10000000, least FROM g""")
 def connected_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _t(spark, sf_dir, "customer")
-    return graphs.groups(c.select(F.col("c_custkey").alias("src"), (F.col("c_nationkey") + 10_000_000).cast("long").alias("dst")))
+    return graphs.groups(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"), (F.col("c_nationkey") + 10_000_000).cast("long").alias("dst")))
 
 
 @query("SELECT c_custkey::VARCHAR AS c_custkey, try_cast(c_name AS DOUBLE) AS c_name, c_acctbal::BIGINT * 0 + trunc(c_acctbal)::BIGINT AS c_acctbal, NULL::VARCHAR AS note FROM customer")
