@@ -254,6 +254,34 @@ def test_identity_swaps_change_little(spark):
     assert toxicity.swapped("Women and men") == "men and women" and abs(a - b) < 0.05
 
 
+def test_swap_penalty_spares_neutral_mentions(spark):
+    """Labels in which toxic texts name one group far more often than others do."""
+    rng = np.random.default_rng(9)
+    plain = [f"word{i}" for i in range(60)]
+    rows, toxic = [], []
+    for i in range(1200):
+        is_toxic = i % 3 == 0
+        words = [plain[j] for j in rng.integers(0, 60, 12)]
+        if is_toxic and rng.random() < 0.6:
+            words.append(["idiotic", "vermin", "scum"][int(rng.integers(3))])
+        if rng.random() < (0.7 if is_toxic else 0.03):
+            words.append("muslims")
+        if rng.random() < 0.1:
+            words.append("christians")
+        rows.append((i, " ".join(words)))
+        toxic.append((i, int(is_toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(toxic, "doc_id long, toxic int")
+    neutral = [" ".join(plain[j] for j in rng.integers(0, 60, 12)) + " muslims" for _ in range(200)]
+    worse = [" ".join(plain[j] for j in rng.integers(0, 60, 12)) + " scum" for _ in range(200)]
+    pa = __import__("pyarrow")
+    without, with_ = (toxicity.fit(docs, labels, fairness=f) for f in (0.0, 5.0))
+    share = lambda model, texts: (model.score(pa.array(texts)) >= 0.7).mean()
+    assert share(without, neutral) > 0.5 and share(with_, neutral) <= share(without, neutral) / 2
+    assert share(with_, worse) > 0.9
+    change = lambda model: np.abs(model.score(pa.array(neutral)) - model.score(pa.array([toxicity.swapped(t) for t in neutral]))).mean()
+    assert change(with_) < change(without) / 4
+
+
 def brute_components(texts, k, percent):
     def of(t):
         w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
