@@ -103,23 +103,23 @@ class Graph:
         k = self.k
 
         def merge(rows: pa.Table) -> pa.Table:
-            u = rows.column("u").to_numpy()
-            kept = top_of(*_flat(u, rows.column("ids"), rows.column("sims")), k)
-            nodes, ids, sims = _lists(*kept)
-            own = rows.filter(pa.compute.is_valid(rows.column("vec")))
-            at = {x: i for i, x in enumerate(nodes.to_pylist())}
-            empty: list = []
-            places = [at.get(x) for x in own.column("u").to_pylist()]
-            better = []
-            for p, had, old in zip(places, own.column("ids").to_pylist(), own.column("sims").to_pylist()):
-                # Of equal products rounding decides, which is no progress.
-                least = old[-1] + 1e-5 * abs(old[-1]) if len(old) >= k else -np.inf
-                better.append(int((~np.isin(ids[p].values.to_numpy(), had) & (sims[p].values.to_numpy() > least)).sum()) if p is not None else 0)
+            own = rows.filter(pa.compute.is_valid(rows.column("vec"))).sort_by("u")
+            u, had = own.column("u").to_numpy(), _flat(own.column("u").to_numpy(), own.column("ids"), own.column("sims"))
+            node, w, sim = top_of(*_flat(rows.column("u").to_numpy(), rows.column("ids"), rows.column("sims")), k)
+            size = lambda owner: np.diff(np.append(np.searchsorted(owner, u), len(owner)))
+            old = size(had[0])
+            # Of equal products rounding decides, which is no progress.
+            least = np.full(len(u), -np.inf)
+            full = old >= k
+            last = had[2][np.cumsum(old)[full] - 1]
+            least[full] = last + 1e-5 * abs(last)
+            at, names = np.searchsorted(u, node), np.unique(np.concatenate([w, had[1]]))
+            pair = lambda i, x: i * len(names) + np.searchsorted(names, x)
+            fresh = ~np.isin(pair(at, w), pair(np.searchsorted(u, had[0]), had[1])) & (sim > least[at])
+            ends = pa.array(np.concatenate([[0], np.cumsum(size(node))]).astype(np.int32))
             return pa.table({
-                "u": own.column("u"), "vec": own.column("vec"),
-                "ids": pa.array([ids[p].as_py() if p is not None else empty for p in places], pa.list_(pa.int64())),
-                "sims": pa.array([sims[p].as_py() if p is not None else empty for p in places], pa.list_(pa.float64())),
-                "better": pa.array(better, pa.int32()),
+                "u": own.column("u"), "vec": own.column("vec"), "ids": pa.ListArray.from_arrays(ends, pa.array(w)), "sims": pa.ListArray.from_arrays(ends, pa.array(sim)),
+                "better": pa.array(np.bincount(at[fresh], minlength=len(u))[: len(u)].astype(np.int32)),
             })
 
         both = self.rows.unionByName(found, allowMissingColumns=True)
@@ -145,7 +145,7 @@ class Graph:
                 side = np.repeat([False, True], [len(ahead), len(behind)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u[ahead], w[behind]])), pa.array(np.concatenate([w[ahead], u[behind]])), pa.array(side)], names=["centre", "member", "back"])
 
-        both = cut(self.rows.select("u", "ids", "sims").mapInArrow(task, "centre long, member long, back boolean"))
+        both = self.rows.select("u", "ids", "sims").mapInArrow(task, "centre long, member long, back boolean")
         behind, shift = both.filter("back").select("centre", "member"), 0
         chosen = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("centre", "member", F.lit(seed)).alias("h"), "member"))), 1, back)
         while (self.blocks >> shift) > 0:
@@ -168,7 +168,9 @@ class Graph:
             by = np.argsort(ids)
             x, scale = _vectors(vectors.column("vec"))
             ids, x, scale, worst = ids[by], x[by], scale[by], vectors.column("worst").to_numpy()[by]
-            pair = np.unique(np.stack([pairs.column("centre").to_numpy(), pairs.column("member").to_numpy()], axis=1), axis=0)
+            pair = np.stack([pairs.column("centre").to_numpy(), pairs.column("member").to_numpy()], axis=1)
+            pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
+            pair = pair[np.concatenate([[True], (pair[1:] != pair[:-1]).any(axis=1)])]
             pair = pair[_sampled(pair[:, 0], pair[:, 1], 2 * sample, seed + 2)]
             centres, row = np.unique(pair[:, 0], return_inverse=True)
             by = np.argsort(row, kind="stable")
