@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +25,40 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     The folder is the cluster's `spark.checkpoint.dir`. Where none is set, a temporary one will do for a single machine;
     a cluster's executors would not see it, so there it is an error.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager)
+
+
+def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager)
+    return context.getCheckpointDir()
+
+
+class Written:
+    """A table that rounds of a loop replace: Parquet in the shared folder.
+
+    What checkpoint() returns keeps the size that Spark estimated for it, a product of the sizes of all tables joined.
+    In a loop that estimate is a power of itself each round, and soon a number of millions of digits that the driver
+    multiplies for seconds. A table that is read again has its true size.
+    """
+
+    def __init__(self):
+        self.folder = None
+
+    def replace(self, df: DataFrame) -> DataFrame:
+        """`df`, written and read again; what was written before is deleted."""
+        spark, last = df.sparkSession, self.folder
+        self.folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        df.write.parquet(self.folder)
+        if last:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(last)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return spark.read.schema(df.schema).parquet(self.folder)
 
 
 def n_words(text: Column) -> Column:

@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut, tidy
+from tidewater.llm.common import Written, cut, tidy
 from tidewater.llm.vector import mix
 
 #: Graph rows: a vector (its scale in double, its direction in half precision), its neighbours by falling inner product, and how many of them the last merge brought.
@@ -93,11 +93,17 @@ class Graph:
 
     def __init__(self, rows: DataFrame, names: DataFrame, k: int):
         self.rows, self.names, self.k = rows, names, k
+        self.written, self.pairs = Written(), Written()
         self.blocks = names.agg(F.max(self._block("u"))).first()[0] + 1
 
     def _block(self, column: str):
         return F.shiftright(column, 32)
 
+    def dealt(self, rows: DataFrame, block: str):
+        """`rows` grouped by block. The number of tasks is stated, as blocks are little data and much work: by size, Spark would put many into one task."""
+        tasks = int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(max(1, min(tasks, self.blocks)), block).groupBy(block)
+
     def merged(self, found: DataFrame) -> None:
         """Takes the best `k` of the neighbours known and those of `found` (LISTS)."""
         k = self.k
@@ -123,7 +129,7 @@ class Graph:
             })
 
         both = self.rows.unionByName(found, allowMissingColumns=True)
-        self.rows = cut(both.groupBy(self._block("u").alias("b")).applyInArrow(merge, GRAPH))
+        self.rows = self.written.replace(self.dealt(both.withColumn("b", self._block("u")), "b").applyInArrow(merge, GRAPH))
         tidy(self.rows.sparkSession)
 
     def progress(self) -> float:
@@ -161,7 +167,7 @@ class Graph:
 
     def descend(self, sample: int, each: int, seed: int) -> None:
         """One round: members of a neighbourhood are compared with one another, and better neighbours are taken over."""
-        edges = cut(self.edges(sample, sample, seed))
+        edges = self.pairs.replace(self.edges(sample, sample, seed))
 
         def join(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
             ids = vectors.column("node").to_numpy()
@@ -185,7 +191,7 @@ class Graph:
             nodes, lists, sims = _lists(ids[best[0]], ids[best[1]], best[2])
             return pa.table({"u": nodes, "ids": lists, "sims": sims})
 
-        self.merged(edges.groupBy("b").cogroup(self.with_vectors(edges).groupBy("block")).applyInArrow(join, LISTS))
+        self.merged(self.dealt(edges, "b").cogroup(self.dealt(self.with_vectors(edges), "block")).applyInArrow(join, LISTS))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -270,14 +276,15 @@ def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, ex
     compared with the query in the block of the opened vector. Queries end when all they hold is open.
     Only ids and inner products travel between hops, and the query's own vector.
     """
-    edges = cut(graph.edges(graph.k, back, 5))
+    edges = graph.pairs.replace(graph.edges(graph.k, back, 5))
     lists = edges.groupBy("b", "centre").agg(F.collect_set("member").alias("members"))
-    opened = cut(
+    opened = Written().replace(
         lists.select("b", F.col("centre").alias("id"), "members", F.lit(None).cast("binary").alias("vec")).unionByName(
             graph.with_vectors(edges).select(F.col("block").alias("b"), F.col("node").alias("id"), F.lit(None).cast("array<long>").alias("members"), "vec")
         )
     )
-    state = cut(graph.rows.join(queries, "u", "left_semi").select(F.col("u").alias("q"), "vec", "ids", "sims", F.array().cast("array<long>").alias("seen"), F.array("u").alias("next")))
+    table = Written()
+    state = table.replace(graph.rows.join(queries, "u", "left_semi").select(F.col("u").alias("q"), "vec", "ids", "sims", F.array().cast("array<long>").alias("seen"), F.array("u").alias("next")))
 
     def hop(block: pa.Table, asked: pa.Table) -> pa.Table:
         none = pa.table({"q": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "sims": pa.array([], pa.list_(pa.float64()))})
@@ -331,9 +338,9 @@ def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, ex
         worst = F.when(F.size("sims") >= held, F.element_at("sims", -1)).otherwise(F.lit(float("-inf")))
         asked = state.filter(F.size("next") > 0).select("q", "vec", worst.alias("worst"), F.explode("next").alias("node"))
         asked = asked.groupBy("q", "vec", "worst", graph._block("node").alias("block")).agg(F.collect_list("node").alias("nodes"))
-        found = opened.groupBy("b").cogroup(asked.groupBy("block")).applyInArrow(hop, "q long, ids array<long>, sims array<double>")
+        found = graph.dealt(opened, "b").cogroup(graph.dealt(asked, "block")).applyInArrow(hop, "q long, ids array<long>, sims array<double>")
         both = state.unionByName(found, allowMissingColumns=True)
-        state = cut(both.groupBy(graph._block("q").alias("b")).applyInArrow(advance, STATE + ", next array<long>"))
+        state = table.replace(graph.dealt(both.withColumn("b", graph._block("q")), "b").applyInArrow(advance, STATE + ", next array<long>"))
         tidy(state.sparkSession)
         if state.filter(F.size("next") > 0).isEmpty():
             break
