@@ -203,7 +203,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def build(vectors: DataFrame, k: int = 32, trees: int = 6, settled: float = 0.001, sample: int = 20, each: int = 8, leaf: int = 256, block: int = 16_384) -> Graph | None:
+def build(vectors: DataFrame, k: int = 32, trees: int = 6, settled: float = 0.001, sample: int = 20, each: int = 8, leaf: int = 256, block: int = 4_096) -> Graph | None:
     """The graph of `vectors` (as from `usable`): each vector with about its `k` best by inner product; None without vectors.
 
     Vectors are dealt into blocks of up to about `block` by the first signs of one projection, large cells by hash.
@@ -269,7 +269,7 @@ def build(vectors: DataFrame, k: int = 32, trees: int = 6, settled: float = 0.00
 STATE = "q long, vec binary, ids array<long>, sims array<double>, seen array<long>"
 
 
-def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, expand: int = 64) -> DataFrame:
+def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, expand: int = 256) -> DataFrame:
     """STATE of each node that is in `queries` (u): the best found by greedy search from its own place in the graph.
 
     Each hop opens the `expand` best vectors of the `held` best that are not open yet: their neighbours, both ways, are
