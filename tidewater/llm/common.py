@@ -43,8 +43,7 @@ class Written:
     """A table that rounds of a loop replace: Parquet in the shared folder.
 
     What checkpoint() returns keeps the size that Spark estimated for it, a product of the sizes of all tables joined.
-    In a loop that estimate is a power of itself each round, and soon a number of millions of digits that the driver
-    multiplies for seconds. A table that is read again has its true size.
+    In a loop that estimate can be a power of itself each round. A table that is read again has its true size.
     """
 
     def __init__(self):
