@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, mixing, neighbours, ngram_join, paragraphs, quality, revisits, secrets, syncmers, toxicity
+from tidewater.llm import bpe, merkle, mixing, neighbours, ngram_join, paragraphs, quality, revisits, secrets, simhash, syncmers, toxicity, variants
 from tidewater.llm.common import table
 
 
@@ -108,5 +108,22 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op2_neighbours, op3_mixing, op4_secrets, op5_quality, op6_jaccard_join, op7_bpe, op8_syncmers, op9_toxicity, op10_paragraphs)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_revisits, op2_neighbours, op3_mixing, op4_secrets, op5_quality, op6_jaccard_join, op7_bpe, op8_syncmers, op9_toxicity, op10_paragraphs, op11_simhash,
+    op12_spelling_variants, op13_merkle,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {"op1_revisits": ORACLE_OP1}
