@@ -127,8 +127,8 @@ def divide(a: Column, b: Column) -> Column:
 
 
 def unix_time(c: Column) -> Column:
-    """Seconds since 1970."""
-    return F.unix_timestamp(c)
+    """Milliseconds since 1970."""
+    return F.unix_millis(c.cast("timestamp"))
 
 
 MILLISECONDS = {"milliseconds": 1, "seconds": 1_000, "minutes": 60_000, "hours": 3_600_000, "days": 86_400_000, "weeks": 604_800_000}

@@ -26,8 +26,25 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def token_jaccard(a: Column, b: Column) -> Column:
-    return F.coalesce(_jaccard(tokens(a), tokens(b)), F.lit(0.0))
+def token_jaccard(a: Column, b: Column, normalize: bool = False) -> Column:
+    """Share of common words between white space, case and marks counting; 0 where neither has any.
+
+    `normalize`: in lower case, hyphens as spaces, other marks and underscores left out.
+    """
+
+    def words(c: Column) -> Column:
+        if normalize:
+            c = F.regexp_replace(F.replace(F.lower(c), F.lit("-"), F.lit(" ")), r"[^A-Za-z0-9\s]", "")
+        return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
+    return F.coalesce(_jaccard(words(a), words(b)), F.lit(0.0))
+
+
+def token_similarity(a: Column, b: Column) -> Column:
+    """Share of common pieces between white space, an empty piece at an end counting as one; 0 where a text is empty or null."""
+    pieces = lambda c: F.split(c, r"\s+")
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    return F.when(empty(a) | empty(b), 0.0).otherwise(_jaccard(pieces(a), pieces(b)))
 
 
 def levenshtein_likeness(a: Column, b: Column) -> Column:
@@ -36,9 +53,16 @@ def levenshtein_likeness(a: Column, b: Column) -> Column:
 
 
 def hamming(a: Column, b: Column) -> Column:
-    """Places that differ; null for unequal lengths."""
-    differ = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int"))
-    return F.when(F.length(a) == F.length(b), F.when(F.length(a) == 0, 0).otherwise(F.aggregate(differ, F.lit(0), lambda s, x: s + x)))
+    """Places that differ; infinity for unequal lengths."""
+    differ = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("double"))
+    places = F.when(F.length(a) == 0, 0.0).otherwise(F.aggregate(differ, F.lit(0.0), lambda s, x: s + x))
+    return F.when(F.length(a) == F.length(b), places).when(F.length(a) != F.length(b), F.lit(float("inf")))
+
+
+def weighted_similarity(a: Column, b: Column, levenshtein: float = 0.5, jaccard_: float = 0.5) -> Column:
+    """Weighted sum of edit and 2-gram likeness; 1 for two empty texts, 0 if one is empty."""
+    both = levenshtein * levenshtein_likeness(a, b) + jaccard_ * jaccard(a, b)
+    return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(both)
 
 
 def weighted(parts: list[tuple[Column, float]]) -> Column:
@@ -73,11 +97,14 @@ def damerau(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def soundex(c: Column) -> Column:
-    """First letter and three digits; equal codes in a row, also across h and w, count once."""
-    letters = F.regexp_replace(F.upper(c), "[^A-Z]", "")
-    coded = F.translate(F.regexp_replace(letters, "(?<=.)[HW]", ""), "BFPVCGJKQSXZDTLMNRAEIOUYHW", "11112222222233455600000000")
-    rest = F.regexp_replace(F.regexp_replace(coded, r"(\d)\1+", "$1"), "^.", "")
-    return F.when(letters == "", letters).otherwise(F.rpad(F.concat(F.substring(letters, 1, 1), F.replace(rest, F.lit("0"), F.lit(""))), 4, "0"))
+    """First character and the digits of three consonants; equal digits in a row count once, anything without a digit between them parts them.
+
+    An empty or null text gives 0000.
+    """
+    upper = F.upper(F.coalesce(c, F.lit("")))
+    coded = F.translate(F.regexp_replace(upper, "[^BFPVCGJKQSXZDTLMNR]", "0"), "BFPVCGJKQSXZDTLMNR", "111122222222334556")
+    once = F.regexp_replace(coded, r"([0-9])\1+", "$1")
+    return F.when(upper == "", "0000").otherwise(F.rpad(F.concat(F.substring(upper, 1, 1), F.replace(F.substring(once, 2, 1 << 30), F.lit("0"), F.lit(""))), 4, "0"))
 
 
 def fuzzy_search(queries: DataFrame, query: str, collection: DataFrame, text: str, least: float = 0.7, n: int = 2) -> DataFrame:

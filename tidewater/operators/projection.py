@@ -122,12 +122,33 @@ def pipe(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return df
 
 
-def reindex(df: DataFrame, key: str, labels: DataFrame, fill: Any = None, allow_missing: bool = True) -> DataFrame:
-    """Rows of `df` by the column `key` of `labels`, in as many copies; labels without a row get `fill` in all columns, or are an error."""
-    wanted = labels.select(F.col(key).alias("_label"))
-    rows = df.withColumn("_found", F.lit(True))
-    both = wanted.join(rows, F.col("_label").eqNullSafe(F.col(key)), "left")
-    lost = F.col("_found").isNull()
+def reindex(
+    df: DataFrame, key: str, labels: DataFrame, fill: Any = None, allow_missing: bool = True, order_by: Sequence[str] = (), label_order: Sequence[str] = (), columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """One row for each row of `labels`, by the column `key`: key and `columns` (all others of `df`, if not given).
+
+    A label that stands several times takes the rows of that key in turn, in order of `order_by` (else of all columns),
+    round and round; its own occurrences are ordered by `label_order`, if given. Labels without a row and columns that
+    `df` lacks get `fill`, or are an error. Keys are equal if both are null.
+    """
+    columns = list(columns) if columns is not None else [c for c in df.columns if c != key]
+    unknown = [c for c in columns if c not in df.columns]
+    if unknown and not allow_missing:
+        raise ValueError(f"unknown columns: {', '.join(unknown)}")
+    same = Window.partitionBy(key)
+    rows = df.select(F.col(key).alias("_key"), F.struct("*").alias("_row"), (F.row_number().over(same.orderBy(*(order_by or df.columns))) - 1).alias("_i"))
+    sizes = df.groupBy(F.col(key).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    turns = labels.select(F.col(key).alias("_label"), (F.row_number().over(same.orderBy(*(label_order or [key]))) - 1).alias("_turn"))
+    turns = turns.join(sizes, F.col("_label").eqNullSafe(F.col("_of")), "left").withColumn("_turn", F.coalesce(F.col("_turn") % F.col("_n"), F.lit(0)))
+    both = turns.join(rows, F.col("_label").eqNullSafe(F.col("_key")) & (F.col("_turn") == F.col("_i")), "left")
+    lost = F.col("_n").isNull()
     if not allow_missing:
         both = both.withColumn("_label", F.when(lost, F.raise_error(F.lit("label without a row"))).otherwise(F.col("_label")))
-    return both.select(F.col("_label").alias(key), *[(F.when(lost, F.lit(fill)).otherwise(F.col(c)) if fill is not None else F.col(c)).alias(c) for c in df.columns if c != key])
+
+    def value(c: str) -> Column:
+        if c in unknown:
+            return F.lit(fill).alias(c)
+        found = F.col("_row").getField(c)
+        return (F.when(lost, F.lit(fill)).otherwise(found) if fill is not None else found).alias(c)
+
+    return both.select(F.col("_label").alias(key), *[value(c) for c in columns])

@@ -86,8 +86,7 @@ def cumulative(df: DataFrame, column: str, partition_by: Sequence[str], order_by
         df = df.filter(x.isNotNull())
     if op != "product":
         return df.withColumn(out, running(x, w, op))
-    so_far = F.collect_list(x.cast("double")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn(out, F.when(F.size(so_far) > 0, F.aggregate(so_far, F.lit(1.0), lambda p, v: p * v)))
+    return df.withColumn(out, F.product(x.cast("double")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
 def interpolate(df: DataFrame, column: str, partition_by: Sequence[str], order_by: Order, method: str = "linear", limit: int | None = None, out: str | None = None) -> DataFrame:

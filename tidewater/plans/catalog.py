@@ -327,7 +327,7 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "n_regionkey").filter("left_key < right_key").select("left_name", "right_name", F.levenshtein("left_name", "right_name").cast("long").alias("distance"))
 
 
-@query("""WITH k AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS t FROM conversations)
+@query("""WITH k AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS t FROM conversations)
 SELECT a.conv_id, a.turn, round(coalesce(len(list_intersect(a.t, b.t)) / nullif(len(list_distinct(list_concat(a.t, b.t))), 0), 0), 6) AS likeness FROM k a JOIN k b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def fuzzy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "text")

@@ -76,7 +76,7 @@ v AS (SELECT rule_id, group_key, n, k, pause, k < least AS few, CASE rule_id WHE
 j AS (SELECT *, NOT few AND coalesce(CASE rule_id WHEN 'errors' THEN x > 25 WHEN 'busy' THEN x >= 4 WHEN 'slow' THEN x > 50 WHEN 'tail' THEN x < 120 ELSE x = 0 END, false) AS hit FROM v),
 h AS (SELECT rule_id, group_key, n, pause FROM j WHERE hit),
 fired AS (SELECT rule_id, group_key, min(n) AS n FROM h GROUP BY ALL UNION ALL SELECT f.rule_id, f.group_key, (SELECT min(h.n) FROM h WHERE h.rule_id = f.rule_id AND h.group_key = f.group_key AND h.n > f.n AND (h.n - f.n)::BIGINT * 10800 >= h.pause) AS n FROM fired f WHERE f.n IS NOT NULL)
-SELECT j.rule_id, j.group_key, make_timestamp(j.n * 10800000000) AS evaluated_at, CASE WHEN few THEN 'insufficient_samples' WHEN NOT hit THEN 'ok' WHEN f.n IS NOT NULL THEN 'triggered' ELSE 'suppressed' END AS status, CASE WHEN NOT few THEN round(x, 3) END AS value, k AS sample_size,
+SELECT j.rule_id, j.group_key, make_timestamp(j.n * 10800000000) AS evaluated_at, CASE WHEN few THEN 'insufficient_samples' WHEN NOT hit THEN 'ok' WHEN f.n IS NOT NULL THEN 'triggered' ELSE 'suppressed' END AS status, CASE WHEN NOT few THEN round(x, 10) END AS value, k AS sample_size,
 CASE WHEN hit AND f.n IS NULL THEN make_timestamp(((SELECT max(g.n) FROM fired g WHERE g.rule_id = j.rule_id AND g.group_key = j.group_key AND g.n < j.n) * 10800::BIGINT + pause) * 1000000) END AS suppressed_until
 FROM j LEFT JOIN fired f ON f.rule_id = j.rule_id AND f.group_key = j.group_key AND f.n = j.n"""
 
@@ -84,4 +84,4 @@ FROM j LEFT JOIN fired f ON f.rule_id = j.rule_id AND f.group_key = j.group_key
 @query(ALERT_STATES)
 def alert_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alerts.evaluate(_t(spark, sf_dir, "events"), RULES, "ts", "value", F.col("event_type") == "error", every=10800)
-    return found.withColumns({"value": F.round("value", 3), **{c: F.col(c).cast("timestamp_ntz") for c in ("evaluated_at", "suppressed_until")}})
+    return found.withColumns({"value": F.round("value", 10), **{c: F.col(c).cast("timestamp_ntz") for c in ("evaluated_at", "suppressed_until")}})

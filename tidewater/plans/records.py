@@ -28,7 +28,7 @@ def expression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {GAPS} SELECT event_id, coalesce(value > 50, false) AND coalesce(kind = 'click', false) AS both_, coalesce(value > 50, false) OR coalesce(kind = 'click', false) AS either_, NOT coalesce(value > 50, false) AS not_, value IS NULL AS gone,
-kind IS NULL OR kind = 'click' AS listed, date_trunc('hour', ts)::TIMESTAMP AS hour_, floor(epoch(ts))::BIGINT AS unix_, CASE WHEN user_id = 0 THEN 'inf' WHEN value IS NULL THEN 'true' ELSE 'false' END AS shown, user_id * 60000 AS ms, user_id / 3600000 AS hours FROM gaps""")
+kind IS NULL OR kind = 'click' AS listed, date_trunc('hour', ts)::TIMESTAMP AS hour_, epoch_us(ts) // 1000 AS unix_, CASE WHEN user_id = 0 THEN 'inf' WHEN value IS NULL THEN 'true' ELSE 'false' END AS shown, user_id * 60000 AS ms, user_id / 3600000 AS hours FROM gaps""")
 def condition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, g, c = expressions, _gaps(spark, sf_dir), F.col
     quotient = e.divide(c("value"), c("user_id"))
@@ -57,6 +57,25 @@ def replace_and_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing.replace(g, {"click": "C", None: "E"}, columns=["kind"]).select("event_id", "kind", missing.clip(g, "value", 10.0, 60.0).alias("value"))
 
 
+@query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer), o AS (SELECT o_orderkey, o_custkey % 27 AS k, row_number() OVER (PARTITION BY o_custkey % 27 ORDER BY o_orderkey) - 1 AS turn FROM orders)
+SELECT k::INT AS c_nationkey, coalesce(c_name, 'none') AS c_name, 'none' AS extra, count(*) AS n FROM o LEFT JOIN c ON c_nationkey = k AND i = turn % c.n GROUP BY ALL""")
+def reindex_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 27).cast("int").alias("c_nationkey"))
+    rows = _t(spark, sf_dir, "customer").select("c_nationkey", "c_name", "c_custkey")
+    found = projection.reindex(rows, "c_nationkey", labels, fill="none", order_by=["c_custkey"], columns=["c_name", "extra"])
+    return found.groupBy("c_nationkey", "c_name", "extra").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH p AS (SELECT DISTINCT p_name AS a, p_brand || ' ' || lower(p_type) || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ' ' || split_part(p_name, ' ', 2) END AS b FROM part), x AS (SELECT *, translate(regexp_replace(upper(a), '[^BFPVCGJKQSXZDTLMNR]', '0', 'g'), 'BFPVCGJKQSXZDTLMNR', '111122222222334556') AS s,
+list_distinct(string_split(a, ' ')) AS t, list_distinct(string_split(b, ' ')) AS u FROM p), y AS (SELECT *, array_to_string(list_filter(list_transform(range(2, len(s) + 1), lambda i: CASE WHEN s[i] <> s[i - 1] THEN s[i] ELSE '0' END), lambda d: d <> '0'), '') AS d FROM x)
+SELECT a, b, left(upper(a[1]) || d || '000', 4) AS code, round(len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))), 6) AS words, CASE WHEN length(a) = length(b) THEN hamming(a, b)::DOUBLE ELSE 'inf'::DOUBLE END AS places FROM y""")
+def name_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, c = _t(spark, sf_dir, "part"), F.col
+    b = F.concat(c("p_brand"), F.lit(" "), F.lower("p_type"), F.when(c("p_partkey") % 5 == 0, "").otherwise(F.concat(F.lit(" "), F.split("p_name", " ")[1])))
+    p = p.select(c("p_name").alias("a"), b.alias("b")).distinct()
+    return p.select("a", "b", fuzzy.soundex(c("a")).alias("code"), F.round(fuzzy.token_jaccard(c("a"), c("b")), 6).alias("words"), fuzzy.hamming(c("a"), c("b")).alias("places"))
+
+
 @query("SELECT n.k::BIGINT AS c_custkey, coalesce(c_name, 'none') AS c_name FROM (SELECT unnest(range(0, 3000, 7)) AS k UNION ALL SELECT 14) n LEFT JOIN customer c ON c.c_custkey = n.k")
 def reindex_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.range(0, 3000, 7).union(spark.range(14, 15)).toDF("c_custkey")
@@ -109,10 +128,10 @@ def text_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "orders").select("o_orderkey", strings.matches(F.col("o_orderpriority"), "^[0-9]-[A-Z]+$").alias("is_word"), strings.replace(F.col("o_orderpriority"), "-", "/").alias("slashed"), strings.join(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("both_"))
 
 
-@query("SELECT c_custkey, c_nationkey, round(product(1 + (c_custkey % 5) / 4.0) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) / 1000000, 4) AS running FROM customer WHERE c_custkey < 400")
+@query("SELECT c_custkey, c_nationkey, product(2.0::DOUBLE ** (c_custkey % 5 - 2)) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS running FROM customer")
 def cumulative_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _t(spark, sf_dir, "customer").filter("c_custkey < 400").select("c_custkey", "c_nationkey", (1 + (F.col("c_custkey") % 5) / 4.0).alias("x"))
-    return windows.cumulative(c, "x", ["c_nationkey"], ["c_custkey"], "product", "running").select("c_custkey", "c_nationkey", F.round(F.col("running") / 1000000, 4).alias("running"))
+    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.pow(F.lit(2.0), F.col("c_custkey") % 5 - 2).alias("x"))
+    return windows.cumulative(c, "x", ["c_nationkey"], ["c_custkey"], "product", "running").select("c_custkey", "c_nationkey", "running")
 
 
 @query("SELECT event_id, user_id, value FROM events WHERE event_type IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-02' AND ts <= TIMESTAMP '2024-01-05' AND contains(lower(props), '7')")
