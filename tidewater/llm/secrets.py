@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,24 +31,49 @@ SPANS = "array<struct<start:int,end:int,kind_no:int,fingerprint:string>>"
 BLANK = r"\n[\x20\t]*\n"
 
 
+def _in_blocks(items: Column, step: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """SPANS that a fold over `items` gives, `step` making (at, spans) of a place and an item.
+
+    An array that grows by one is copied each time, so items are folded in blocks, and blocks are put together.
+    """
+    state = f"struct<at:int,spans:{SPANS}>"
+
+    def item(acc: Column, x: Column) -> Column:
+        done = step(acc["at"], x)
+        return F.struct(done["at"].alias("at"), F.concat(acc["spans"], done["spans"]).alias("spans")).cast(state)
+
+    def whole(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(SPANS).alias("spans")).cast(state), item)
+        both = F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["parts"], F.array(d["spans"])).alias("parts")))
+        return both[0].cast(f"struct<at:int,parts:array<{SPANS}>>")
+
+    def folded(x: Column) -> Column:
+        last = F.floor((F.size(x) - 1) / block).cast("int")
+        parts = F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(x, i * block + 1, F.lit(block)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("parts")).cast(f"struct<at:int,parts:array<{SPANS}>>")
+        return F.flatten(F.aggregate(parts, start, whole, lambda acc: acc["parts"]))
+
+    return F.transform(F.array(items), folded)[0]  # items are made once
+
+
 def _found(text: Column, kind_no: int, pattern: str, least: int = 1, group: int = 0, usable: str = "") -> Column:
     """SPANS of the leftmost non-overlapping matches, in code points; dropped if the group has under `least` characters.
 
     `split` gives what lies between the matches, so lengths of pieces and matches add up to places. `usable` is a
-    cheap pattern without which a text can have no span.
+    cheap pattern without which a text can have no span. Breaks between scopes (kind_no under 0) have no fingerprint.
     """
     seen = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else seen
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> Column:
+        begin = at + F.length(x["gap"])
         end = begin + F.length(x["match"])
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind_no).alias("kind_no"), F.sha2(x["match"], 256).alias("fingerprint"))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        print_ = F.sha2(x["match"], 256) if kind_no >= 0 else F.lit(None).cast("string")
+        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind_no).alias("kind_no"), print_.alias("fingerprint"))
+        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.array(span)).otherwise(F.array().cast(SPANS)).alias("spans"))
 
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(seen))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-    spans = F.aggregate(F.arrays_zip(gaps.alias("gap"), seen.alias("match"), values.alias("value")), start, step, lambda acc: acc["spans"])
+    spans = _in_blocks(F.arrays_zip(gaps.alias("gap"), seen.alias("match"), values.alias("value")), step)
     return F.when(F.regexp_like(text, F.lit(usable or pattern)), spans).otherwise(F.array().cast(SPANS))
 
 
