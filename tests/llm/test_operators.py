@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import duckdb
@@ -496,3 +497,29 @@ def test_pipeline(spark):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert kept.columns == columns
     assert 0 < kept.count() and set(kept.columns) == {"doc_id", "n_tokens", "ids"}
+
+
+def test_take_mix_tells_sources_apart(spark):
+    """One id in two sources, with equally many words: each source gets the words that `mix` gives it."""
+    rows = [(i, s, " ".join(f"{s}{i}w{j}" for j in range(64))) for i in range(40) for s in ("a", "b", None)] + [(1, "a", " ".join(f"x{j}" for j in range(64)))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    wanted = {(r.doc_id, r.source): r.n for r in mixing.mix(df).groupBy("doc_id", "source").agg(F.sum("taken").alias("n")).collect()}
+    got = {}
+    for r in mixing.take_mix(df.repartition(5)).collect():
+        assert r.text.split()[0][0] == "x" or r.text.startswith(f"{r.source}{r.doc_id}w")
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + len(r.text.split())
+    assert got == {k: n for k, n in wanted.items() if n}
+
+
+def test_secrets_of_long_texts_in_linear_time(spark):
+    """Many breaks between scopes, and a text of 5 MB with many spans: places are those of a plain scan."""
+    secret = "token=abcdef123 " * 20_000
+    texts = ["\n\n".join("ab" * 1 for _ in range(40_000)) + "\n\npassword: hunter22", ("lorem ipsum " * 20 + "\n\n") * 20_000 + secret]
+    assert len(texts[1]) > 5_000_000
+    began = time.perf_counter()
+    found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    took = time.perf_counter() - began
+    for r in found:
+        places = [m.span() for m in re.finditer(r"(?:token|password)=?:? ?[A-Za-z0-9]+", texts[r.doc_id])]
+        assert [(s.start, s.end) for s in r.spans if s.kind == "assign"] == places
+    assert took < 60

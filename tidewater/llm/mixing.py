@@ -79,14 +79,14 @@ def mix(
     the stream and count separately; an empty table gives no rows. The same rows give the same counts, however they are
     partitioned.
     """
-    return _mixed(docs, weights, share, most, block, shard_docs, seed)[0].drop("_row")
+    return _mixed(docs, weights, share, most, block, shard_docs, seed)[0].drop("_row", "_hash")
 
 
 def _mixed(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 32, shard_docs: int = 5_000, seed: int = 17
 ) -> tuple[DataFrame, DataFrame]:
     """The rows of `mix` with their number `_row`, and by `_row` the places `_ranges` (lo, hi in words) of the chosen blocks."""
-    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_hash")))
     sources = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")).select("source", "source_size"), weights, share, most))
     counts = sized.groupBy("source").agg(F.count(F.lit(1)).alias("_docs")).withColumnRenamed("source", "_source")
     parties = sources.withColumn("_all", F.lit(0)).withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy("_all")) / block).cast("long"))
@@ -98,9 +98,9 @@ def _mixed(
     )
     dealt = join_small(sized, quotas, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_order", F.xxhash64("doc_id", F.lit(seed)))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("_shards")))
-    stream = Window.partitionBy("source_no", "shard").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    stream = Window.partitionBy("source_no", "shard").orderBy("_order", "doc_id", "size", "_hash").rowsBetween(Window.unboundedPreceding, 0)
     dealt = dealt.withColumn("_end", F.sum("size").over(stream)).drop("_source")
-    dealt = cut(dealt.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", "source_no", "source_size", "target", "source_blocks", "size", "shard", "_end"))
+    dealt = cut(dealt.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", "source_no", "source_size", "target", "source_blocks", "size", "shard", "_end", "_hash"))
 
     shards = dealt.groupBy("source_no", "shard", "target", "source_blocks").agg(F.max("_end").alias("_words"))
     shards = sainte_lague(shards, "_words", "source_blocks", ["source_no"], ["shard"])
@@ -134,8 +134,8 @@ def _mixed(
         F.coalesce(F.col("_sum") + F.least(F.col("_take"), F.col("_at") - F.col("_block") * block), F.lit(0))
     )
     taken = F.sum(F.when(F.col("_side") == 1, chosen).otherwise(-chosen)) + F.first("_times") * F.col("size")
-    counted = at.groupBy("_row", "doc_id", "source", "source_size", "target", "size", "shard").agg(taken.cast("long").alias("taken")).select(
-        "_row", "doc_id", "size", "source", "source_size", "target", "taken", "shard"
+    counted = at.groupBy("_row", "_hash", "doc_id", "source", "source_size", "target", "size", "shard").agg(taken.cast("long").alias("taken")).select(
+        "_row", "_hash", "doc_id", "size", "source", "source_size", "target", "taken", "shard"
     )
     begin, first = F.col("_end") - F.col("size"), F.col("_block") * block
     parts = dealt.filter("size > 0").select("*", F.explode(F.sequence(F.floor(begin / block), F.floor((F.col("_end") - 1) / block))).alias("_block"))
@@ -148,19 +148,19 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` with the words that `mix` takes: whole copies, and a copy with the text of the chosen blocks only.
 
     So the words of a source are those that `mix` gives it. Words keep the white space before them, but for the first
-    of a copy; other columns, whatever their names, stay as they are. Rows of one id and size are told apart by their
-    text; texts without words are not taken; an empty table gives no rows.
+    of a copy; other columns, whatever their names, stay as they are. Rows of one id, source and size are told
+    apart by their texts; texts without words are not taken; an empty table gives no rows.
     """
     taken, ranges = _mixed(docs, **options)
     chosen = F.coalesce(F.aggregate("_ranges", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"]), F.lit(0))
     copies = taken.filter("size > 0").join(ranges, "_row", "left").withColumn("_copies", F.floor((F.col("taken") - chosen) / F.col("size")).cast("int"))
-    alike = Window.partitionBy("doc_id", "size")
-    copies = cut(copies.select("doc_id", "size", "_copies", "_ranges", F.row_number().over(alike.orderBy("_row")).alias("_number")))
+    alike = Window.partitionBy("doc_id", "source", "size")
+    copies = cut(copies.select("doc_id", "source", "size", "_copies", "_ranges", F.row_number().over(alike.orderBy("_hash", "_row")).alias("_number")))
     repeated = not copies.filter("_number > 1").isEmpty()
-    copies = copies.filter("_copies > 0 OR _ranges IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("size").alias("_of"), "_copies", "_ranges", F.col("_number").alias("_no"))
-    sized = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text"), n_words(F.col("text")).alias("_size"))
-    number = F.row_number().over(Window.partitionBy("_doc_id", "_size").orderBy(F.xxhash64("_text"))) if repeated else F.lit(1)
-    same = F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_of")) & (F.col("_number") == F.col("_no"))
+    copies = copies.filter("_copies > 0 OR _ranges IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("size").alias("_of"), "_copies", "_ranges", F.col("_number").alias("_no"))
+    sized = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("text").alias("_text"), n_words(F.col("text")).alias("_size"))
+    number = F.row_number().over(Window.partitionBy("_doc_id", "_source", "_size").orderBy(F.xxhash64("_text"))) if repeated else F.lit(1)
+    same = F.col("_doc_id").eqNullSafe(F.col("_id")) & F.col("_source").eqNullSafe(F.col("_from")) & (F.col("_size") == F.col("_of")) & (F.col("_number") == F.col("_no"))
     found = join_small(sized.withColumn("_number", number), copies, same, most=100_000)
     found = found.withColumn("_copy", F.explode(F.sequence(F.when(F.col("_ranges").isNotNull(), 0).otherwise(1), F.col("_copies"))))
     words = F.regexp_extract_all(F.col("_text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), 0)
