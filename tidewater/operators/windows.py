@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import Any
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidewater.operators import scans
 from tidewater.operators.missing import num
 
 Order = Sequence[str | tuple[str, bool] | tuple[str, bool, str]]
@@ -117,45 +117,16 @@ def interpolate(df: DataFrame, column: str, partition_by: Sequence[str], order_b
 
 def ewm(
     df: DataFrame, column: str, partition_by: Sequence[str], order_by: Sequence[str], alpha: float | None = None, span: float | None = None, com: float | None = None,
-    halflife: float | None = None, adjust: bool = True, ignore_nulls: bool = False, min_periods: int = 1, out: str = "ewm",
+    halflife: float | None = None, adjust: bool = True, ignore_nulls: bool = False, min_periods: int = 1, out: str = "ewm", ranges: int = 0,
 ) -> DataFrame:
     """Exponentially weighted mean of each partition, adjusted or recursive.
 
-    The recurrence runs along a partition's rows in order: rows are sorted by Spark and pass through Python in batches,
-    the state going from one batch to the next, so a partition need not fit into memory. Columns other than the value
-    pass as they are; null keys are one partition.
+    Rows are sorted by Spark and pass through Python in Arrow batches, each batch one scan in numpy, the state going
+    from one batch to the next, so a partition need not fit into memory. With `ranges` a partition may lie in several
+    tasks (see `scans.ewm_of`): for keys that hold a large part of all rows. Columns other than the value pass as they
+    are; null keys are one partition.
     """
     if alpha is None:
         alpha = 2 / (span + 1) if span is not None else 1 / (1 + com) if com is not None else 1 - 0.5 ** (1 / float(halflife or 1))
-    keep = 1 - alpha
-    schema = df.withColumn(out, F.lit(0.0)).schema
-    schema[out].nullable = True
-    keys = [F.col(k) for k in partition_by]
-    given = df.withColumns({"_value": num(df, column).cast("double"), "_group": F.to_json(F.struct(*partition_by)) if keys else F.lit("")})
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, top, bottom, seen = None, 0.0, 0.0, 0
-        for batch in batches:
-            values, groups = batch.column("_value").to_pylist(), batch.column("_group").to_pylist()
-            result: list[float | None] = []
-            for group, x in zip(groups, values):
-                if group != key:
-                    key, top, bottom, seen = group, 0.0, 0.0, 0
-                if x is not None:
-                    seen += 1
-                    if adjust or not bottom:
-                        top, bottom = top * keep + x, bottom * keep + 1
-                    else:
-                        share = bottom * keep / (bottom * keep + alpha)
-                        top, bottom = share * top + (1 - share) * x, 1.0
-                elif not ignore_nulls:
-                    bottom, top = bottom * keep, top * keep if adjust else top
-                mean = (top / bottom if adjust else top) if bottom else None
-                result.append(mean if seen >= min_periods else None)
-            kept = [batch.column(c) for c in schema.names if c != out]
-            names = [c for c in schema.names if c != out]
-            done = dict(zip(names, kept)) | {out: pa.array(result, pa.float64())}
-            yield pa.RecordBatch.from_arrays([done[c] for c in schema.names], names=schema.names)
-
-    sorted_rows = (given.repartition(*keys) if keys else given.coalesce(1)).sortWithinPartitions(*keys, *order_by)
-    return sorted_rows.mapInArrow(task, schema)
+    rule = scans.Ewm(alpha, adjust, ignore_nulls, min_periods)
+    return scans.ewm_of(df, num(df, column), partition_by, [F.col(c) for c in order_by], rule, out, ranges)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.operators import alerts, column_lineage
-from tidewater.plans.catalog import _t, query
+from tidewater.operators import alerts, column_lineage, windows
+from tidewater.plans.catalog import GAPS, _gaps, _t, query
 
 
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,3 +85,11 @@ FROM j LEFT JOIN fired f ON f.rule_id = j.rule_id AND f.group_key = j.group_key
 def alert_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alerts.evaluate(_t(spark, sf_dir, "events"), RULES, "ts", "value", F.col("event_type") == "error", every=10800)
     return found.withColumns({"value": F.round("value", 10), **{c: F.col(c).cast("timestamp_ntz") for c in ("evaluated_at", "suppressed_until")}})
+
+
+@query(f"""WITH {GAPS}, i AS (SELECT *, row_number() OVER (ORDER BY event_id) AS i FROM gaps)
+SELECT a.event_id, round(sum(b.value * pow(0.75::DOUBLE, a.i - b.i)) / sum(CASE WHEN b.value IS NOT NULL THEN pow(0.75::DOUBLE, a.i - b.i) END), 6) AS ewm FROM i a JOIN i b ON b.i BETWEEN a.i - 150 AND a.i GROUP BY a.event_id""")
+def ewm_of_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series, in ranges: what is over 150 rows away weighs under 1e-18."""
+    found = windows.ewm(_gaps(spark, sf_dir).select("event_id", "value"), "value", [], ["event_id"], alpha=0.25, ranges=8)
+    return found.select("event_id", F.round("ewm", 6).alias("ewm"))
