@@ -347,14 +347,9 @@ p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) A
 b AS (SELECT item_id, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM p JOIN q USING (term) JOIN f USING (term), w GROUP BY ALL)"""
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(_t(spark, sf_dir, "documents"), "doc_id", "text", _t(spark, sf_dir, "benchmark"), "item_id", "text")
-
-
 @query(f"WITH {BM25} SELECT item_id, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 4) DESC, doc_id) AS r FROM b) WHERE r <= 8")
 def bm25_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _bm25(spark, sf_dir).withColumn("score", F.round("score", 4))
-    return retrieval.top_k(scored, "item_id", "doc_id", 8).drop("rank")
+    return retrieval.bm25_top(_t(spark, sf_dir, "documents"), "doc_id", "text", _t(spark, sf_dir, "benchmark"), "item_id", "text", k=8, digits=4).drop("rank")
 
 
 @query("""WITH c AS (SELECT label, list(m ORDER BY i) AS centroid FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2) GROUP BY 1)
