@@ -523,3 +523,21 @@ def test_secrets_of_long_texts_in_linear_time(spark):
         places = [m.span() for m in re.finditer(r"(?:token|password)=?:? ?[A-Za-z0-9]+", texts[r.doc_id])]
         assert [(s.start, s.end) for s in r.spans if s.kind == "assign"] == places
     assert took < 60
+
+
+def test_revisits_of_bursts_and_nulls(spark):
+    """Equal dates, nulls, repeated rows and extra columns against a plain search."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "response" if rng.random() < 0.4 else "revisit", [None, "http://a/", "http://b/x"][rng.integers(3)], [None, 5, 5, 6, 9][rng.integers(5)], {"etag": f'"{i % 3}"'}, "x", 1) for i in range(300)]
+    rows += [r for r in rows if r[0] % 50 == 0]
+    df = spark.createDataFrame(rows, "record_id long, kind string, url string, date long, headers map<string,string>, canonical string, _id int").repartition(6)
+    for per_part in (50_000, 1):
+        got = sorted((r.record_id, r.response_id is None, r.response_id or 0, r.status) for r in revisits.resolve(df, per_part=per_part).collect())
+        want = []
+        for i, kind, url, date, headers, *_ in rows:
+            if kind == "revisit":
+                able = [(d, j) for j, k, u, d, *_ in rows if k == "response" and u == url and None not in (u, d, date) and d < date]
+                best = max(able, default=(0, None))[1]
+                status = "missing" if best is None else "resolved" if best % 3 == i % 3 else "changed"
+                want.append((i, best is None, best or 0, status))
+        assert got == sorted(want)

@@ -36,26 +36,30 @@ def resolve(records: DataFrame, permitted: Sequence[str] = PERMITTED, per_part:
     unverified (the revisit has none) or missing (no earlier response). Headers of resolved revisits are those of the
     response with the permitted ones of the revisit in their place; others keep their own.
 
-    Records of a URL lie on a time line of one part for each `per_part` of them: a window finds the response within a
-    part, and a table of the parts' last responses the one before, so no URL has to be in one task. Null URLs and dates
-    find no response; repeated rows each have theirs; other columns are ignored; an empty table gives no rows.
+    Records of one URL and date are one moment, with its last response. Moments of a URL lie on a time line of one part
+    for each `per_part` of them: a window finds the response within a part, and a table of the parts' last responses the
+    one before, so neither a URL nor a burst of one date has to be in one task. Null URLs and dates are left out of that
+    and find no response; repeated rows each have theirs; other columns are ignored; an empty table gives no rows.
 
     Returns record_id, url, canonical, date, response_id, response_date, status, headers.
     """
-    narrow = records.select("record_id", "kind", canonical_url(F.col("url")).alias("canonical"), "date", (F.col("kind") == "response").alias("_full"))
-    counts = narrow.groupBy("canonical").agg(F.count(F.lit(1)).alias("_n"), F.min("date").alias("_from"), F.max("date").alias("_to")).filter(F.col("_n") > per_part)
+    named = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "date", (F.col("kind") == "response").alias("_full"))
+    named = named.filter("canonical IS NOT NULL AND date IS NOT NULL")
+    moments = cut(named.groupBy("canonical", "date").agg(F.max(F.when(F.col("_full"), F.col("record_id"))).alias("_id")))
+    counts = moments.groupBy("canonical").agg(F.count(F.lit(1)).alias("_n"), F.min("date").alias("_from"), F.max("date").alias("_to")).filter(F.col("_n") > per_part)
     crowded = cut(counts.withColumn("_width", F.ceil((F.col("_to") - F.col("_from") + 1) / F.ceil(F.col("_n") / per_part))).select("canonical", "_from", "_width"))
-    dealt = join_small(narrow, crowded, "canonical", "left")
+    dealt = join_small(moments, crowded, "canonical", "left")
     dealt = dealt.withColumn("_part", F.coalesce(F.floor((F.col("date") - F.col("_from")) / F.col("_width")), F.lit(0)))
-    response = F.when(F.col("_full"), F.struct("date", "record_id"))
-    earlier = Window.partitionBy("canonical", "_part").orderBy("date").rangeBetween(Window.unboundedPreceding, -1)
-    asked = dealt.filter("date IS NOT NULL").withColumn("_found", F.max(response).over(earlier)).filter(~F.col("_full"))
+    response = F.when(F.col("_id").isNotNull(), F.struct("date", F.col("_id").alias("record_id")))
+    earlier = Window.partitionBy("canonical", "_part").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    found = dealt.withColumn("_found", F.max(response).over(earlier))
     # Of the parts of crowded URLs: the last response before each.
     along = Window.partitionBy("canonical").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = dealt.filter("_width IS NOT NULL").groupBy("canonical", "_part").agg(F.max(response).alias("_last"))
     parts = cut(parts.withColumn("_before", F.max("_last").over(along)).filter("_before IS NOT NULL").select("canonical", "_part", "_before"))
-    asked = join_small(asked, parts, ["canonical", "_part"], "left").withColumn("_found", F.coalesce("_found", "_before"))
-    asked = asked.filter(F.col("canonical").isNotNull()).select("record_id", F.col("_found.record_id").alias("response_id"), F.col("_found.date").alias("response_date"))
+    found = join_small(found, parts, ["canonical", "_part"], "left").withColumn("_found", F.coalesce("_found", "_before"))
+    found = found.filter("_found IS NOT NULL").select("canonical", "date", F.col("_found.record_id").alias("response_id"), F.col("_found.date").alias("response_date"))
+    asked = named.filter(~F.col("_full")).join(found, ["canonical", "date"]).select("record_id", "response_id", "response_date")
 
     revisits = records.filter("kind = 'revisit'").select("record_id", "url", "date", "headers")
     stored = records.filter("kind = 'response'").select(F.col("record_id").alias("_key"), F.col("headers").alias("_stored")).dropDuplicates(["_key"])
