@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,26 +75,46 @@ def weighted(parts: list[tuple[Column, float]]) -> Column:
     return out
 
 
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, a row a text, and lengths."""
+    lengths = np.array([len(t) for t in texts])
+    width = max(1, int(lengths.max()))
+    return np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(len(texts), width), lengths
+
+
+def swap_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Edit distances with swaps of neighbours, each place edited once: the same row of all pairs' tables in one step."""
+    (x, rows), (y, columns) = _points(a), _points(b)
+    steps = np.arange(y.shape[1] + 1, dtype=np.int32)
+    older = old = np.tile(steps, (len(a), 1))
+    out = np.where(rows == 0, columns, 0).astype(np.int32)
+    for i in range(1, int(rows.max()) + 1):
+        p = x[:, i - 1 : i]
+        row = np.empty_like(old)
+        row[:, 0] = i
+        np.minimum(old[:, 1:] + 1, old[:, :-1] + (y != p), out=row[:, 1:])
+        if i > 1:
+            swap = (y[:, :-1] == p) & (y[:, 1:] == x[:, i - 2 : i - 1])
+            row[:, 2:] = np.where(swap, np.minimum(row[:, 2:], older[:, :-2] + 1), row[:, 2:])
+        row = np.minimum.accumulate(row - steps, axis=1) + steps  # insertions
+        ended = rows == i
+        out[ended] = row[ended, columns[ended]]
+        older, old = old, row
+    return out
+
+
 @F.pandas_udf(IntegerType())
 def damerau(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edit distance with swaps of neighbours, each place edited once."""
-
-    def one(x: str | None, y: str | None) -> int | None:
-        if x is None or y is None:
-            return None
-        older: list[int] = []
-        old = list(range(len(y) + 1))
-        for i, p in enumerate(x, 1):
-            row = [i]
-            for j, q in enumerate(y, 1):
-                best = min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (p != q))
-                if i > 1 and j > 1 and p == y[j - 2] and x[i - 2] == q:
-                    best = min(best, older[j - 2] + 1)
-                row.append(best)
-            older, old = old, row
-        return old[-1]
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="Int32")
+    """Edit distance with swaps of neighbours, each place edited once; null if a text is. Pairs of like lengths go together, some 2^20 cells a step."""
+    x, y = a.to_list(), b.to_list()
+    order = sorted((i for i in range(len(x)) if x[i] is not None and y[i] is not None), key=lambda i: (len(y[i]), len(x[i])))
+    out: list[int | None] = [None] * len(x)
+    while order:
+        many = max(1, (1 << 20) // (len(y[order[-1]]) + 1))
+        part, order = order[-many:], order[:-many]
+        for i, d in zip(part, swap_distances([x[i] for i in part], [y[i] for i in part]).tolist()):
+            out[i] = d
+    return pd.Series(out, dtype="Int32")
 
 
 def soundex(c: Column) -> Column:
