@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.plans import catalog, lineage, records, retrieving, shapes  # noqa: F401  (registers queries)
+from tidewater.plans import catalog, lineage, records, retrieving, searching, shapes  # noqa: F401  (registers queries)
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
