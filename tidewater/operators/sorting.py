@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.draws import sample_draws
 from tidewater.operators.missing import num
 
 
@@ -66,12 +67,5 @@ def sample_share(df: DataFrame, share: float, key: Sequence[str], seed: int = 0)
 
 
 def sample_with_replacement(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """`n` draws with replacement: each draw is a place among the rows, which are numbered partition by partition."""
-    marked = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    sizes = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    upto = sizes.withColumn("_upto", F.sum("_n").over(Window.orderBy("_part")))  # one row a partition
-    total = upto.agg(F.max("_upto")).first()[0] or 0
-    spans = upto.select("_first", "_upto", (F.col("_upto") - F.col("_n")).alias("_from"))
-    draws = df.sparkSession.range(n if total else 0).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(total, 1))).alias("_draw"))
-    places = draws.join(F.broadcast(spans), (F.col("_draw") >= F.col("_from")) & (F.col("_draw") < F.col("_upto"))).select((F.col("_first") + F.col("_draw") - F.col("_from")).alias("_at"))
-    return places.join(marked, "_at").drop("_at", "_part")
+    """`n` draws with replacement from the rows in order of their hashes; `draws.sample_draws` takes another order, and weights."""
+    return sample_draws(df, n, [], seed, number="_draw").drop("_draw")
