@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.operators import artifacts, draws, fuzzy_join, schema
+from tidewater.operators import artifacts, draws, evaluation, fuzzy_join, schema
 from tidewater.plans.catalog import _t, query
 
 
@@ -70,6 +70,28 @@ def artifact_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.compare(left, right, ["run"]).select("run", "unique_id", "change_type", F.array_join("fields_changed", ",").alias("fields"))
 
 
+EVALUATION = """f AS (SELECT d.doc_id, x.w FROM documents d, (SELECT item_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM benchmark) x WHERE x.item_id = d.doc_id % 40 AND x.w <> ''),
+i AS (SELECT f.doc_id, count(*) FILTER (contains(lower(coalesce(d.text, '')), w)) AS matched, count(*) AS expected FROM f JOIN documents d USING (doc_id) GROUP BY 1),
+e AS (SELECT doc_id, lang AS s FROM documents UNION SELECT doc_id - 1, lang FROM documents WHERE doc_id > 0), o AS (SELECT doc_id, source AS s FROM documents UNION SELECT doc_id - 1, lang FROM documents WHERE doc_id > 0 UNION SELECT doc_id - 2, lang FROM documents WHERE doc_id > 1),
+n AS (SELECT doc_id, count(e.s) AS e, count(o.s) AS o, count(*) FILTER (e.s IS NOT NULL AND o.s IS NOT NULL) AS m FROM (SELECT doc_id, lower(s) AS s FROM e) e FULL JOIN (SELECT doc_id, lower(s) AS s FROM o) o USING (doc_id, s) GROUP BY 1),
+a AS (SELECT d.doc_id, i.matched, i.expected, i.matched / i.expected AS fact_recall, (n.m > 0)::INT::DOUBLE AS hit, CASE WHEN n.o > 0 THEN n.m / n.o ELSE 0 END AS precision, n.m / n.e AS recall FROM documents d LEFT JOIN i USING (doc_id) LEFT JOIN n ON n.doc_id = d.doc_id AND n.e > 0)"""
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as answers to 40 benchmark items in turn, with the words of an item as facts, and languages as sources."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    words = _t(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("fact"))
+    facts = d.select("doc_id", (F.col("doc_id") % 40).alias("item_id")).join(words, "item_id")
+    of = lambda back, column: d.filter(F.col("doc_id") >= back).select((F.col("doc_id") - back).alias("doc_id"), F.col(column).alias("s"))
+    sources = evaluation.source_metrics(of(0, "lang").union(of(1, "lang")), of(0, "source").union(of(1, "lang")).union(of(2, "lang")), "doc_id", "s")
+    return evaluation.items(d, "doc_id", [evaluation.fact_recall(facts, d, "doc_id", "fact", "text"), sources])
+
+
+@query(f"WITH {EVALUATION} SELECT doc_id, matched, expected, round(fact_recall, 6) AS fact_recall, hit, round(precision, 6) AS precision, round(recall, 6) AS recall FROM a")
+def evaluation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("fact_recall", "precision", "recall")})
+
+
 @query("""WITH e AS (SELECT event_id AS id FROM events) SELECT id, CASE WHEN id % 11 = 5 THEN 'not_object' WHEN id % 7 = 3 THEN 'key_count' WHEN id % 5 = 2 THEN 'missing_key' ELSE 'type' END AS problem,
 CASE WHEN id % 11 = 5 OR id % 7 = 3 THEN NULL WHEN id % 5 = 2 THEN 'kind' ELSE 'value' END AS key FROM e WHERE id % 11 = 5 OR id % 7 = 3 OR id % 5 = 2 OR id % 3 = 1""")
 def unlike_records(spark: SparkSession, sf_dir: str) -> DataFrame:
