@@ -106,6 +106,14 @@ def test_neighbours_in_many_blocks_descend_until_settled(spark):
     assert hit / (20 * len(x)) >= 0.99
 
 
+def test_neighbours_compare_pairs_once():
+    x = np.random.default_rng(4).normal(size=(9, 5)).astype(np.float32)
+    fresh, others = np.array([[0, 1, -1], [-1, -1, -1], [8, -1, -1]]), np.array([[2, 3, 4], [5, 6, 7], [-1, -1, -1]])
+    u, w, sim = neighbours.local_join(x, np.ones(9), fresh, others, np.full(9, -np.inf), 8)
+    assert sorted(zip(u.tolist(), w.tolist())) == sorted((a, b) for a in range(5) for b in range(5) if a != b and min(a, b) < 2)
+    assert np.allclose(sim, (x[u] * x[w]).sum(axis=1), atol=1e-5)
+
+
 def test_neighbours_of_other_scales_and_lengths(spark):
     rng = np.random.default_rng(2)
     x = [*rng.normal(size=(600, 8)), *rng.normal(size=(30, 3)), rng.normal(size=200)]

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import Written, cut, tidy
 from tidewater.llm.vector import mix
 
-#: Graph rows: a vector (its scale in double, its direction in half precision), its neighbours by falling inner product, and how many of them the last merge brought.
-GRAPH = "u long, vec binary, ids array<long>, sims array<double>, better int"
+#: Graph rows: a vector (its scale in double, its direction in half precision), its neighbours by falling inner product, which of them no round has compared yet, and how many the last merge brought.
+GRAPH = "u long, vec binary, ids array<long>, sims array<double>, fresh array<boolean>, better int"
 LISTS = "u long, ids array<long>, sims array<double>"
 
 
@@ -32,15 +32,24 @@ def top_of(u: np.ndarray, w: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.nd
     return u[rank < k], w[rank < k], sim[rank < k]
 
 
-def local_join(x: np.ndarray, scale: np.ndarray, members: np.ndarray, worst: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the members of each centre (rows of `members`, -1: none), the `each` best others of each one that beat its worst neighbour."""
-    us, ws, sims = [], [], []
-    for a in range(0, len(members), 128):
-        m = members[a : a + 128]
+def local_join(x: np.ndarray, scale: np.ndarray, fresh: np.ndarray, others: np.ndarray, worst: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the members of each centre (rows of `fresh` and `others`, -1: none), the `each` best others of each one that beat its worst neighbour.
+
+    Two of `others` were compared in an earlier round and are not again.
+    """
+    us, ws, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    size = (fresh >= 0).sum(axis=1), (others >= 0).sum(axis=1)
+    order = np.lexsort(size[::-1])
+    order = order[size[0][order] > 0]
+    for a in range(0, len(order), 128):
+        at = order[a : a + 128]
+        wide = size[0][at].max()
+        m = np.concatenate([fresh[at, :wide], others[at, : size[1][at].max()]], axis=1)
         v = x[np.maximum(m, 0)]
         s = (v @ v.transpose(0, 2, 1)) * scale[np.maximum(m, 0)][:, None, :]
         s[np.broadcast_to((m < 0)[:, None, :], s.shape)] = -np.inf
         s[:, np.arange(m.shape[1]), np.arange(m.shape[1])] = -np.inf
+        s[:, wide:, wide:] = -np.inf
         s[s <= worst[np.maximum(m, 0)][:, :, None]] = -np.inf
         n = min(each, s.shape[2])
         best = np.argpartition(-s, n - 1, axis=2)[:, :, :n]
@@ -66,6 +75,11 @@ def _flat(owner: np.ndarray, ids: pa.ChunkedArray | pa.Array, sims: pa.ChunkedAr
     return np.repeat(owner, np.diff(ids.offsets.to_numpy())), ids.flatten().to_numpy(), sims.flatten().to_numpy()
 
 
+def _flags(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(bool)
+
+
 def _vectors(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Directions (the greatest component is 1) and scales. A list of neighbours compares products of one direction with scaled ones."""
     rows = column.to_pylist()
@@ -84,6 +98,12 @@ def _sampled(u: np.ndarray, w: np.ndarray, most: int, seed: int) -> np.ndarray:
     return by[rank < most]
 
 
+def _of(kind: np.ndarray, u: np.ndarray, w: np.ndarray, most: int, seed: int) -> np.ndarray:
+    """Places, ordered by u, of up to `most` pairs of each u among those of one kind."""
+    among = np.flatnonzero(kind)
+    return among[_sampled(u[among], w[among], most, seed)]
+
+
 class Graph:
     """An NN-descent neighbour graph over nodes u; `names` has u and vec_id.
 
@@ -104,8 +124,8 @@ class Graph:
         tasks = int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return rows.repartition(max(1, min(tasks, self.blocks)), block).groupBy(block)
 
-    def merged(self, found: DataFrame) -> None:
-        """Takes the best `k` of the neighbours known and those of `found` (LISTS)."""
+    def merged(self, found: DataFrame, sample: int = 0, seed: int = 0) -> None:
+        """Takes the best `k` of the neighbours known and those of `found` (LISTS), which came of the `sample` of fresh ones by `seed`."""
         k = self.k
 
         def merge(rows: pa.Table) -> pa.Table:
@@ -121,11 +141,15 @@ class Graph:
             least[full] = last + 1e-5 * abs(last)
             at, names = np.searchsorted(u, node), np.unique(np.concatenate([w, had[1]]))
             pair = lambda i, x: i * len(names) + np.searchsorted(names, x)
-            fresh = ~np.isin(pair(at, w), pair(np.searchsorted(u, had[0]), had[1])) & (sim > least[at])
+            is_pair, was_pair = pair(at, w), pair(np.searchsorted(u, had[0]), had[1])
+            gained = ~np.isin(is_pair, was_pair) & (sim > least[at])
+            compared = ~_flags(own.column("fresh"))
+            compared[_of(~compared, *had[:2], sample, seed)] = True
+            fresh = ~np.isin(is_pair, was_pair[compared])
             ends = pa.array(np.concatenate([[0], np.cumsum(size(node))]).astype(np.int32))
             return pa.table({
                 "u": own.column("u"), "vec": own.column("vec"), "ids": pa.ListArray.from_arrays(ends, pa.array(w)), "sims": pa.ListArray.from_arrays(ends, pa.array(sim)),
-                "better": pa.array(np.bincount(at[fresh], minlength=len(u))[: len(u)].astype(np.int32)),
+                "fresh": pa.ListArray.from_arrays(ends, pa.array(fresh)), "better": pa.array(np.bincount(at[gained], minlength=len(u))[: len(u)].astype(np.int32)),
             })
 
         both = self.rows.unionByName(found, allowMissingColumns=True)
@@ -137,8 +161,10 @@ class Graph:
         n, better = self.rows.agg(F.count(F.lit(1)), F.sum("better")).first()
         return (better or 0) / max(1, n * self.k)
 
-    def edges(self, forward: int, back: int, seed: int) -> DataFrame:
-        """(centre, member, b): of each vector `forward` of its neighbours and up to `back` of those it is a neighbour of.
+    def edges(self, forward: int, back: int, seed: int, apart: bool = False) -> DataFrame:
+        """(centre, member, fresh, b): of each vector `forward` of its neighbours and up to `back` of those it is a neighbour of.
+
+        `apart`: as many of the fresh ones and of the others each; else fresh tells nothing.
 
         Both are chosen by a hash of the pair. Those that point to one vector are thinned out batch by batch and then in
         groups of 64 blocks, 64 groups and so on, so that a vector that all others point to is never gathered whole.
@@ -147,17 +173,22 @@ class Graph:
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 u, w, _ = _flat(batch.column(0).to_numpy(), batch.column(1), batch.column(2))
-                ahead, behind = _sampled(u, w, forward, seed), _sampled(w, u, back, seed + 1)
+                fresh = _flags(batch.column(3)) & apart
+                ahead = np.concatenate([_of(fresh, u, w, forward, seed), _of(~fresh, u, w, forward, seed)])
+                # With `apart`, those that are chosen are chosen for both of a pair.
+                reverse = np.isin(np.arange(len(u)), ahead) if apart else np.ones(len(u), bool)
+                behind = np.concatenate([_of(fresh & reverse, w, u, back, seed + 1), _of(~fresh & reverse, w, u, back, seed + 1)])
                 side = np.repeat([False, True], [len(ahead), len(behind)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u[ahead], w[behind]])), pa.array(np.concatenate([w[ahead], u[behind]])), pa.array(side)], names=["centre", "member", "back"])
+                columns = np.concatenate([u[ahead], w[behind]]), np.concatenate([w[ahead], u[behind]]), fresh[np.concatenate([ahead, behind])], side
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["centre", "member", "fresh", "back"])
 
-        both = self.rows.select("u", "ids", "sims").mapInArrow(task, "centre long, member long, back boolean")
-        behind, shift = both.filter("back").select("centre", "member"), 0
+        both = self.rows.select("u", "ids", "sims", "fresh").mapInArrow(task, "centre long, member long, fresh boolean, back boolean")
+        behind, shift = both.filter("back").select("centre", "member", "fresh"), 0
         chosen = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("centre", "member", F.lit(seed)).alias("h"), "member"))), 1, back)
         while (self.blocks >> shift) > 0:
             shift += 6
-            behind = behind.groupBy("centre", F.shiftright(self._block("member"), shift).alias("g")).agg(chosen.alias("x")).select("centre", F.explode("x.member").alias("member"))
-        return both.filter("NOT back").select("centre", "member").unionByName(behind).withColumn("b", self._block("centre"))
+            behind = behind.groupBy("centre", "fresh", F.shiftright(self._block("member"), shift).alias("g")).agg(chosen.alias("x")).select("centre", F.explode("x.member").alias("member"), "fresh")
+        return both.filter("NOT back").select("centre", "member", "fresh").unionByName(behind).withColumn("b", self._block("centre"))
 
     def with_vectors(self, edges: DataFrame) -> DataFrame:
         """block, node, vec, worst: the vectors that the centres of each block need, once a block."""
@@ -166,8 +197,8 @@ class Graph:
         return needed.join(self.rows.select(F.col("u").alias("node"), "vec", worst.alias("worst")), "node").select("block", "node", "vec", "worst")
 
     def descend(self, sample: int, each: int, seed: int) -> None:
-        """One round: members of a neighbourhood are compared with one another, and better neighbours are taken over."""
-        edges = self.pairs.replace(self.edges(sample, sample, seed))
+        """One round: fresh members of a neighbourhood are compared with all its members, and better neighbours are taken over."""
+        edges = self.pairs.replace(self.edges(sample, sample, seed, apart=True))
 
         def join(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
             ids = vectors.column("node").to_numpy()
@@ -175,23 +206,30 @@ class Graph:
             x, scale = _vectors(vectors.column("vec"))
             ids, x, scale, worst = ids[by], x[by], scale[by], vectors.column("worst").to_numpy()[by]
             pair = np.stack([pairs.column("centre").to_numpy(), pairs.column("member").to_numpy()], axis=1)
-            pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
-            pair = pair[np.concatenate([[True], (pair[1:] != pair[:-1]).any(axis=1)])]
-            pair = pair[_sampled(pair[:, 0], pair[:, 1], 2 * sample, seed + 2)]
-            centres, row = np.unique(pair[:, 0], return_inverse=True)
-            by = np.argsort(row, kind="stable")
-            row, member = row[by], np.searchsorted(ids, pair[by, 1])
-            first = np.searchsorted(row, np.arange(len(centres)))
-            table = np.full((len(centres), 2 * sample), -1)
-            table[row, np.arange(len(row)) - first[row]] = member
+            old = ~pairs.column("fresh").to_numpy(zero_copy_only=False).astype(bool)
+            by = np.lexsort((old, pair[:, 1], pair[:, 0]))
+            pair, old = pair[by], old[by]
+            once = np.concatenate([[True], (pair[1:] != pair[:-1]).any(axis=1)])
+            pair, old = pair[once], old[once]
+            centres = np.unique(pair[:, 0])
+
+            def table(kind: np.ndarray) -> np.ndarray:
+                chosen = pair[_of(kind, pair[:, 0], pair[:, 1], 2 * sample, seed + 2)]
+                row, member = np.searchsorted(centres, chosen[:, 0]), np.searchsorted(ids, chosen[:, 1])
+                first = np.searchsorted(row, np.arange(len(centres)))
+                made = np.full((len(centres), 2 * sample), -1)
+                made[row, np.arange(len(row)) - first[row]] = member
+                return made
+
+            fresh, others = table(~old), table(old)
             best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-            for a in range(0, len(table), 2048):
-                found = local_join(x, scale, table[a : a + 2048], worst, each)
+            for a in range(0, len(centres), 2048):
+                found = local_join(x, scale, fresh[a : a + 2048], others[a : a + 2048], worst, each)
                 best = [*top_of(*[np.concatenate(c) for c in zip(best, found)], 3 * each)]
             nodes, lists, sims = _lists(ids[best[0]], ids[best[1]], best[2])
             return pa.table({"u": nodes, "ids": lists, "sims": sims})
 
-        self.merged(self.dealt(edges, "b").cogroup(self.dealt(self.with_vectors(edges), "block")).applyInArrow(join, LISTS))
+        self.merged(self.dealt(edges, "b").cogroup(self.dealt(self.with_vectors(edges), "block")).applyInArrow(join, LISTS), sample, seed)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -206,7 +244,8 @@ def usable(vectors: DataFrame) -> DataFrame:
 def build(vectors: DataFrame, k: int = 32, trees: int = 6, settled: float = 0.001, sample: int = 20, each: int = 8, leaf: int = 256, block: int = 4_096) -> Graph | None:
     """The graph of `vectors` (as from `usable`): each vector with about its `k` best by inner product; None without vectors.
 
-    Vectors are dealt into blocks of up to about `block` by the first signs of one projection, large cells by hash.
+    Vectors are dealt into blocks by the first signs of one projection, large cells by hash: one for each shuffle task,
+    but of 512 vectors at least and `block` at most. Blocks need one another's vectors, so no more of them are made than can work.
     The graph starts from the best within hash classes (signs of random projections, `trees` of them, large classes dealt at
     random into leaves), and gets better in rounds of comparing neighbours of neighbours, `sample` each way, until a round
     changes no more than the share `settled` of all neighbours.
@@ -215,6 +254,7 @@ def build(vectors: DataFrame, k: int = 32, trees: int = 6, settled: float = 0.00
     if not size:
         return None
     leaf = min(leaf, max(8, size // 8))
+    block = min(block, max(512, -(-size // int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     bits = max(1, int(np.log2(size / leaf)))
     axes = np.random.default_rng(7).normal(size=(trees, width, bits)).astype(np.float32)
 
@@ -256,7 +296,7 @@ def build(vectors: DataFrame, k: int = 32, trees: int = 6, settled: float = 0.00
         nodes, ids, sims = _lists(*top_of(*flat, k))
         return pa.table({"u": nodes, "ids": ids, "sims": sims})
 
-    start = packed.select("u", "vec", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("sims"), F.lit(0).alias("better"))
+    start = packed.select("u", "vec", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("sims"), F.array().cast("array<boolean>").alias("fresh"), F.lit(0).alias("better"))
     graph = Graph(start, packed.select("u", "vec_id"), k)
     graph.merged(leaves.groupBy(F.pmod("leaf", F.lit(bins)).alias("bin")).applyInArrow(best, LISTS))
     for i in itertools.count():
