@@ -448,6 +448,15 @@ def test_repeated_passages(spark):
             assert len(inside) >= 60 - 22 and " ".join(inside) in " ".join(passage)
 
 
+def test_repeated_passages_deal_passages_once(spark, monkeypatch):
+    """Three passes over the texts, and passages reach the windows from one exchange by node without a join."""
+    made, whole = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, task, kind: made.append(kind) or whole(self, task, kind))
+    found = paragraphs.repeated_passages(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(made) == 3 and plan.count("Join") == 1 and plan.count("MapInArrow") == 1
+
+
 def test_repeated_passages_cover_common_runs(spark, rows):
     texts = [(r["doc_id"], r["text"]) for r in rows]
     found = {}

@@ -15,6 +15,7 @@ from tidewater.llm.ngram_join import WANTED, exact_links, tied
 from tidewater.llm.vector import lean, mix, slices, text_bytes, words
 
 U = np.uint64
+PLACE = ("start", "end", "first", "last")
 
 
 def tune(threshold: float, recall: float = 0.999, most: int = 32) -> tuple[int, int]:
@@ -128,9 +129,9 @@ def repeated_passages(docs: DataFrame, percent: int = 80, k: int = 5, least: int
                 p, _ = _units(part.column(1), k, least, span)
                 keys = _bands(p, bands, rows)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), bands).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(p.doc)), pa.array(p.node), pa.array(np.diff(p.of)), lists], names=["doc", "node", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(p.doc)), *map(pa.array, (p.node, np.diff(p.of), p.start, p.end, p.first, p.last)), lists], names=["doc", "node", "n", *PLACE, "bands"])
 
-    paragraphs = cut(docs.mapInArrow(lean(lines), "doc long, node long, n long, bands array<long>"))
+    paragraphs = cut(docs.mapInArrow(lean(lines), f"doc long, node long, n long, {', '.join(f'{c} long' for c in PLACE)}, bands array<long>"))
     nodes = cut(paragraphs.groupBy("node").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.first("n").alias("n")))
     once = paragraphs.dropDuplicates(["node"]).select("node", F.explode("bands").alias("h"))
 
@@ -158,18 +159,14 @@ def repeated_passages(docs: DataFrame, percent: int = 80, k: int = 5, least: int
         for batch in batches:
             for part in slices(batch, 1):
                 _, q = _units(part.column(1), k, least, span)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(q.doc)), pa.array(q.node)], names=["doc", "node"])
-
-    passages = docs.mapInArrow(lean(runs), "doc long, node long").groupBy("node").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last"))
-    of_node = cut(of_node.unionByName(passages.filter("first_doc < _last").select("node", "first_doc")))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1):
-                for i, u in enumerate(_units(part.column(1), k, least, span)):
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(u.doc)), *map(pa.array, (u.start, u.end, u.first, u.last, u.node)), pa.array(np.full(len(u.node), i == 0))], names=["doc", "start", "end", "first", "last", "node", "line"])
-
-    units = join_small(docs.mapInArrow(lean(places), "doc long, start long, end long, first long, last long, node long, line boolean"), of_node, "node", most=2_000_000)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(q.doc)), *map(pa.array, (q.node, q.start, q.end - q.start, q.first))], names=["doc", "node", "start", "size", "first"])
+
+    # Passages are dealt by their content once, with their places; those of one document only end there.
+    alike = Window.partitionBy("node")
+    passages = docs.mapInArrow(lean(runs), "doc long, node long, start long, size long, first long")
+    passages = passages.withColumn("first_doc", F.min("doc").over(alike)).withColumn("_last", F.max("doc").over(alike)).filter("first_doc < _last")
+    passages = passages.select("doc", "start", (F.col("start") + F.col("size")).alias("end"), "first", (F.col("first") + span).alias("last"), "first_doc", F.lit(False).alias("line"))
+    units = join_small(paragraphs.select("doc", "node", *PLACE), of_node, "node").select("doc", *PLACE, "first_doc", F.lit(True).alias("line")).unionByName(passages)
     units = units.withColumn("removed", F.col("doc") > F.col("first_doc"))
     along = Window.partitionBy("doc", "removed").orderBy("start", "end")
     apart = F.col("start") > F.coalesce(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
