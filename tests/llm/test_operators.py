@@ -363,6 +363,16 @@ def test_bpe_of_any_unicode():
         assert own.encode(part) == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
 
 
+def test_bpe_encodes_words_once():
+    merges = bpe.read_merges(queries.vocabulary_path())
+    own, small, asked = bpe.Encoder(merges), bpe.Encoder(merges, most_kept=3, most_words=2), []
+    whole = own.trie.encode
+    own.trie.encode = lambda words: asked.extend(words) or whole(words)
+    for text in ("alpha beta gamma", "(alpha) beta, gamma; delta", "alpha. (delta)"):
+        assert own.encode([text]) == small.encode([text]) == bpe.Encoder(merges).encode([text])
+    assert asked and len(asked) == len(set(asked))
+
+
 def test_bpe_pairs_against_the_definition():
     merges = bpe.read_merges(queries.vocabulary_path())
     trie, rng = bpe.PrefixTrie(merges), np.random.default_rng(7)

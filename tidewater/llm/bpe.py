@@ -216,21 +216,23 @@ class PrefixTrie:
 class Encoder:
     """Encodes batches of texts: distinct pieces of text once, their distinct words once through the trie.
 
-    Pieces are kept for later batches, up to `most_kept`; those used since the last clearing stay.
+    Pieces are kept for later batches, up to `most_kept`; those used since the last clearing stay. So are words,
+    of which new pieces are often made, up to `most_words`.
     """
 
-    def __init__(self, merges: Merges, most_kept: int = 120_000):
-        self.merges, self.trie, self.most_kept = merges, PrefixTrie(merges), most_kept
+    def __init__(self, merges: Merges, most_kept: int = 120_000, most_words: int = 250_000):
+        self.merges, self.trie, self.most_kept, self.most_words = merges, PrefixTrie(merges), most_kept, most_words
         self.word_pattern, self.lower = merges.alphabet.word_pattern(), merges.alphabet.lower
         self.odd_case = re.compile("[" + "".join(map(chr, self.lower)) + "]" if self.lower else "(?!)")
         self.bytes = {b: ord(c) for b, c in enumerate(byte_alphabet()) if ord(c) != b}
         self.special = re.compile("|".join(map(re.escape, merges.special))) if merges.special else None
         self.fixed: dict[str | int, tuple[int, ...]] = {"": ()} | {i: (i,) for i in merges.special.values()}
         self.pieces = dict(self.fixed)
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def shrink(self) -> None:
         """Leaves out what was kept from texts; what was learned of the vocabulary stays."""
-        self.pieces = dict(self.fixed)
+        self.pieces, self.words = dict(self.fixed), {}
 
     def split(self, text: str) -> list[str]:
         """Pieces between white space, in Unicode's composed form and lower case, character by character."""
@@ -249,7 +251,12 @@ class Encoder:
         # Characters of another case than Python's are none that Python itself changes, so this can wait until here.
         given = {p: p if p.isascii() or not self.odd_case.search(p) else p.translate(self.lower) for p in pieces}
         cut = {p: [p] if p.isascii() and p.isalpha() else [self._written(w) for w in self.word_pattern.findall(given[p])] for p in pieces}
-        words = dict(self.trie.encode(sorted({w for ws in cut.values() for w in ws})))
+        asked = set(chain.from_iterable(cut.values()))
+        new = asked.difference(self.words)
+        if len(self.words) + len(new) > self.most_words:
+            self.words = {w: self.words[w] for w in asked.difference(new)}
+        words = self.words
+        words.update(self.trie.encode(sorted(new)))
         for p, ws in cut.items():
             self.pieces[p] = words[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in words[w])
 
