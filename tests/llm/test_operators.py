@@ -4,6 +4,7 @@ import hashlib
 import re
 import time
 import zlib
+from itertools import product
 
 import duckdb
 import numpy as np
@@ -373,6 +374,33 @@ def test_bpe_encodes_words_once():
     assert asked and len(asked) == len(set(asked))
 
 
+def test_bpe_writes_words_once():
+    """A word is put into the byte alphabet when it is new, not in each piece that has it."""
+    own, written = bpe.Encoder(bpe.read_merges(queries.vocabulary_path())), []
+    whole = own._written
+    own._written = lambda word: written.append(word) or whole(word)
+    own.encode(["(größe) größe, größe; alpha", "größe. (alpha) alpha!"])
+    assert written and len(written) == len(set(written))
+
+
+def test_bpe_patterns_cut_alike():
+    own = bpe.Encoder(bpe.read_merges(queries.vocabulary_path()))
+    for c in range(0x10000):
+        if not 0xD800 <= c < 0xE000 and not own.beyond.search(chr(c)):
+            text = f"a{chr(c)}{chr(c)}'s1é" if c >= 0x80 else f"a{chr(c)}{chr(c)}'s1"
+            assert (own.plain_pattern if c >= 0x80 else own.ascii_pattern).findall(text) == own.word_pattern.findall(text), hex(c)
+
+
+def test_bpe_of_symbols_outside_the_vocabulary():
+    tokens = ["a", "b", "ab", "a</w>", "b</w>", "ab</w>", "aba", "abab</w>"]
+    pairs = [("a", "b"), ("a", "b</w>"), ("ab", "a"), ("ab", "ab</w>")]
+    merges = bpe.Merges({t: i for i, t in enumerate(tokens)}, pairs, {}, bpe.Alphabet("\\U00000061-\\U0000007a", "\\U00000030-\\U00000039", {}))
+    words = sorted("".join(w) for n in range(1, 7) for w in product("abc", repeat=n))
+    for most_pairs in (2, 100_000):
+        for word, ids in bpe.PrefixTrie(merges, most_pairs).encode(words):
+            assert ids == bpe.pack([merges.ids[t] for t in merges.plain(bpe._symbols(word + bpe.END)) if t in merges.ids])
+
+
 def test_bpe_pairs_against_the_definition():
     merges = bpe.read_merges(queries.vocabulary_path())
     trie, rng = bpe.PrefixTrie(merges), np.random.default_rng(7)

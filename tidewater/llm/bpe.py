@@ -6,6 +6,7 @@ import json
 import re
 import sys
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -13,6 +14,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,10 @@ from tidewater.llm.vector import lean, slices
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = re.compile(f"[{SPACE}]+")
 #: Characters that Python, but not Unicode, takes for white space.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
 END = "</w>"
+#: Ends a word in the trie: a character that the byte alphabet does not have.
+MARK = " "
 
 
 @dataclass(frozen=True)
@@ -49,9 +53,13 @@ class Alphabet:
             lower |= {p: low for p, low in zip(points, lowered) if low != chr(p).lower()}
         return Alphabet(kinds["L"], kinds["N"], lower)
 
-    def word_pattern(self) -> re.Pattern:
-        """How text is cut into words, as the vocabulary's own file states it."""
-        return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{self.letter}]+|[{self.digit}]|[^{SPACE}{self.letter}{self.digit}]+")
+    def word_pattern(self, below: int = sys.maxunicode + 1) -> re.Pattern:
+        """How text of code points `below` is cut into words, as the vocabulary's own file states it.
+
+        Sets without characters beyond U+FFFF are tables for `re`, others are gone through range by range.
+        """
+        letter, digit = ("".join(r for r in re.findall(r"\\U.{8}-\\U.{8}", runs) if int(r[2:10], 16) < below) for runs in (self.letter, self.digit))
+        return re.compile(f"[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d|[{digit}]|[^{SPACE}{letter}{digit}]+")
 
 
 def byte_alphabet() -> list[str]:
@@ -80,16 +88,6 @@ class Merges:
             if self.plain(_symbols(token)) == [token]:
                 body = token.removesuffix(END) if len(token) > len(END) else token
                 (self.inner if body == token else self.final)[body] = i
-        self.size = {i: len(t) for table in (self.inner, self.final) for t, i in table.items()}
-        self.final_sizes = self._sizes(self.final)
-
-    @staticmethod
-    def _sizes(table: dict[str, int]) -> dict[str, list[int]]:
-        """By the last two characters of a token (or its only one): the sizes of such tokens, largest first."""
-        found: dict[str, set[int]] = {}
-        for t in table:
-            found.setdefault(t[-2:], set()).add(len(t))
-        return {ends: sorted(sizes | ({1} if ends[-1] in table else set()), reverse=True) for ends, sizes in found.items()}
 
     def _steps(self, symbols: list[str]) -> Iterator[int]:
         """BPE as defined: again and again merges the leftmost pair of least rank, and says which rank. Only for short pieces."""
@@ -125,17 +123,22 @@ class PrefixTrie:
     A word is encoded by t1 .. tn exactly if each token is its own encoding and each two neighbours fit. So each prefix
     has one last token, found from the last tokens of shorter prefixes. Of sorted words, those on the path to the
     present word are the prefixes it shares with the one before: the states of a path are computed once for all words
-    below it, and only the path is held. Tokens that end at a place are found by an Aho-Corasick automaton.
+    below it, and only the path is held. Tokens that end at a place are found by an Aho-Corasick automaton; the mark
+    at the end of a word is a place like others, where only tokens that end words do.
     """
 
-    def __init__(self, merges: Merges, most_pairs: int = 100_000):
+    def __init__(self, merges: Merges, most_pairs: int = 150_000):
         self.merges, self.most_pairs = merges, most_pairs
-        self.tokens = ahocorasick.Automaton()
-        for body, i in merges.inner.items():
-            self.tokens.add_word(body, (len(body), i))
+        self.tokens, self.size = ahocorasick.Automaton(), {}
+        for table, mark in ((merges.inner, ""), (merges.final, MARK)):
+            for body, i in table.items():
+                self.size[i] = len(body + mark)
+                self.tokens.add_word(body + mark, (self.size[i], i))
         self.tokens.make_automaton()
+        self._packed = {i: pack([i]) for i in merges.token}
         self._edges: dict[int, tuple[list[tuple[int, str]], list[tuple[int, str]]]] = {}
-        self._fits: dict[int, bool] = {}
+        self._fits: defaultdict[int, dict[int, bool]] = defaultdict(dict)
+        self._pairs = 0
 
     def _edge(self, token: int, side: int) -> list[tuple[int, str]]:
         if (found := self._edges.get(token)) is None:
@@ -147,8 +150,7 @@ class PrefixTrie:
 
         The merges of both go on by least rank, of equal ones the leftmost first; between them lies the pair across.
         """
-        key = a << 32 | b
-        fits = self._fits.get(key)
+        fits = self._fits[a].get(b)
         if fits is not None:
             return fits
         left, right = self._edge(a, 1), self._edge(b, 0)
@@ -165,52 +167,51 @@ class PrefixTrie:
                 i += 1
             else:
                 j += 1
-        if len(self._fits) >= self.most_pairs:
+        if self._pairs >= self.most_pairs:
             self._fits.clear()
-        self._fits[key] = fits
+            self._pairs = 0
+        self._fits[a][b] = fits
+        self._pairs += 1
         return fits
 
-    def _last(self, word: str, last: list[int]) -> int:
-        """The last token of the encoding of a whole word, its end marked; -1 if there is none."""
-        end, table, beside = len(word), self.merges.final, self.beside
-        for size in self.merges.final_sizes.get(word[-2:]) or (1,):
-            if size <= end and (token := table.get(word[end - size :], -1)) >= 0:
-                if size == end or (last[end - size] >= 0 and beside(last[end - size], token)):
-                    return token
-        return -1
-
-    def encode(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        """Each of the sorted distinct `words`, written in the byte alphabet, with its ids."""
-        m, beside, fits, before, last = self.merges, self.beside, self._fits, "", [-1]
-        found_in, sizes = self.tokens.iter, m.size
+    def encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each of the sorted distinct `words`, written in the byte alphabet, with its ids, packed."""
+        m, beside, fits, packed, before, last = self.merges, self.beside, self._fits, self._packed, "", [-1]
+        found_in, sizes = self.tokens.iter, self.size
         for word in words:
-            n = len(word)
-            shared, most = 0, min(n, len(before), len(last)) - 1
-            while shared < most and word[shared] == before[shared]:
+            marked = word + MARK
+            n = len(marked)
+            shared, most = 0, min(n, len(before))
+            while shared < most and marked[shared] == before[shared]:
                 shared += 1
-            shared = max(shared, 0)
             del last[shared + 1 :]
-            last += [-1] * (n - 1 - shared)
-            before = word
-            if n > 1 and shared < n - 1:
-                for at, (size, token) in found_in(word, 0, n - 1):
-                    # Tokens that end at a place come by falling size; the first that fits is the one.
-                    if at >= shared and last[at + 1] < 0:
-                        if size > at:
+            last += [-1] * (n - shared)
+            before = marked
+            for at, (size, token) in found_in(marked):
+                # Tokens that end at a place come by falling size; the first that fits is the one.
+                if at >= shared and last[at + 1] < 0:
+                    if size > at:
+                        last[at + 1] = token
+                    elif (previous := last[at + 1 - size]) >= 0:
+                        known = fits[previous].get(token)
+                        if known or (known is None and beside(previous, token)):
                             last[at + 1] = token
-                        elif (previous := last[at + 1 - size]) >= 0:
-                            known = fits.get(previous << 32 | token)
-                            if known or (known is None and beside(previous, token)):
-                                last[at + 1] = token
-            token, at = self._last(word, last), n
-            found = [token]
-            while token >= 0 and (at := at - sizes[token]) > 0:
-                token = last[at]
-                found.append(token)
-            if token < 0:  # symbols outside the vocabulary: the definition itself, which leaves them out
-                yield word, tuple(m.ids[t] for t in m.plain(_symbols(word + END)) if t in m.ids)
+            if (token := last[n]) < 0:  # symbols outside the vocabulary: the definition itself, which leaves them out
+                yield word, pack([m.ids[t] for t in m.plain(_symbols(word + END)) if t in m.ids])
+            elif (at := n - sizes[token]) == 0:
+                yield word, packed[token]
             else:
-                yield word, tuple(found[::-1])
+                found = [packed[token]]
+                while at > 0:
+                    token = last[at]
+                    found.append(packed[token])
+                    at -= sizes[token]
+                yield word, b"".join(found[::-1])
+
+
+def pack(ids: list[int]) -> bytes:
+    """Ids as four bytes each: joining such bytes joins lists of ids."""
+    return np.array(ids, dtype=np.int32).tobytes()
 
 
 class Encoder:
@@ -220,15 +221,20 @@ class Encoder:
     of which new pieces are often made, up to `most_words`.
     """
 
-    def __init__(self, merges: Merges, most_kept: int = 120_000, most_words: int = 250_000):
+    def __init__(self, merges: Merges, most_kept: int = 120_000, most_words: int = 350_000):
         self.merges, self.trie, self.most_kept, self.most_words = merges, PrefixTrie(merges), most_kept, most_words
-        self.word_pattern, self.lower = merges.alphabet.word_pattern(), merges.alphabet.lower
+        self.lower = merges.alphabet.lower
         self.odd_case = re.compile("[" + "".join(map(chr, self.lower)) + "]" if self.lower else "(?!)")
+        # Most texts have neither characters of an odd case nor such as make the pattern slow.
+        plain = min([0x10000, *self.lower])
+        self.beyond = re.compile(f"[{chr(plain)}-{chr(sys.maxunicode)}]")
+        self.ascii_pattern, self.plain_pattern, self.word_pattern = map(merges.alphabet.word_pattern, (0x80, plain, sys.maxunicode + 1))
         self.bytes = {b: ord(c) for b, c in enumerate(byte_alphabet()) if ord(c) != b}
         self.special = re.compile("|".join(map(re.escape, merges.special))) if merges.special else None
-        self.fixed: dict[str | int, tuple[int, ...]] = {"": ()} | {i: (i,) for i in merges.special.values()}
+        self.tokens = pa.array(map(merges.token.get, range(max(merges.token, default=-1) + 1)), pa.string())
+        self.fixed: dict[str | int, bytes] = {"": b""} | {i: pack([i]) for i in merges.special.values()}
         self.pieces = dict(self.fixed)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
 
     def shrink(self) -> None:
         """Leaves out what was kept from texts; what was learned of the vocabulary stays."""
@@ -241,24 +247,33 @@ class Encoder:
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         else:
             text = text.lower()
-        return SPACES.sub(" ", text).strip(" ").split(" ") if ODD_SPACE.search(text) else text.split()
+        return SPACES.sub(" ", text).strip(" ").split(" ") if any(c in text for c in ODD_SPACE) else text.split()
 
     def _written(self, word: str) -> str:
         """A word in the byte alphabet."""
         return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.bytes)
 
-    def learn(self, pieces: set[str]) -> None:
+    def _cut(self, piece: str) -> list[str]:
+        """A piece's words."""
+        if piece.isascii():
+            return self.ascii_pattern.findall(piece)
+        if not self.beyond.search(piece):
+            return self.plain_pattern.findall(piece)
         # Characters of another case than Python's are none that Python itself changes, so this can wait until here.
-        given = {p: p if p.isascii() or not self.odd_case.search(p) else p.translate(self.lower) for p in pieces}
-        cut = {p: [p] if p.isascii() and p.isalpha() else [self._written(w) for w in self.word_pattern.findall(given[p])] for p in pieces}
-        asked = set(chain.from_iterable(cut.values()))
+        return self.word_pattern.findall(piece.translate(self.lower) if self.odd_case.search(piece) else piece)
+
+    def learn(self, pieces: set[str]) -> None:
+        whole = {p for p in pieces if p.isascii() and p.isalpha()}
+        cut = {p: self._cut(p) for p in pieces.difference(whole)}
+        asked = whole.union(chain.from_iterable(cut.values()))
         new = asked.difference(self.words)
         if len(self.words) + len(new) > self.most_words:
             self.words = {w: self.words[w] for w in asked.difference(new)}
-        words = self.words
-        words.update(self.trie.encode(sorted(new)))
-        for p, ws in cut.items():
-            self.pieces[p] = words[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in words[w])
+        words, written = self.words, {self._written(w): w for w in new}
+        for form, ids in self.trie.encode(sorted(written)):
+            words[written[form]] = ids
+        self.pieces.update((p, words[p]) for p in whole)
+        self.pieces.update((p, words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])) for p, ws in cut.items())
 
     def _parts(self, text: str | None) -> list[str | int]:
         if not text:
@@ -271,7 +286,8 @@ class Encoder:
             at = hit.end()
         return [*parts, *self.split(text[at:])]
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, packed."""
         parts = [self._parts(t) for t in texts]
         distinct = set(chain.from_iterable(parts))
         new = distinct.difference(self.pieces)
@@ -280,7 +296,18 @@ class Encoder:
             self.pieces = self.fixed | {p: had[p] for p in distinct.difference(new)}
         self.learn(new)
         known = self.pieces.__getitem__
-        return [list(chain.from_iterable(map(known, row))) for row in parts]
+        return [b"".join(map(known, row)) for row in parts]
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [np.frombuffer(x, dtype=np.int32).tolist() for x in self.packed(texts)]
+
+    def arrays(self, texts: list[str | None], decode: bool) -> list[pa.Array]:
+        """The ids of each text and, if asked for, their tokens joined by one space."""
+        found = self.packed(texts)
+        ends = pa.array(np.cumsum([0, *map(len, found)]) // 4, pa.int32())
+        flat = pa.array(np.frombuffer(b"".join(found), dtype=np.int32))
+        ids = pa.ListArray.from_arrays(ends, flat)
+        return [ids, pc.binary_join(pa.ListArray.from_arrays(ends, self.tokens.take(flat)), " ")] if decode else [ids]
 
 
 def read_vocabulary(path: str) -> tuple[dict[str, int], list[tuple[str, str]], dict[str, int]]:
@@ -315,15 +342,9 @@ def encode(docs: DataFrame, path: str, decode: bool = True, batch_bytes: int = 1
             _ENCODERS.clear()
             _ENCODERS[key] = Encoder(shared.value)
         encoder = _ENCODERS[key]
-        token = encoder.merges.token
         for batch in batches:
             for part in slices(batch, 1, batch_bytes):
-                found = encoder.encode(part.column(1).to_pylist())
-                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(ends[-1]))
-                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-                if decode:
-                    columns.append(pa.array([" ".join(map(token.__getitem__, x)) for x in found], pa.string()))
+                columns = [part.column(0), *encoder.arrays(part.column(1).to_pylist(), decode)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
         encoder.shrink()
 
