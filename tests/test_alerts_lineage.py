@@ -106,3 +106,12 @@ def test_paths_keep_the_surest_way(spark):
     }
     up, _ = column_lineage.paths(df, spark.createDataFrame([("t", "x_y_w"), ("gone", "a")], "unique_id string, column string"), depth=1, upstream=True)
     assert {(r.unique_id, r.depth) for r in up.collect()} == {("t", 0), ("z", 1)}
+
+
+def test_paths_send_no_table_to_the_driver(spark, monkeypatch):
+    plans, cut = [], column_lineage._cut
+    monkeypatch.setattr(column_lineage, "_cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    models = spark.range(1, 200).selectExpr("concat('m.', id) AS unique_id", "array(named_struct('name', 'part_id')) AS columns", "array(concat('m.', id div 2)) AS depends_on")
+    nodes, _ = column_lineage.paths(models, models.select("unique_id", F.lit("part_id").alias("column")), depth=2)
+    assert nodes.count() == 199 + 198 + 196
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)

@@ -18,6 +18,8 @@ SAME_TYPE, PART_OF_TYPE = 0.08, 0.03
 TAGS, META, META_EACH, WORDS, WORDS_EACH = 0.06, 0.05, 0.02, 0.04, 0.01
 HIGH, MEDIUM = 0.85, 0.65
 NO_TEXTS = "array<string>"
+#: Joins are sort-merge joins: columns are many times larger than Spark takes them to be by the size of the files, and would be sent whole to the driver for a broadcast.
+MERGE = "merge"
 
 
 def name_key(name: Column) -> Column:
@@ -81,7 +83,7 @@ def matches(entity: DataFrame, least: float = 0.55, most: int = 3, upstream: boo
     """
     edges = edges_of(entity).select(F.col("dst" if upstream else "src").alias("from_id"), F.col("src" if upstream else "dst").alias("to_id"))
     features = _features(entity)
-    both = edges.join(features.toDF("from_id", "_a"), "from_id").join(features.toDF("to_id", "_b"), "to_id")
+    both = edges.join(features.toDF("from_id", "_a").hint(MERGE), "from_id").join(features.toDF("to_id", "_b").hint(MERGE), "to_id")
     able = lambda a, b: (a["name"] != "") & (b["name"] != "") & ((a["lower"] == b["lower"]) | F.arrays_overlap(a["tokens"], b["tokens"]) | F.lit(least <= SAME_TYPE + TAGS + META + WORDS))
     pairs = F.flatten(F.transform("_a", lambda a: F.transform(F.filter("_b", lambda b: able(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     rows = both.select("from_id", "to_id", F.explode(pairs).alias("p")).select("from_id", "to_id", "p.a", "p.b")
@@ -103,19 +105,19 @@ def paths(entity: DataFrame, start: DataFrame, depth: int = 2, least: float = 0.
     origin = ["origin_id", "origin_column"]
     steps = _cut(matches(entity, least, most, upstream).withColumn("_from", F.lower("from_column")))
     known = entity.select("unique_id", F.explode("columns.name").alias("column"))
-    begun = start.select("unique_id", F.lower("column").alias("_c")).distinct().join(known.withColumn("_c", F.lower("column")), ["unique_id", "_c"])
+    begun = start.select("unique_id", F.lower("column").alias("_c")).distinct().join(known.withColumn("_c", F.lower("column")).hint(MERGE), ["unique_id", "_c"])
     front = begun.select(F.col("unique_id").alias("origin_id"), F.col("column").alias("origin_column"), "unique_id", "column", F.lit(0).alias("depth"), F.lit(1.0).alias("confidence"))
     front = seen = nodes = _cut(front)
     edges = None
     for d in range(1, depth + 1):
         at = front.select(*origin, F.col("unique_id").alias("from_id"), F.lower("column").alias("_from"), F.col("confidence").alias("_sure"))
-        step = at.join(steps, ["from_id", "_from"])
+        step = at.join(steps.hint(MERGE), ["from_id", "_from"])
         step = step.select(*origin, F.lit(d).alias("depth"), "from_id", "from_column", "to_id", "to_column", "confidence", F.least("_sure", "confidence").alias("path_confidence"), "reasons")
         step = _cut(step)
         edges = step if edges is None else edges.unionByName(step)
         reached = step.groupBy(*origin, F.col("to_id").alias("unique_id"), F.col("to_column").alias("column")).agg(F.lit(d).alias("depth"), F.max("path_confidence").alias("confidence"))
         nodes = nodes.unionByName(reached.select(nodes.columns))
-        front = _cut(reached.join(seen.select(*origin, "unique_id", "column"), [*origin, "unique_id", "column"], "left_anti").select(nodes.columns))
+        front = _cut(reached.join(seen.select(*origin, "unique_id", "column").hint(MERGE), [*origin, "unique_id", "column"], "left_anti").select(nodes.columns))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
