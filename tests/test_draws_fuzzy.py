@@ -114,3 +114,38 @@ def test_search_of_nothing(spark):
     for wrong in ({"method": "other"}, {"least": 0.0}):
         with pytest.raises(ValueError):
             fuzzy_join.search(df, "t", df, "t", **wrong)
+
+
+def test_names_one_edit_apart_make_no_other_candidates(spark, monkeypatch):
+    made, pairs = [], fuzzy_join._pairs
+
+    def counted(*args):
+        found = pairs(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(fuzzy_join, "_pairs", counted)
+    names = spark.range(0, 600).select(F.format_string("Customer#%09d", "id").alias("t"))
+    found = fuzzy_join.search(names, "t", names, "t", "damerau", 0.9).collect()
+    texts = [f"Customer#{i:09d}" for i in range(600)]
+    assert sorted((r.query, r.text) for r in found) == sorted((a, b) for a in texts for b in texts if swaps(a[-3:], b[-3:]) <= 1)
+    assert sum(made) <= len(found)
+
+
+@pytest.mark.parametrize("least", [0.9, 0.97, 1.0])
+@pytest.mark.parametrize("method", ["levenshtein", "damerau"])
+def test_search_by_edits_on_either_side_of_the_cut(spark, method, least):
+    rng = random.Random(7)
+    some = []
+    for n in [*range(1, 24), 33, 34, 63, 64, 65, 66]:
+        base = "".join(rng.choice("aab😀") for _ in range(n))
+        k, m = rng.randrange(n), rng.randrange(n)
+        some += [base, base[:k] + "c" + base[k:], base[:k] + base[k + 1 :], base[:k] + "c" + base[k + 1 :], base[:k] + base[k : k + 2][::-1] + base[k + 2 :], base[:k] + "c" + base[k:m] + base[m + 1 :]]
+    some = sorted({t for t in some if t})
+
+    def score(x, y):
+        return 1 - edits(x, y) / max(len(x), len(y)) if method == "levenshtein" else 1 - swaps(x, y) / min(len(x), len(y))
+
+    expected = [(x, y, round(s, 3)) for x in some for y in some if abs(len(x) - len(y)) < 8 and (s := int(score(x, y) * 1000 + 0.5) / 1000) >= least]
+    df = spark.createDataFrame([(t,) for t in some], "t string")
+    assert sorted((r.query, r.text, round(r.score, 3)) for r in fuzzy_join.search(df, "t", df, "t", method, least).collect()) == sorted(expected)
