@@ -107,6 +107,17 @@ def test_neighbours_in_many_blocks_descend_until_settled(spark):
     assert hit / (20 * len(x)) >= 0.99
 
 
+def test_neighbours_search_reads_blocks_in_few_rows(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    graph, dealt, frames = neighbours.build(neighbours.usable(df)), neighbours.Graph.dealt, []
+    monkeypatch.setattr(neighbours.Graph, "dealt", lambda self, rows, block: frames.append(rows) or dealt(self, rows, block))
+    found = {r.u: r.ids for r in neighbours.search(graph, graph.names.filter("vec_id < 10").select("u")).select(F.col("q").alias("u"), "ids").collect()}
+    assert len(found) == 10 and all(len(ids) > 200 for ids in found.values())
+    again = {id(f): f for i, f in enumerate(frames) if any(f is g for g in frames[:i])}
+    assert again and all(f.count() <= 4 for f in again.values())
+
+
 def test_neighbours_compare_pairs_once():
     x = np.random.default_rng(4).normal(size=(9, 5)).astype(np.float32)
     fresh, others = np.array([[0, 1, -1], [-1, -1, -1], [8, -1, -1]]), np.array([[2, 3, 4], [5, 6, 7], [-1, -1, -1]])

@@ -82,11 +82,14 @@ def _flags(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def _vectors(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Directions (the greatest component is 1) and scales. A list of neighbours compares products of one direction with scaled ones."""
-    rows = column.to_pylist()
-    if not rows:
+    return _unpacked(b"".join(column.to_pylist()), len(column))
+
+
+def _unpacked(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    if not size:
         return np.zeros((0, 1), np.float32), np.zeros(0)
-    data = np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1)
-    return data[:, 4:].astype(np.float32), np.ascontiguousarray(data[:, :4]).view(np.float64)[:, 0]
+    rows = np.frombuffer(data, np.float16).reshape(size, -1)
+    return rows[:, 4:].astype(np.float32), np.ascontiguousarray(rows[:, :4]).view(np.float64)[:, 0]
 
 
 def _sampled(u: np.ndarray, w: np.ndarray, most: int, seed: int) -> np.ndarray:
@@ -307,6 +310,8 @@ def build(vectors: DataFrame, k: int = 32, trees: int = 6, settled: float = 0.00
 
 
 STATE = "q long, vec binary, ids array<long>, sims array<double>, seen array<long>"
+#: What a block opens, in rows of up to `PART` vectors: their numbers and vectors; in the first, its centres and the places of their members, which end at `ends`.
+OPENED, PART = "b long, part int, ids binary, vecs binary, centres binary, ends binary, members binary", 8_192
 
 
 def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, expand: int = 256) -> DataFrame:
@@ -318,11 +323,22 @@ def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, ex
     """
     edges = graph.pairs.replace(graph.edges(graph.k, back, 5))
     lists = edges.groupBy("b", "centre").agg(F.collect_set("member").alias("members"))
-    opened = Written().replace(
-        lists.select("b", F.col("centre").alias("id"), "members", F.lit(None).cast("binary").alias("vec")).unionByName(
-            graph.with_vectors(edges).select(F.col("block").alias("b"), F.col("node").alias("id"), F.lit(None).cast("array<long>").alias("members"), "vec")
-        )
+    rows = lists.select("b", F.col("centre").alias("id"), "members", F.lit(None).cast("binary").alias("vec")).unionByName(
+        graph.with_vectors(edges).select(F.col("block").alias("b"), F.col("node").alias("id"), F.lit(None).cast("array<long>").alias("members"), "vec")
     )
+
+    def together(block: pa.Table) -> pa.Table:
+        is_vector = pa.compute.is_valid(block.column("vec"))
+        vectors, centres = block.filter(is_vector).sort_by("id"), block.filter(pa.compute.invert(is_vector)).sort_by("id")
+        ids, vecs, members = vectors.column("id").to_numpy(), vectors.column("vec").to_pylist(), centres.column("members").combine_chunks()
+        ends, at = members.offsets.to_numpy().astype(np.int64), np.searchsorted(ids, members.flatten().to_numpy())
+        first = [x.astype(np.int64).tobytes() for x in (centres.column("id").to_numpy(), ends - ends[0], at)]
+        out = [(block.column("b")[0].as_py(), a // PART, ids[a : a + PART].tobytes(), b"".join(vecs[a : a + PART]), *(first if not a else [b""] * 3)) for a in range(0, len(ids), PART)]
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=["b", "part", "ids", "vecs", "centres", "ends", "members"])
+
+    # Each hop reads this again; as a row a vector, dealing it took more time than the comparisons.
+    opened = Written().replace(graph.dealt(rows, "b").applyInArrow(together, OPENED))
     table = Written()
     state = table.replace(graph.rows.join(queries, "u", "left_semi").select(F.col("u").alias("q"), "vec", "ids", "sims", F.array().cast("array<long>").alias("seen"), F.array("u").alias("next")))
 
@@ -330,17 +346,9 @@ def search(graph: Graph, queries: DataFrame, back: int = 24, held: int = 256, ex
         none = pa.table({"q": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "sims": pa.array([], pa.list_(pa.float64()))})
         if not len(asked) or not len(block):
             return none
-        is_vector = block.column("vec").is_valid().to_numpy()
-        vectors, centres = block.filter(pa.array(is_vector)), block.filter(pa.array(~is_vector))
-        ids = vectors.column("id").to_numpy()
-        by = np.argsort(ids)
-        x, scale = _vectors(vectors.column("vec"))
-        ids, x, scale = ids[by], x[by], scale[by]
-        order = np.argsort(centres.column("id").to_numpy())
-        centre = centres.column("id").to_numpy()[order]
-        members = centres.column("members").combine_chunks().take(pa.array(order))
-        ends, flat = members.offsets.to_numpy(), np.searchsorted(ids, members.flatten().to_numpy())
-        ends = ends - ends[0]
+        block = block.sort_by("part")
+        ids, centre, ends, flat = (np.frombuffer(b"".join(block.column(c).to_pylist()), np.int64) for c in ("ids", "centres", "ends", "members"))
+        x, scale = _unpacked(b"".join(block.column("vecs").to_pylist()), len(ids))
         qs, worst, mine = asked.column("q").to_numpy(), asked.column("worst").to_numpy(), _vectors(asked.column("vec"))[0]
         nodes = asked.column("nodes").combine_chunks()
         found = []
